@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from weftline.llm.chat_format import op3_chat_format
+from weftline.llm.language_id import op1_language_id
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_chat_format": op3_chat_format,
 }
 
