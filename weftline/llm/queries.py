@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from weftline.llm.chat_format import op3_chat_format
 from weftline.llm.language_id import op1_language_id
+from weftline.llm.pieces import op8_piece_encoding
 from weftline.llm.toxicity import op5_toxicity
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_chat_format": op3_chat_format,
     "op5_toxicity": op5_toxicity,
+    "op8_piece_encoding": op8_piece_encoding,
 }
 
 ORACLE_SQL = {
