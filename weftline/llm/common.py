@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +41,25 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/weftline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_text(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], list]], added: str) -> DataFrame:
+    """``docs`` with the columns ``added`` (DDL), computed from its column ``text`` in Arrow batches.
+
+    ``make`` runs once a task and returns a function from texts to one sequence
+    per added column. The other columns pass through untouched, whatever their
+    types and nulls; columns of ``docs`` named like added ones are replaced.
+    """
+    extra = T._parse_datatype_string(added)
+    docs = docs.drop(*extra.names)
+    at = docs.columns.index("text")
+    names = [*docs.columns, *extra.names]
+    kinds = [to_arrow_type(f.dataType) for f in extra]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = make()
+        for batch in batches:
+            got = compute(batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, type=k) for x, k in zip(got, kinds))], names=names)
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra.fields]))

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fold, table
+from weftline.llm.common import fold, map_text, table
 from weftline.llm.textarrays import blocks, code_points, letters, mix, sums
 
 SLOT_BITS = 20
@@ -173,17 +173,10 @@ def decide(filters: Filters, texts: list[str | None]) -> tuple[list[str], np.nda
     return [filters.languages[b] if n else "und" for b, n in zip(best, total)], np.clip(score, 0, 1)
 
 
-def predict(spark: SparkSession, docs: DataFrame, filters: Filters, keep: str) -> DataFrame:
-    """Columns ``keep`` (a DDL of columns of ``docs``, text among them), lang_pred and score."""
+def predict(spark: SparkSession, docs: DataFrame, filters: Filters) -> DataFrame:
+    """``docs`` with lang_pred and score, from its column text alone."""
     shared = spark.sparkContext.broadcast(filters)  # of fixed size: 2 ** SLOT_BITS slots
-    names = docs.columns
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            lang, score = decide(shared.value, pdf["text"].tolist())
-            yield pdf.assign(lang_pred=lang, score=score)[[*names, "lang_pred", "score"]]
-
-    return docs.mapInPandas(run, keep)
+    return map_text(docs, lambda: lambda texts: decide(shared.value, texts), "lang_pred string, score double")
 
 
 def fit_on_documents(docs: DataFrame) -> Filters:
@@ -194,5 +187,5 @@ def fit_on_documents(docs: DataFrame) -> Filters:
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     filters = fit_on_documents(docs)
-    out = predict(spark, docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), filters, "doc_id long, text string, lang_pred string, score double")
+    out = predict(spark, docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), filters)
     return out.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")

@@ -28,12 +28,11 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import map_text, table
 
 BLANK = "▁"
 #: Chunks remembered per Python worker.
@@ -397,39 +396,39 @@ def _model(data: bytes) -> tuple[PieceModel, _Remembered]:
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, ids, starts, ends (source bytes of each piece) and decoded, for every row of (doc_id, text)."""
+    """``docs`` with ids, starts, ends (source bytes of each piece) and decoded."""
     data = spark.sparkContext.broadcast(read_model(model_path))  # one file of fixed size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         model, _ = _model(data.value)
-        for pdf in batches:
-            rows = [model.encode(t or "") for t in pdf["text"]]
-            yield pd.DataFrame(
-                {"doc_id": pdf["doc_id"], "ids": [r[0] for r in rows], "starts": [r[1] for r in rows], "ends": [r[2] for r in rows], "decoded": [model.decode(r[0]) for r in rows]}
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        run, "doc_id long, ids array<int>, starts array<bigint>, ends array<bigint>, decoded string"
-    )
+
+        def run(texts):
+            rows = [model.encode(t or "") for t in texts]
+            return [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], [model.decode(r[0]) for r in rows]]
+
+        return run
+
+    return map_text(docs, make, "ids array<int>, starts array<bigint>, ends array<bigint>, decoded string")
 
 
 def digest_documents(spark: SparkSession, docs: DataFrame, model_path: str) -> DataFrame:
+    """``docs`` with the digests of what ``encode_documents`` gives, text for text."""
     data = spark.sparkContext.broadcast(read_model(model_path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         model, known = _model(data.value)
-        for pdf in batches:
+
+        def run(texts):
             rows = []
-            for text in pdf["text"].tolist():
+            for text in texts:
                 rows.append(digests(model, known, text or ""))
                 if len(known) > REMEMBERED:
                     known.clear()
-            n, ids, decoded, spans = zip(*rows) if rows else ((), (), (), ())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded, "span_ends_crc32": spans})
+            return list(zip(*rows)) if rows else [[]] * 4
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, span_ends_crc32 long"
-    )
+        return run
+
+    return map_text(docs, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, span_ends_crc32 bigint")
 
 
 def op8_piece_encoding(spark: SparkSession, sf_dir: str, model_path: str | None = None) -> DataFrame:
@@ -437,4 +436,5 @@ def op8_piece_encoding(spark: SparkSession, sf_dir: str, model_path: str | None
         import public_tokenizers
 
         model_path = public_tokenizers.path("piece_bpe_32k.model")
-    return digest_documents(spark, table(spark, sf_dir, "documents"), model_path)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return digest_documents(spark, docs, model_path).drop("text")

@@ -40,7 +40,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import fold, table
+from weftline.llm.common import fold, map_text, table
 from weftline.llm.textarrays import blocks, letters
 
 SAMPLE = 40_000
@@ -309,17 +309,15 @@ def _curve(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
     return tuple(float(v) for v in beta)
 
 
-def predict(spark: SparkSession, docs: DataFrame, lexicon: Lexicon, keep: str) -> DataFrame:
-    """Columns ``keep`` (a DDL of columns of ``docs``, text among them, then score)."""
+def predict(spark: SparkSession, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``docs`` with score, from its column text alone."""
     shared = spark.sparkContext.broadcast(lexicon)  # at most LEXICON_SIZE and EXCEPTIONS_SIZE entries
-    names = docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         automaton = shared.value.automaton()
-        for pdf in batches:
-            yield pdf.assign(score=score(shared.value.curve, features(automaton, pdf["text"].tolist())))[[*names, "score"]]
+        return lambda texts: [score(shared.value.curve, features(automaton, texts))]
 
-    return docs.mapInPandas(run, keep)
+    return map_text(docs, make, "score double")
 
 
 def fit_on_documents(docs: DataFrame, labels: DataFrame) -> Lexicon:
@@ -330,5 +328,5 @@ def fit_on_documents(docs: DataFrame, labels: DataFrame) -> Lexicon:
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     lexicon = fit_on_documents(docs, table(spark, sf_dir, "labels"))
-    out = predict(spark, docs, lexicon, "doc_id long, text string, score double")
+    out = predict(spark, docs, lexicon)
     return out.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
