@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from weftline.llm.chat_format import op3_chat_format
 from weftline.llm.language_id import op1_language_id
+from weftline.llm.packing import op6_packing
 from weftline.llm.pieces import op8_piece_encoding
 from weftline.llm.toxicity import op5_toxicity
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_chat_format": op3_chat_format,
     "op5_toxicity": op5_toxicity,
+    "op6_packing": op6_packing,
     "op8_piece_encoding": op8_piece_encoding,
 }
 
