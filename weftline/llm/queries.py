@@ -7,10 +7,12 @@ from weftline.llm.language_id import op1_language_id
 from weftline.llm.packing import op6_packing
 from weftline.llm.pieces import op8_piece_encoding
 from weftline.llm.toxicity import op5_toxicity
+from weftline.llm.weighted_sampling import op4_fingerprints
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op3_chat_format": op3_chat_format,
+    "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op8_piece_encoding": op8_piece_encoding,
