@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from weftline.llm.chat_format import op3_chat_format
 from weftline.llm.language_id import op1_language_id
+from weftline.llm.mtree_search import op9_top_k
 from weftline.llm.packing import op6_packing
 from weftline.llm.pieces import op8_piece_encoding
 from weftline.llm.toxicity import op5_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
     "op8_piece_encoding": op8_piece_encoding,
+    "op9_top_k": op9_top_k,
 }
 
 ORACLE_SQL = {
@@ -42,5 +44,18 @@ WITH t AS (
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
        formatted_chars, n_blocks
 FROM d
+""",
+    "op9_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """,
 }
