@@ -6,12 +6,14 @@ from weftline.llm.chat_format import op3_chat_format
 from weftline.llm.language_id import op1_language_id
 from weftline.llm.mtree_search import op9_top_k
 from weftline.llm.packing import op6_packing
+from weftline.llm.pii import op2_pii
 from weftline.llm.pieces import op8_piece_encoding
 from weftline.llm.toxicity import op5_toxicity
 from weftline.llm.weighted_sampling import op4_fingerprints
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_pii": op2_pii,
     "op3_chat_format": op3_chat_format,
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
