@@ -5,6 +5,7 @@ from __future__ import annotations
 from weftline.llm.chat_format import op3_chat_format
 from weftline.llm.language_id import op1_language_id
 from weftline.llm.mtree_search import op9_top_k
+from weftline.llm.order_minhash import op10_near_duplicates
 from weftline.llm.packing import op6_packing
 from weftline.llm.pii import op2_pii
 from weftline.llm.pieces import op8_piece_encoding
@@ -20,6 +21,7 @@ QUERIES = {
     "op6_packing": op6_packing,
     "op8_piece_encoding": op8_piece_encoding,
     "op9_top_k": op9_top_k,
+    "op10_near_duplicates": op10_near_duplicates,
 }
 
 ORACLE_SQL = {
