@@ -103,10 +103,10 @@ def _marked(text: Column, pattern: str) -> Column:
     return F.regexp_replace(F.translate(text, MARK, OTHER), pattern, MARK)
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, base array<struct<start, kind_at, end>>, candidates with their context."""
+def find_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """row (a struct of the columns ``keep``, all by default), base spans, candidates with their context."""
     t = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(F.col("doc_id").cast("long"), t.alias("text"))
+    d = docs.select(F.struct(*(keep or docs.columns)).alias("row"), t.alias("text"))
     text = F.col("text")
     has_card = text.rlike("[0-9](?:[ -]?[0-9]){13}")
     d = d.withColumn("emails", _positions(_marked(text, "(?<=[A-Za-z0-9-])\\.(?=[A-Za-z0-9-])"), EMAIL, text.contains("@")))
@@ -151,7 +151,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
             F.exists("base", lambda b: (b["start"] < x["end"] + 80) & (b["end"] > x["start"] - 80)).alias("near"),
         )
 
-    return d.withColumn("free", free).select("doc_id", "base", F.transform("free", described).alias("candidates"))
+    return d.withColumn("free", free).select("row", "base", F.transform("free", described).alias("candidates"))
 
 
 def votes(c: Column) -> list[Column]:
@@ -271,10 +271,9 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def detect(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, base, added: the spans of every row of (doc_id, text)."""
-    found = materialize(spark, find_spans(docs), "spans")  # spans only, no texts
-    return classify(spark, found).select("doc_id", "base", "added")
+def detect(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """row, base, added: the spans of every row of ``docs``, found in one pass over the texts."""
+    return classify(spark, materialize(spark, find_spans(docs, keep), "spans")).select("row", "base", "added")
 
 
 def redact(text: Column, spans: Column) -> Column:
@@ -297,14 +296,21 @@ def redact(text: Column, spans: Column) -> Column:
     )
 
 
+def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``docs`` with every span in ``text`` replaced by its kind; null texts stay null."""
+    found = detect(spark, docs)
+    clean = F.when(F.size("base") + F.size("added") > 0, redact(F.col("row.text"), F.concat("base", "added"))).otherwise(F.col("row.text"))
+    return found.withColumn("clean", clean).select(*[F.col("clean").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = detect(spark, table(spark, sf_dir, "documents"))
+    found = detect(spark, table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"), ["doc_id"])
 
     def count(kind: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{BASE[kind]}")
 
     return found.select(
-        "doc_id",
+        "row.doc_id",
         *map(count, range(len(BASE))),
         F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         joined(F.array_sort(F.concat("base", "added"))).alias("spans"),
