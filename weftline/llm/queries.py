@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from weftline.llm.chat_format import op3_chat_format
 from weftline.llm.language_id import op1_language_id
+from weftline.llm.maxent_lm import op7_maxent_lm
 from weftline.llm.mtree_search import op9_top_k
 from weftline.llm.order_minhash import op10_near_duplicates
 from weftline.llm.packing import op6_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
     "op6_packing": op6_packing,
+    "op7_maxent_lm": op7_maxent_lm,
     "op8_piece_encoding": op8_piece_encoding,
     "op9_top_k": op9_top_k,
     "op10_near_duplicates": op10_near_duplicates,

@@ -32,10 +32,14 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return _CACHE["value"], _CACHE["power"], _CACHE["inverse"]
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of the texts in order, and the number of words of each text."""
+def word_hashes(texts: list[str], tail: int = 0) -> tuple[np.ndarray, ...]:
+    """Hashes of all words of the texts in order, and the number of words of each text.
+
+    With ``tail``, also the hashes of the words' last ``tail`` bytes.
+    """
     if not texts:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        none = np.zeros(0, dtype=np.uint64)
+        return (none, np.zeros(0, dtype=np.int64), none)[: 3 if tail else 2]
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1
     flat = np.frombuffer(b" ".join(raw) + b" ", dtype=np.uint8)
@@ -48,6 +52,9 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     hashes = mix((total[end] - total[begin]) * inverse[begin])
     stops = np.cumsum(lengths)
     counts = np.diff(np.searchsorted(begin, np.concatenate([[0], stops])))
+    if tail:
+        late = np.maximum(begin, end - tail)
+        return hashes, counts, mix((total[end] - total[late]) * inverse[late] + np.uint64(tail))
     return hashes, counts
 
 
