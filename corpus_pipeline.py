@@ -19,16 +19,21 @@ from weftline.llm.common import shared_dir, table
 LEAST_LANGUAGE = 0.2
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """A document's columns as one struct beside its text, so that no column clashes with a stage's own."""
+    return docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string").alias("text"))
+
+
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents that have no letters or belong to no learned language."""
-    out = language_id.predict(spark, docs, language_id.fit_on_documents(docs))
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    out = language_id.predict(spark, _wrapped(docs), language_id.fit_on_documents(docs))
+    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)).select("row.*")
 
 
 def keep_clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without documents predicted to be toxic."""
     lexicon = toxicity.fit_on_documents(docs, table(spark, sf_dir, "labels"))
-    return toxicity.predict(spark, docs, lexicon).where("score < 0.5").select(*docs.columns)
+    return toxicity.predict(spark, _wrapped(docs), lexicon).where("score < 0.5").select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
