@@ -16,7 +16,7 @@ import re
 import tiktoken
 from tokenizers import Tokenizer
 
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 #: Letters whose lower case is one letter and that no normalisation joins to a neighbour.
 PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?#%&*$|]*)").fullmatch
 END = b"\xff"  # marks a word's end; no UTF-8 text holds this byte
