@@ -307,3 +307,29 @@ def test_response_gain_of_a_useful_column(spark):
     df = rows(spark, [(1, 0.9), (1, 0.8), (0, 0.1), (0, 0.3)], "y int, p double")
     got = reweight.response_gain(df, F.lit(0.5), F.col("p")).first()
     assert got["nats"] > 0 and got["bits"] == pytest.approx(got["nats"] / math.log(2))
+
+
+def test_equivalence_within_a_margin(spark):
+    pairs = rows(spark, [(i, 1.0 + 0.01 * (-1) ** i, 1.0) for i in range(20)], "seed int, a double, b double")
+    got = experiments.equivalence(pairs, 0.1).first()
+    assert got["wins"] == 10 and got["p"] > 0.9 and got["p_equivalent"] < 1e-6
+    assert experiments.equivalence(pairs, 1e-6).first()["p_equivalent"] > 0.4
+
+
+def test_tables_of_arms(spark):
+    r = rows(spark, [("a", "x", 1, 1.0), ("a", "x", 2, 2.0), ("b", "x", 1, 2.0), ("b", "x", 2, 4.0), ("b", "y", 1, 1.0), ("a", "y", 1, 1.0)], "arm string, observable string, seed int, value double")
+    assert [tuple(x) for x in experiments.per_observable(r, "a").select("observable", "arm", "delta").collect()] == [("x", "b", 1.5)]
+    table = {x["arm"]: x for x in experiments.arm_table(r.where("observable = 'x'"), "a").collect()}
+    assert table["a"]["delta"] is None and table["b"]["delta_floors"] == pytest.approx(1.5 / experiments.FLOOR)
+    assert [x["arm"] for x in experiments.presented(r.select("arm").distinct(), "arm", ("b",)).collect()] == ["b", "a"]
+
+
+def test_settings_and_selection(spark):
+    s = rows(spark, [(0, "n", "1"), (1, "n", "1"), (0, "k", "2"), (1, "k", "3")], "cell int, key string, value string")
+    assert [x["key"] for x in experiments.disagreements(s).collect()] == ["k"]
+    with pytest.raises(ValueError):
+        experiments.require_same_sample({"data_seed": 1}, {"data_seed": 2})
+    h = rows(spark, [("r", 0, 5.0), ("r", 1, 6.0)], "run string, epoch int, ess double")
+    got = experiments.value_at_selection(h, rows(spark, [("r", 1), ("q", 0)], "run string, epoch int")).collect()
+    assert {x["run"]: x["ess"] for x in got}["r"] == 6.0 and math.isnan({x["run"]: x["ess"] for x in got}["q"])
+    assert experiments.ensemble(h.withColumnRenamed("ess", "value")).first()["most"] == 6.0

@@ -128,3 +128,65 @@ def floor_estimate(values: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def scaling_exponent(floors: DataFrame) -> DataFrame:
     """Slope of ln sd over ln m."""
     return floors.agg(F.regr_slope(F.log("sd"), F.log("m")).alias("slope"))
+
+
+def ensemble(values: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """n, mean, sd, least and most of the values of each group."""
+    v = F.col("value")
+    return values.groupBy(*by).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("least"), F.max(v).alias("most"))
+
+
+def equivalence(pairs: DataFrame, margin: float) -> DataFrame:
+    """One row about paired values (seed, a, b): difference, error, t, p, wins of a, and the larger of two one-sided p-values.
+
+    Both one-sided tests ask whether the difference is within ``margin``: a
+    small ``p_equivalent`` says that it is.
+    """
+    d = F.col("a") - F.col("b")
+    out = pairs.agg(F.count("*").alias("n"), F.avg(d).alias("delta"), (F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("se"), F.count_if(d > 0).alias("wins"))
+    out = out.withColumns({"t": F.when(F.col("se") > 0, F.col("delta") / F.col("se")), "t_low": (F.col("delta") + margin) / F.col("se"), "t_high": (margin - F.col("delta")) / F.col("se")})
+    df = F.col("n") - 1
+
+    def one_sided(t: str) -> Column:
+        half = two_sided_p(F.col(t), df) / 2
+        return F.when(F.col(t) > 0, half).otherwise(1 - half)
+
+    return out.withColumns({"p": two_sided_p(F.col("t"), df), "p_equivalent": F.greatest(one_sided("t_low"), one_sided("t_high"))}).drop("t_low", "t_high")
+
+
+def disagreements(settings: DataFrame) -> DataFrame:
+    """Keys of (cell, key, value) that have several values among the cells that have them."""
+    return settings.groupBy("key").agg(F.countDistinct("value").alias("values")).where("values > 1").select("key")
+
+
+def require_same_sample(a: dict, b: dict, keys: tuple[str, ...] = ("variables", "n_samples", "data_seed")) -> None:
+    """Two runs can be compared event by event only if these settings are equal."""
+    differ = [k for k in keys if a.get(k) != b.get(k)]
+    if differ:
+        raise ValueError(f"different samples: {differ}")
+
+
+def value_at_selection(history: DataFrame, selected: DataFrame, value: str = "ess") -> DataFrame:
+    """run, value of each run at its selected epoch; NaN where the history lacks it."""
+    at = history.select("run", "epoch", value)
+    return selected.select("run", "epoch").join(at, ["run", "epoch"], "left").select("run", F.coalesce(value, F.lit(float("nan"))).alias(value))
+
+
+def presented(df: DataFrame, column: str, order: tuple[str, ...]) -> DataFrame:
+    """``df`` in a stated order of a column's values; others follow by name."""
+    place = F.array_position(F.array(*[F.lit(v) for v in order]), F.col(column))
+    return df.orderBy(F.when(place > 0, place).otherwise(len(order) + 1), column)
+
+
+def arm_table(runs: DataFrame, baseline: str) -> DataFrame:
+    """arm, n, mean, sd, se, and the paired difference from the baseline in resolutions."""
+    delta = paired_delta(runs, baseline).select("arm", "delta", F.col("se").alias("delta_se"), "p")
+    return arm_summary(runs).join(delta, "arm", "left").withColumn("delta_floors", F.col("delta") / FLOOR)
+
+
+def per_observable(runs: DataFrame, baseline: str) -> DataFrame:
+    """observable, arm, n, delta, se: paired differences on shared (observable, seed); keys with one seed are dropped."""
+    base = runs.where(F.col("arm") == baseline).select("observable", "seed", F.col("value").alias("_base"))
+    d = F.col("value") - F.col("_base")
+    both = runs.where(F.col("arm") != baseline).join(base, ["observable", "seed"])
+    return both.groupBy("observable", "arm").agg(F.count("*").alias("n"), F.avg(d).alias("delta"), (F.stddev_samp(d) / F.sqrt(F.count("*"))).alias("se")).where("n >= 2")
