@@ -6,36 +6,43 @@ pass w = 1 where y = 1.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.expressions import dot, improvement
+from weftline.functions.expressions import improvement
 from weftline.operators.binning import histogram
 
 #: Value ranges of one dimension that are cumulated on their own.
 STRETCHES = 1024
 
 
-def wasserstein(long: DataFrame, by: tuple[str, ...] = ("dim",)) -> DataFrame:
+def wasserstein(long: DataFrame, by: tuple[str, ...] = ("dim",), merge: bool = True) -> DataFrame:
     """by, w1: the area between the two distribution functions.
 
-    Equal values are merged first. Running sums go over value stretches: their
-    sums give every stretch its start, so no window spans a dimension.
+    Running sums go over value stretches: the stretches' sums give each its
+    start, so no window spans a dimension. Equal values are merged before the
+    rows are dealt out, unless ``merge`` is off: for projections, which hardly
+    ever repeat, that saves a shuffle of all rows.
     """
     y = F.col("y")
-    mass = long.groupBy(*by, "v").agg(F.sum(F.when(y == 1, F.col("w")).otherwise(0.0)).alias("a"), F.sum(F.when(y == 0, F.col("w")).otherwise(0.0)).alias("b"))
-    total = mass.groupBy(*by).agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    a, b = F.when(y == 1, F.col("w")).otherwise(0.0), F.when(y == 0, F.col("w")).otherwise(0.0)
+    total = long.groupBy(*by).agg(F.sum(a).alias("ta"), F.sum(b).alias("tb"), F.min("v").alias("lo"), F.max("v").alias("hi"))
     at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(STRETCHES - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * STRETCHES))).otherwise(F.lit(0))
-    net = mass.join(F.broadcast(total), [*by]).select(*by, "v", at.cast("int").alias("_stretch"), (F.col("a") / F.col("ta") - F.col("b") / F.col("tb")).alias("m"))  # a few rows a dimension
+    net = long.join(F.broadcast(total), [*by]).select(*by, "v", at.cast("int").alias("_stretch"), (a / F.col("ta") - b / F.col("tb")).alias("m"))  # one row a dimension
+    if merge:
+        net = net.groupBy(*by, "_stretch", "v").agg(F.sum("m").alias("m"))
     whole = Window.partitionBy(*by).orderBy("_stretch")
     starts = net.groupBy(*by, "_stretch").agg(F.sum("m").alias("m"), F.min("v").alias("first")).select(
         *by, "_stretch", F.coalesce(F.sum("m").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"), F.lead("first").over(whole).alias("then")
     )
     inside = Window.partitionBy(*by, "_stretch").orderBy("v")
-    steps = net.join(starts, [*by, "_stretch"]).select(
+    steps = net.join(F.broadcast(starts), [*by, "_stretch"]).select(  # STRETCHES rows a dimension
         *by,
-        (F.col("before") + F.sum("m").over(inside.rowsBetween(Window.unboundedPreceding, 0))).alias("height"),
+        (F.col("before") + F.sum("m").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))).alias("height"),
         (F.coalesce(F.lead("v").over(inside), F.col("then")) - F.col("v")).alias("width"),
     )
     return steps.groupBy(*by).agg(F.coalesce(F.sum(F.abs(F.col("height")) * F.col("width")), F.lit(0.0)).alias("w1"))
@@ -89,18 +96,30 @@ def sliced_wasserstein(spark: SparkSession, population: DataFrame, columns: tupl
     nature = F.col("y") == 1
     stats = population.agg(*[F.avg(F.when(nature, F.col(c))).alias(f"_m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(F.when(nature, F.col(c))).alias(f"_s{i}") for i, c in enumerate(columns)])
     scaled = population.crossJoin(F.broadcast(stats)).select(  # one row
-        "y", F.col(weight).alias("w"),
-        F.array(*[(F.col(c) - F.col(f"_m{i}")) / F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0) for i, c in enumerate(columns)]).alias("u"),
+        "y", F.col(weight).cast("double").alias("w"),
+        *[((F.col(c) - F.col(f"_m{i}")) / F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0)).alias(f"_u{i}") for i, c in enumerate(columns)],
     )
     out = None
     for at in range(0, len(directions), block):
-        table = spark.createDataFrame([(at + k, d) for k, d in enumerate(directions[at : at + block])], "dim int, d array<double>")
-        v = dot(F.col("u"), F.col("d"))
-        part = wasserstein(scaled.crossJoin(F.broadcast(table)).select("dim", "y", "w", (F.round(v, digits) if digits is not None else v).alias("v")))  # block directions
+        part = wasserstein(_projected(scaled, np.asarray(directions[at : at + block]), at, digits), merge=False)
         out = part if out is None else out.unionByName(part)
     return out.agg(F.avg("w1").alias("sliced_w1"))
 
 
+def _projected(scaled: DataFrame, directions: np.ndarray, first: int, digits: int | None) -> DataFrame:
+    """dim, y, w, v: every row of (y, w, coordinates) on each of a block of directions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]) @ directions.T
+            if digits is not None:
+                v = v.round(digits)
+            for k in range(len(directions)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, first + k, dtype=np.int32)), *batch.columns[:2], pa.array(np.ascontiguousarray(v[:, k]))], names=["dim", "y", "w", "v"])
+
+    return scaled.mapInArrow(run, "dim int, y int, w double, v double")
+
+
 def axis_wasserstein(population: DataFrame, columns: tuple[str, ...], weight: str = "w") -> DataFrame:
     """One row, axis_w1: the mean over the axes themselves, standardized as above."""
     eye = [[1.0 if i == j else 0.0 for j in range(len(columns))] for i in range(len(columns))]

@@ -446,9 +446,9 @@ def window_histogram(spark, sf):
 def sweep_response(spark, sf):
     """Distance between the samples after a cubic response, over 25 strengths."""
     z = tilt.standardized(_pop(spark, sf), ("z2",)).select("y", F.col("z2").alias("z"))
-    strengths = spark.range(25).select((F.col("id") / 24).alias("s"))
-    rows = z.crossJoin(F.broadcast(strengths)).select("s", "y", F.lit(1.0).alias("w"), F.round(gaussian.cubic_response(F.col("z"), F.col("s")), 9).alias("v"))  # 25 rows
-    return distances.wasserstein(rows, ("s",)).select(F.round("s", DIGITS).alias("s"), F.round("w1", DIGITS).alias("w1"))
+    views = F.array(*[F.struct(F.lit(i / 24).alias("s"), gaussian.cubic_response(F.col("z"), i / 24).alias("v")) for i in range(25)])
+    rows = z.select("y", F.lit(1.0).alias("w"), F.explode(views).alias("p")).select("p.s", "y", "w", "p.v")
+    return distances.wasserstein(rows, ("s",), merge=False).select(F.round("s", DIGITS).alias("s"), F.round("w1", DIGITS).alias("w1"))
 
 
 def config_hash(spark, sf):

@@ -256,7 +256,7 @@ SELECT round(avg(m), 6) AS nats, round(avg(m) / ln(2), 6) AS bits, round(sqrt(su
     ),
     "window_histogram": """SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, event_type, greatest(0, least(9, CAST(floor(value / 100 * 10) AS INTEGER))) AS bin, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL""",
     "sweep_response": with_pop(
-        f""", {STD}, k AS (SELECT i / 24 AS s FROM (SELECT unnest(range(25)) AS i)), long AS (SELECT s, y, 1.0 AS w, round(z2 + s * z2 * z2 * z2, 9) AS v FROM std, k), {w1('long', 's')}
+        f""", {STD}, k AS (SELECT i / 24 AS s FROM (SELECT unnest(range(25)) AS i)), long AS (SELECT s, y, 1.0 AS w, z2 + s * z2 * z2 * z2 AS v FROM std, k), {w1('long', 's')}
 SELECT round(s, 6) AS s, round(w1, 6) AS w1 FROM w"""
     ),
     "config_hash": """SELECT c_custkey, substr(sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '"}'), 1, 16) AS hash FROM customer""",
