@@ -375,3 +375,26 @@ def test_classes_equal_brute_force(spark):
                 p, q = sorted((find(ids[a]), find(ids[b])))
                 parent[q] = p
     assert got == {i: find(i) for i in ids}
+
+
+def test_variants_of_a_template_unlike_its_lead_equal_brute_force(spark):
+    rng = random.Random(4)
+    template = [f"t{i}" for i in range(400)]
+    centres = [[rng.random() < 0.5 for _ in range(40)] for _ in range(40)]
+    docs = []
+    for k in range(200):  # every bucket is large, and few texts are like any given one
+        sites = list(centres[k % 40])
+        for i in rng.sample(range(40), 5):
+            sites[i] = not sites[i]
+        docs.append((k, " ".join(f"other{i}" if i % 10 == 5 and sites[i // 10] else w for i, w in enumerate(template))))
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    seq = [word_hashes([t])[0] for _, t in docs]
+    sets = [set(order_minhash.kmers(w, np.asarray([len(w)]))[0].tolist()) for w in seq]
+    label = list(range(200))
+    for a in range(200):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if label[a] != label[b] and both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and order_minhash.similar(seq[a], seq[b]):
+                low, high = sorted((label[a], label[b]))
+                label = [low if x == high else x for x in label]
+    assert len(set(label)) > 10 and got == dict(enumerate(label))

@@ -13,13 +13,14 @@ the least id goes on. Those that agree in a sketch form a bucket. In the first
 pass every member is compared with the bucket's best-connected document, the
 one whose buckets are largest together: the text that a group's others were
 made from. The second pass looks at buckets whose members are still not all
-connected: in those of at most ``SMALL`` members all unconnected pairs are
-compared; larger ones are split by the next sketch too, and the parts are
-treated alike, except that in a part of more than ``SMALL`` members all are
-compared with two of them, of the least and the greatest label. No member is
-left out and the pairs stay in proportion to the members. What it may miss is a
-link inside a large group between two texts that are both unlike the group's
-centre and meet in large parts only; the README gives the measured share.
+connected. In those of at most ``SMALL`` members all unconnected pairs are
+compared. The members of all larger ones go through one exact join: k-mers are
+put in an order by how rare they are, and two texts can only be similar if they
+share one of their first k-mers in that order, a fifth of the longer text's and
+a ninth of the shorter one's, early enough in both. Pairs that are connected
+already are not made: of the texts with a k-mer, only those outside its largest
+class are paired with the others. So every similar pair that agrees in a sketch
+ends in one class, whatever the size of its buckets.
 
 A pair is linked if the Jaccard similarity of its k-mers is at least
 ``SIMILAR`` and so is the share of words that an alignment within a diagonal
@@ -52,6 +53,8 @@ from weftline.llm.wordhash import word_hashes
 WORDS, TAKEN, SKETCHES, SIMILAR = 5, 3, 20, 0.8
 #: Buckets of so many members are compared in full.
 SMALL = 12
+#: Counters of k-mers for their order.
+SLOTS = 1 << 20
 
 
 def kmers(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -227,6 +230,67 @@ def _within(members: DataFrame) -> DataFrame:
     return members.join(other, "key").where("id < id2 AND label <> label2").where(_alike("n", "n2")).select(*_pair("id", "id2"))
 
 
+def _sets(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Distinct k-mers of the texts in blocks: bounds of the block, text numbers in it, k-mers."""
+    begin, size = 0, 0
+    for end, t in enumerate(texts, 1):
+        size += len(t or "")
+        if size >= 1 << 20 or end == len(texts):
+            h, n = kmers(*word_hashes([x or "" for x in texts[begin:end]]))
+            of = np.repeat(np.arange(end - begin), n)
+            order = np.lexsort((h, of))
+            h, of = h[order], of[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])[: len(h)]
+            yield begin, end, of[new], h[new]
+            begin, size = end, 0
+
+
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(44)).astype(np.int64)
+
+
+def _joined(spark: SparkSession, texts: DataFrame) -> DataFrame:
+    """All pairs of differently labelled rows of (id, label, text) that can have similar sets of k-mers."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for _, _, _, h in _sets(batch.column(0).to_pylist()):
+                held += np.bincount(_slots(h), minlength=SLOTS)
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some])], names=["slot", "c"])
+
+    got = texts.select("text").mapInArrow(count, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # at most SLOTS rows
+    often = np.zeros(SLOTS, dtype=np.int64)
+    often[got["slot"].to_numpy()] = got["c"].to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end, of, h in _sets(batch.column(2).to_pylist()):
+                order = np.lexsort((h, shared.value[_slots(h)], of))
+                h = h[order]
+                n = np.bincount(of, minlength=end - begin)
+                place = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+                at = np.flatnonzero(place <= (n - np.ceil(SIMILAR * n - 1e-9))[of])
+                rows = pa.array(of[at] + begin)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h[at].view(np.int64)), batch.column(0).take(rows), batch.column(1).take(rows), pa.array(n[of[at]]), pa.array(place[at])], names=["g", "id", "label", "n", "place"]
+                )
+
+    rows = materialize(spark, texts.select("id", "label", "text").mapInArrow(first, "g long, id long, label long, n long, place long"), "prefixes")
+    classes = rows.groupBy("g", "label").agg(F.count("*").alias("c")).groupBy("g").agg(F.max(F.struct("c", "label")).alias("m"), F.count("*").alias("labels"))
+    rows = rows.join(classes.where("labels > 1").select("g", F.col("m.label").alias("most")), "g")
+    other = rows.select("g", *[F.col(c).alias(f"{c}2") for c in ("id", "label", "n", "place")])
+    both = rows.where("label <> most").join(other, "g").where("label <> label2 AND (label2 = most OR id < id2)")
+    shorter = (F.col("n") < F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") < F.col("id2")))
+    n, place = F.when(shorter, F.col("n")).otherwise(F.col("n2")), F.when(shorter, F.col("place")).otherwise(F.col("place2"))
+    share = SIMILAR / (1 + SIMILAR)
+    both = both.where(F.least("n", "n2") >= SIMILAR * F.greatest("n", "n2") - 1e-9).where(place <= n - F.ceil(2 * share * n - 1e-9))
+    both = both.where(F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) >= share * (F.col("n") + F.col("n2")) - 1e-9)
+    return both.select(*_pair("id", "id2"))
+
+
 def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id and class_id of every row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -234,8 +298,7 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = materialize(spark, made, "sketches")
     reps = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
     reps = materialize(spark, reps, "representatives")
-    after = F.transform("sketches", lambda x, i: F.struct(x.alias("key"), F.xxhash64(x, F.get("sketches", (i + 1) % SKETCHES)).alias("key2")))
-    members = reps.where("rep IS NOT NULL AND n > 0").select(F.col("rep").alias("id"), "n", F.explode(after).alias("s")).select("id", "n", "s.key", "s.key2")
+    members = reps.where("rep IS NOT NULL AND n > 0").select(F.col("rep").alias("id"), "n", F.explode("sketches").alias("key"))
     sizes = members.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     inside = materialize(spark, members.join(sizes, "key"), "buckets")
 
@@ -249,18 +312,15 @@ def near_classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     labels = connected_components(spark, links)
 
     # second pass: members of a bucket that aren't connected yet
-    named = inside.join(labels, "id", "left").select("key", "key2", "size", "id", "n", F.coalesce("label", "id").alias("label"))
+    named = inside.join(labels, "id", "left").select("key", "size", "id", "n", F.coalesce("label", "id").alias("label"))
     mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     named = materialize(spark, named.join(mixed, "key", "left_semi"), "open")
     small = named.where(F.col("size") <= SMALL).select("key", "id", "n", "label")
-    finer = named.where(F.col("size") > SMALL).select(F.xxhash64("key", "key2").alias("key"), "id", "n", "label")
-    parts = finer.groupBy("key").agg(F.count("*").alias("size"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key", "size")
-    finer = finer.join(parts, "key")
-    more = _within(small.unionByName(finer.where(F.col("size") <= SMALL).drop("size")))
-    large = finer.where(F.col("size") > SMALL)
-    heads = large.groupBy("key").agg(F.min(F.struct("label", "id", "n")).alias("p"), F.max(F.struct("label", "id", "n")).alias("q"))
-    heads = heads.select("key", F.explode(F.array("p", "q")).alias("h")).select("key", F.col("h.label").alias("label_h"), F.col("h.id").alias("h"), F.col("h.n").alias("n_h"))
-    more = more.unionByName(large.join(heads, "key").where("label <> label_h").where(_alike("n", "n_h")).select(*_pair("id", "h")))
+    more = _within(small)
+    large = materialize(spark, named.where(F.col("size") > SMALL).select("id", "label").distinct(), "large")
+    if large.limit(1).count():
+        texts = large.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").distinct()
+        more = more.unionByName(_joined(spark, materialize(spark, texts, "texts")))
     more = more.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
     found = materialize(spark, verify(more, docs).where("near").select("a", "b"), "links")
     if found.limit(1).count():
