@@ -137,6 +137,19 @@ def test_collision_rate_is_the_generalised_jaccard_similarity():
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.1
 
 
+@pytest.mark.parametrize("length", [200, 400])
+def test_near_copies_about_a_length_stay_alike(length):
+    rng = random.Random(length)
+    likes = []
+    for _ in range(40):
+        words = [f"{rng.randrange(16**4):04x}" for _ in range(length // 5 + 1)]
+        a, b = " ".join(words), " ".join(words[:-2])
+        assert len(b) < length < len(a)
+        f = weighted_sampling.fingerprints([a, b])
+        likes.append(weighted_sampling.likeness(f[:1], f[1:])[0])
+    assert np.mean(likes) > 0.8
+
+
 def test_edited_texts_follow_the_order_of_ids(spark):
     got = {r["doc_id"]: r for r in weighted_sampling.op4_fingerprints(spark, SF).collect()}
     rows = sorted(((r["doc_id"], r["text"] or "") for r in documents(spark).collect()), reverse=True)

@@ -1,8 +1,10 @@
 """Document fingerprints by consistent weighted sampling.
 
 Terms of a text: its words (weight 1/2 per occurrence), its runs of three
-words, the first ones padded (weight 1 per occurrence), and, in texts of at
-most ``SHORT`` code points, its runs of four bytes (weight 1 per occurrence).
+words, the first ones padded (weight 1 per occurrence), and, in short texts,
+its runs of four bytes. These weigh 1 per occurrence up to ``SHORT`` code points
+and fade evenly to 0 at twice as many, so near copies of about equal length have
+about equal weights.
 
 Sample k draws for each term r and c from Gamma(2, 1) and b from (0, 1), the
 same for the term in every text, and takes the term with the least
@@ -72,12 +74,13 @@ def weighted_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     if len(words) > 2:
         two[2:] = np.where(which[2:] == which[:-2], words[:-2], 0)
     runs = mix(words * np.uint64(3) + one * np.uint64(0x2545F4914F6CDD1D) + two * np.uint64(0x9E3779B97F4A7C15))
-    short = [i for i, t in enumerate(texts) if len(t) <= SHORT]
+    share = np.asarray([min(1.0, max(0.0, 2 - len(t) / SHORT)) for t in texts], dtype=np.float32)
+    short = np.flatnonzero(share).tolist()
     grams, gram_counts = byte_grams([texts[i] for i in short], 4)
     grams = mix(grams + np.uint64(77))
-    # the text's number above the term's 46 bits; the lowest bit says whether an occurrence weighs a half
+    # the text's number above the term's 46 bits; the lowest bits tell words (1 or 3), runs of words (0) and of bytes (2)
     number = np.concatenate([which, which, np.repeat(np.asarray(short, dtype=np.int64), gram_counts)]).astype(np.uint64)
-    term = np.concatenate([words | np.uint64(1), runs & ~np.uint64(1), grams & ~np.uint64(1)]) & np.uint64((1 << 46) - 1)
+    term = np.concatenate([words | np.uint64(1), runs & ~np.uint64(3), grams & ~np.uint64(3) | np.uint64(2)]) & np.uint64((1 << 46) - 1)
     packed = np.sort((number << np.uint64(46)) | term)
     if not len(packed):
         return np.zeros(0, dtype=np.int64), packed, np.zeros(0, dtype=np.float32)
@@ -85,7 +88,9 @@ def weighted_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     times = np.diff(np.append(first, len(packed))).astype(np.float32)
     packed = packed[first]
     term = packed & np.uint64((1 << 46) - 1)
-    return (packed >> np.uint64(46)).astype(np.int64), term, np.where(term & np.uint64(1), times * np.float32(0.5), times)
+    number = (packed >> np.uint64(46)).astype(np.int64)
+    kind = term & np.uint64(3)
+    return number, term, times * np.where(kind & np.uint64(1), np.float32(0.5), np.where(kind == 2, share[number], np.float32(1)))
 
 
 def _sample(texts: list[str], part: int = 4096) -> np.ndarray:
