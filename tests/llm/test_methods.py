@@ -137,17 +137,18 @@ def test_collision_rate_is_the_generalised_jaccard_similarity():
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.1
 
 
-@pytest.mark.parametrize("length", [200, 400])
-def test_near_copies_about_a_length_stay_alike(length):
-    rng = random.Random(length)
-    likes = []
-    for _ in range(40):
-        words = [f"{rng.randrange(16**4):04x}" for _ in range(length // 5 + 1)]
-        a, b = " ".join(words), " ".join(words[:-2])
-        assert len(b) < length < len(a)
-        f = weighted_sampling.fingerprints([a, b])
-        likes.append(weighted_sampling.likeness(f[:1], f[1:])[0])
-    assert np.mean(likes) > 0.8
+def test_likeness_does_not_depend_on_a_length():
+    """One more character at any length about 200 moves the likeness as little as anywhere else."""
+    rng = random.Random(3)
+    means = []
+    for length in range(190, 211):
+        likes = []
+        for _ in range(30):
+            text = " ".join(f"{rng.randrange(16**4):04x}" for _ in range(50))[:length]
+            f = weighted_sampling.fingerprints([text, text + "z"])
+            likes.append(weighted_sampling.likeness(f[:1], f[1:])[0])
+        means.append(np.mean(likes))
+    assert min(means) > 0.85 and max(abs(a - b) for a, b in zip(means, means[1:])) < 0.1
 
 
 def test_edited_texts_follow_the_order_of_ids(spark):
@@ -158,17 +159,20 @@ def test_edited_texts_follow_the_order_of_ids(spark):
     assert np.mean([r["near_edited"] > r["near_next"] for r in got.values()]) > 0.95
 
 
-def test_ranges_give_the_same_chain_as_one(spark):
-    docs = documents(spark)
-    few = {r["doc_id"]: r["edited_sha256"] for r in weighted_sampling.fingerprint_documents(docs).collect()}
-    before, weighted_sampling.RANGE = weighted_sampling.RANGE, 17
-    try:
-        many = weighted_sampling.with_next(docs, 17)
-        assert many.where("head").count() > 5
-        chain = many.select("piece", "head", "doc_id").collect()
-    finally:
-        weighted_sampling.RANGE = before
-    assert len([r for r in chain if not r["head"]]) == len(few)
+def test_any_number_of_ranges_gives_the_chain_of_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choices("ab cd ef gh ij".split(), k=rng.randint(0, 9)))) for i in rng.sample(range(10**6), 700)]
+    rows += [(None, f"no id {i}") for i in range(200)] + [(77, f"same id {i}") for i in range(200)] + [(rows[0][0], rows[0][1])] * 5 + [(5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ordered = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).collect()
+    ordered = sorted(ordered, key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), r["h"], r["text"]))
+    want = sorted(
+        (str(a["doc_id"]), len(a["text"]), hashlib.sha256(weighted_sampling.edited(a["text"], b["text"]).encode()).hexdigest())
+        for a, b in zip(ordered, ordered[1:] + ordered[:1])
+    )
+    for ranges in (1, 24, None):
+        out = weighted_sampling.fingerprint_documents(spark, docs, ranges)
+        assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in out.collect()) == want
 
 
 # -- toxicity ---------------------------------------------------------------

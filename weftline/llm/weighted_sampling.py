@@ -1,10 +1,7 @@
 """Document fingerprints by consistent weighted sampling.
 
-Terms of a text: its words (weight 1/2 per occurrence), its runs of three
-words, the first ones padded (weight 1 per occurrence), and, in short texts,
-its runs of four bytes. These weigh 1 per occurrence up to ``SHORT`` code points
-and fade evenly to 0 at twice as many, so near copies of about equal length have
-about equal weights.
+Terms of a text, alike at every length: its words (weight 1/2 per occurrence)
+and its runs of three words, the first ones padded (weight 1 per occurrence).
 
 Sample k draws for each term r and c from Gamma(2, 1) and b from (0, 1), the
 same for the term in every text, and takes the term with the least
@@ -21,13 +18,17 @@ A fingerprint has ``SAMPLES`` samples, each kept as 16 bits of a hash of
 samples. Texts without any word share one fingerprint, so equal texts always
 have equal ones.
 
-Next documents: ids are cut into ranges by quantiles, each range is sorted on
-its own, and the first row of the range that follows is added to it, so no
-order over all rows is needed in one place.
-
-Defined results: a null text is empty; rows of one id are ordered by text; null
-ids come last; of one document alone the next is itself; an empty table gives
-no rows.
+Next documents: rows are range-partitioned by descending id and sorted inside
+their partition, so a row's next is the row after it. A partition gives its
+first and its last row besides; these, two a partition, are joined to each
+other by partition number. Nothing about single rows comes to the driver.
+
+Defined results: a null text is empty; rows of one id (and all rows without
+one, which come last) are ordered by a hash of their text, then by the text, so
+even they may spread over partitions; repeated rows give repeated results; of
+one document alone the next is itself; an empty table gives no rows; further
+columns, whatever their names, are ignored; a very long text is fingerprinted
+whole, in parts of a few thousand terms.
 """
 
 from __future__ import annotations
@@ -36,20 +37,17 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import materialize, table
 from weftline.llm.textarrays import mix
-from weftline.llm.wordhash import byte_grams, word_hashes
+from weftline.llm.wordhash import word_hashes
 
 SAMPLES = 48
-SHORT = 200
 ROW_BITS = 12
-#: Documents in one id range.
-RANGE = 6_000
 _DRAWN: dict[str, np.ndarray] = {}
 
 
@@ -74,13 +72,9 @@ def weighted_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     if len(words) > 2:
         two[2:] = np.where(which[2:] == which[:-2], words[:-2], 0)
     runs = mix(words * np.uint64(3) + one * np.uint64(0x2545F4914F6CDD1D) + two * np.uint64(0x9E3779B97F4A7C15))
-    share = np.asarray([min(1.0, max(0.0, 2 - len(t) / SHORT)) for t in texts], dtype=np.float32)
-    short = np.flatnonzero(share).tolist()
-    grams, gram_counts = byte_grams([texts[i] for i in short], 4)
-    grams = mix(grams + np.uint64(77))
-    # the text's number above the term's 46 bits; the lowest bits tell words (1 or 3), runs of words (0) and of bytes (2)
-    number = np.concatenate([which, which, np.repeat(np.asarray(short, dtype=np.int64), gram_counts)]).astype(np.uint64)
-    term = np.concatenate([words | np.uint64(1), runs & ~np.uint64(3), grams & ~np.uint64(3) | np.uint64(2)]) & np.uint64((1 << 46) - 1)
+    # the text's number above the term's 46 bits; the lowest bit tells words (1) from runs (0)
+    number = np.concatenate([which, which]).astype(np.uint64)
+    term = np.concatenate([words | np.uint64(1), runs & ~np.uint64(1)]) & np.uint64((1 << 46) - 1)
     packed = np.sort((number << np.uint64(46)) | term)
     if not len(packed):
         return np.zeros(0, dtype=np.int64), packed, np.zeros(0, dtype=np.float32)
@@ -89,8 +83,7 @@ def weighted_terms(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     packed = packed[first]
     term = packed & np.uint64((1 << 46) - 1)
     number = (packed >> np.uint64(46)).astype(np.int64)
-    kind = term & np.uint64(3)
-    return number, term, times * np.where(kind & np.uint64(1), np.float32(0.5), np.where(kind == 2, share[number], np.float32(1)))
+    return number, term, times * np.where(term & np.uint64(1), np.float32(0.5), np.float32(1))
 
 
 def _sample(texts: list[str], part: int = 4096) -> np.ndarray:
@@ -146,81 +139,75 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def with_next(docs: DataFrame, per_range: int = RANGE) -> DataFrame:
-    """(doc_id, text) in id ranges, partitions sorted by descending id.
-
-    A row with ``head`` set ends each range; it repeats the first row of the
-    range that follows (after the last: of the first).
-    """
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: A partition's first and last row also come with their text.
+EDGES = f"{RESULT}, part int, edge string, text string"
+
+
+def _compared(ids: list, own: list[str], following: list[str], a: np.ndarray, b: np.ndarray) -> list[pa.Array]:
+    """The columns of ``RESULT`` for texts with fingerprints ``a`` and the texts after them with ``b``."""
+    changed = [edited(x, y) for x, y in zip(own, following)]
+    new = fingerprints(changed)
+    return [
+        pa.array(ids, pa.int64()),
+        pa.array([len(x) for x in own], pa.int64()),
+        pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in changed], pa.string()),
+        pa.array(written(a), pa.string()),
+        pa.array(written(new), pa.string()),
+        pa.array(likeness(a, new), pa.float64()),
+        pa.array(likeness(a, b), pa.float64()),
+    ]
+
+
+NAMES = [x.split()[0] for x in RESULT.split(", ")]
+
+
+def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every row of a sorted partition but the last, compared with its next; then the first and the last."""
+    part = TaskContext.get().partitionId()
+    first = last = sign = None
+
+    def edge(row: tuple, name: str) -> pa.RecordBatch:
+        columns = [pa.array([row[0]], pa.int64()), *[pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([part], pa.int32()), pa.array([name]), pa.array([row[1]], pa.string())], names=[*NAMES, "part", "edge", "text"])
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            b = batch.slice(at, 500)
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            signs = fingerprints(texts)
+            if last is None:
+                first = (ids[0], texts[0])
+            else:
+                ids, texts, signs = [last[0], *ids], [last[1], *texts], np.concatenate([sign[None], signs])
+            last, sign = (ids[-1], texts[-1]), signs[-1]
+            n = len(ids) - 1
+            if n:
+                done = _compared(ids[:-1], texts[:-1], texts[1:], signs[:-1], signs[1:])
+                yield pa.RecordBatch.from_arrays([*done, pa.array([part] * n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names=[*NAMES, "part", "edge", "text"])
+    if last is not None:
+        yield edge(first, "first")
+        yield edge(last, "last")
+
+
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        ids, own, following = (b.column(i).to_pylist() for i in range(3))
+        yield pa.RecordBatch.from_arrays(_compared(ids, own, following, fingerprints(own)[: len(own)], fingerprints(following)[: len(own)]), names=NAMES)
+
+
+def fingerprint_documents(spark: SparkSession, docs: DataFrame, ranges: int | None = None) -> DataFrame:
+    """``RESULT`` for every row of (doc_id, text); ``ranges`` fixes the number of partitions."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = docs.count()
-    cuts: list[int] = []
-    if n > per_range:
-        shares = [i * per_range / n for i in range(1, -(-n // per_range))]
-        cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", shares, 100_000)).first()[0] or []))
-    edges = np.asarray(cuts, dtype=np.int64)  # one number for each range
-
-    @F.pandas_udf("int")
-    def piece(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.full(len(ids), -1, dtype=np.int32)
-        out[known] = np.searchsorted(edges, ids[known].astype("int64").to_numpy(), side="left")
-        return pd.Series(out)
-
-    # ids as text inside the function would lose nothing, but ids above 2**53 beside nulls would: nulls are named first
-    docs = docs.withColumn("piece", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(piece(F.coalesce("doc_id", F.lit(0)))))
-    tops = docs.groupBy("piece").agg(F.max("doc_id").alias("top"))
-    order = sorted((r["piece"], r["top"]) for r in tops.collect())[::-1]  # one row a range
-    if not order:
-        return docs.withColumn("head", F.lit(False))
-    spark = docs.sparkSession
-    moves = [(p, top, order[i - 1][0]) for i, (p, top) in enumerate(order)]  # the head of a range goes to the range before it
-    heads = docs.join(F.broadcast(spark.createDataFrame(moves, "piece int, top long, before int")), "piece").where(F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = heads.groupBy("before", "doc_id").agg(F.min("text").alias("text"))
-    rows = docs.select("piece", F.lit(False).alias("head"), "doc_id", "text").unionByName(
-        heads.select(F.col("before").alias("piece"), F.lit(True).alias("head"), "doc_id", "text")
-    )
-    return rows.repartitionByRange(len(order), "piece").sortWithinPartitions("piece", "head", F.desc_nulls_last("doc_id"), "text")
-
-
-ADDED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-
-
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    rows = with_next(docs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last row waits for the one after it
-        for batch in batches:
-            # Arrow batches of long texts are cut further, so memory follows the longest texts only
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                texts, heads, ids = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("text", "head", "doc_id"))
-                signs = fingerprints(texts)
-                chain = list(zip(ids, texts, heads, signs))
-                if held is not None:
-                    chain.insert(0, held)
-                pairs = [(x, y) for x, y in zip(chain, chain[1:]) if not x[2]]
-                held = chain[-1] if chain and not chain[-1][2] else None
-                if not pairs:
-                    continue
-                changed = [edited(x[1], y[1]) for x, y in pairs]
-                own, other, new = np.stack([x[3] for x, _ in pairs]), np.stack([y[3] for _, y in pairs]), fingerprints(changed)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([x[0] for x, _ in pairs], pa.int64()),
-                        pa.array([len(x[1]) for x, _ in pairs], pa.int64()),
-                        pa.array([hashlib.sha256(t.encode()).hexdigest() for t in changed], pa.string()),
-                        pa.array(written(own), pa.string()),
-                        pa.array(written(new), pa.string()),
-                        pa.array(likeness(own, new), pa.float64()),
-                        pa.array(likeness(own, other), pa.float64()),
-                    ],
-                    names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-                )
-
-    return rows.mapInArrow(run, ADDED)
+    key = [F.desc_nulls_last("doc_id"), F.xxhash64("text")]
+    parted = docs.repartitionByRange(ranges, *key) if ranges else docs.repartitionByRange(*key)
+    rows = materialize(spark, parted.sortWithinPartitions(*key, "text").mapInArrow(_chain, EDGES), "fingerprints")
+    firsts = rows.where("edge = 'first'").select("part", F.col("text").alias("following"))  # one row a partition
+    order = Window.orderBy("part")  # over one number a partition
+    after = firsts.select("part", F.coalesce(F.lead("part").over(order), F.min("part").over(order)).alias("after"))
+    ends = rows.where("edge = 'last'").select("part", "doc_id", "text").join(after, "part").join(firsts.withColumnRenamed("part", "after"), "after")
+    return rows.where("edge IS NULL").select(*NAMES).unionByName(ends.select("doc_id", "text", "following").mapInArrow(_pairs, RESULT))
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_documents(table(spark, sf_dir, "documents"))
+    return fingerprint_documents(spark, table(spark, sf_dir, "documents"))

@@ -56,18 +56,3 @@ def word_hashes(texts: list[str], tail: int = 0) -> tuple[np.ndarray, ...]:
         late = np.maximum(begin, end - tail)
         return hashes, counts, mix((total[end] - total[late]) * inverse[late] + np.uint64(tail))
     return hashes, counts
-
-
-def byte_grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all runs of ``n`` bytes inside each text (the whole text, if shorter), and their numbers."""
-    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-    lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-    flat = np.frombuffer(b"".join(raw), dtype=np.uint8)
-    value, power, inverse = _tables(len(flat) + 1)
-    total = np.zeros(len(flat) + 1, dtype=np.uint64)
-    np.cumsum(value[flat] * power[: len(flat)], out=total[1:])
-    counts = np.where(lengths > 0, np.maximum(lengths - n + 1, 1), 0)
-    first = np.repeat(np.cumsum(lengths) - lengths, counts)
-    begin = first + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    end = np.minimum(begin + n, np.repeat(np.cumsum(lengths), counts))
-    return mix((total[end] - total[begin]) * inverse[begin]), counts
