@@ -286,6 +286,33 @@ def test_base_scores_and_a_better_model(spark, monkeypatch, head):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_every_training_document_teaches_and_probabilities_add_up_to_one(spark):
+    rng = random.Random(4)
+    texts = [" ".join(f"w{min(rng.randrange(3000), rng.randrange(3000))}" for _ in range(rng.randint(0, 80))) for _ in range(400)]
+    train = spark.createDataFrame(list(enumerate(texts)) + [(None, None)], "doc_id long, text string")
+    counts = maxent_lm.count_tokens(spark, train)
+    model = maxent_lm.fit(spark, train, counts)
+    e = maxent_lm.events(model, texts)
+    rows = np.unique(maxent_lm._class_rows(e.features))
+    assert model.class_weights[rows].any(axis=1).all()
+    vocabulary = sorted({w for t in texts for w in t.split()}) + ["unseen"]
+    n = Counter(w for t in texts for w in t.split())
+    for history in ("w1 w2", "w2900 w3", "new words"):
+        e = maxent_lm.events(model, [f"{history} {w}" for w in vocabulary] + [history])
+        third = np.cumsum(e.per_text) - e.per_text + 2  # of the history alone: its end
+        p = np.exp(maxent_lm.log_probabilities(model, e))[third]
+        share = np.asarray([(n[w] + 1) / (model.other_total + model.other_distinct + 1) for w in vocabulary] + [1.0])
+        assert np.where(e.cls[third] == maxent_lm.CLASSES, share, 1.0) @ p == pytest.approx(1, rel=1e-4)
+
+
+def test_pairwise_sums_equal_plain_ones():
+    g = np.random.Generator(np.random.PCG64(2))
+    lengths = g.integers(1, 40, 50)
+    starts = np.cumsum(lengths) - lengths
+    rows = g.random((lengths.sum(), 3))
+    assert np.allclose(maxent_lm._summed(rows.copy(), starts, lengths), np.add.reduceat(rows, starts, axis=0))
+
+
 def test_head_finds_what_it_holds():
     g = np.random.Generator(np.random.PCG64(1))
     keys = g.integers(0, 1 << 63, 5000).astype(np.uint64)
