@@ -17,19 +17,27 @@ before it (hashed) and its neighbouring characters; its counts are one grouped
 sum. A candidate is kept if the classifier gives it at least one half.
 
 Positions: a text is split at the matches; a match starts where the parts and
-matches before it end. Loops over groups are avoided: separators inside a match
-are first replaced, one code point for one, by a private-use character, so that
-every pattern is a run over one character class and long texts cannot exhaust
-the regular-expression stack or scan a run of characters twice.
+matches before it end, a running sum made in blocks of about the square root of
+their number. Loops over groups are avoided: separators inside a match are first
+replaced, one code point for one, by a private-use character, so that every
+pattern is a run over one character class and long texts cannot exhaust the
+regular-expression stack or scan a run of characters twice. Candidates are
+searched in a copy of the text with the base spans blotted out, so none overlaps
+one. Contexts and the pieces between spans are read from pages of ``PAGE`` code
+points, so no step walks from the start of a text to each of its matches: the
+time grows with the text and with its matches, not with their product.
 
 Defined results: a null text is empty and has no spans; offsets are code
-points, ends exclusive; repeated rows have the same spans; an empty table gives
-no rows; without candidates nothing is added.
+points, ends exclusive; spans that start together are ordered by kind as listed;
+repeated rows have the same spans; an empty table gives no rows; without
+candidates nothing is added; other columns, whatever their names, pass through
+``redacted`` and are ignored by the query; very long texts are searched whole.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,15 +47,24 @@ from weftline.llm.common import materialize, table
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "account", "local_phone", "person")
 KINDS = (*BASE, *ADDED)
-MARK, OTHER = "", ""
+MARK, OTHER, BLOT = "\ue000", "\ue001", "\ue002"
 WORD_BUCKETS = 64
+PAGE = 1024
 
-# Words before personal data, and before what only looks like it.
+# Words before personal data, and before what only looks like it (English, German, French, Spanish).
 FOR_WORDS = (
     "token key secret password passwd pwd credential apikey bearer auth account acct iban card number no nr phone tel telephone mobile cell call fax "
-    "contact name owner patient customer mr mrs ms dr prof ssn id user login"
+    "contact name owner patient customer mr mrs ms dr prof ssn id user login "
+    "passwort kennwort schlüssel konto kontonummer karte kartennummer nummer telefon telefonnummer handy kunde kundin inhaber benutzer "
+    "passe clé compte carte numéro téléphone portable titulaire client cliente utilisateur "
+    "contraseña clave cuenta tarjeta número teléfono móvil titular usuario"
 ).split()
-AGAINST_WORDS = "version license licence page pages isbn issn figure table section chapter build revision commit sha md5 checksum hash doi".split()
+AGAINST_WORDS = (
+    "version license licence page pages isbn issn figure table section chapter build revision commit sha md5 checksum hash doi "
+    "lizenz seite seiten abbildung tabelle abschnitt kapitel ausgabe prüfsumme "
+    "licence tableau chapitre édition révision licencia página páginas figura tabla sección capítulo edición revisión"
+).split()
+TITLES = "Mr Mrs Ms Dr Prof Herr Frau Monsieur Madame Mme Mlle Señor Señora Don Doña Sr Sra".split()
 
 LOCAL = "A-Za-z0-9._%+\\-" + MARK
 EMAIL = f"(?:\\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++{MARK}[A-Za-z0-9\\-{MARK}]*+"
@@ -56,28 +73,82 @@ CARD = f"[0-9][0-9{MARK}]++"
 PHONE = "\\+[0-9][ ().0-9-]+[0-9]"
 SECRET = "(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{24,}+"
 LOCAL_PHONE = "\\([0-9]{3}\\) ?[0-9]{3}-[0-9]{4}"
-PERSON = "(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof)\\.? [A-Z][a-z]{1,30}+(?: [A-Z][a-z]{1,30}+)?"
+PERSON = f"(?<!\\p{{L}})(?:{'|'.join(TITLES)})\\.? \\p{{Lu}}\\p{{Ll}}{{1,30}}+(?: \\p{{Lu}}\\p{{Ll}}{{1,30}}+)?"
+
+_SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """The fold of the ints before each position (an exclusive scan from 0), for an associative ``op``.
+
+    Growing an array by one element copies it, so arrays are folded in blocks of
+    about the square root of their size.
+    """
 
-_NONE = "array<struct<start:int,end:int,text:string>>"
+    def short(xs: Column, start: Column) -> Column:
+        return F.aggregate(
+            xs,
+            F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda a, x: F.struct(op(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+            lambda a: a["out"],
+        )
+
+    def blocks(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        return _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / w).cast("int"), F.lit(0))), lambda i: F.slice(v, i * w + 1, w)))
+
+    def folded(bs: Column) -> Column:
+        starts = short(F.transform(bs, lambda b: F.aggregate(b, F.lit(0), op)), F.lit(0))
+        return F.flatten(F.zip_with(bs, starts, short))
+
+    return _let(_let(values, blocks), folded)
 
 
 def _positions(text: Column, pattern: str, maybe: Column) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end, text>>; none where ``maybe`` is false."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    found = F.aggregate(
-        F.zip_with(matches, F.slice(parts, 1, F.size(matches)), lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_NONE).alias("out")),
-        lambda a, x: F.struct(
-            (a["at"] + x["gap"] + F.length(x["m"])).alias("at"),
-            F.concat(
-                a["out"],
-                F.array(F.struct((a["at"] + x["gap"]).alias("start"), (a["at"] + x["gap"] + F.length(x["m"])).alias("end"), x["m"].alias("text"))),
-            ).alias("out"),
-        ),
-        lambda a: a["out"],
-    )
-    return F.when(maybe, found).otherwise(F.array().cast(_NONE))
+    gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
+
+    def placed(v: Column) -> Column:
+        ends = _before(F.transform(v, lambda z: F.length(z["m"]) + z["g"]), lambda a, x: a + x)
+        return F.zip_with(
+            v, ends, lambda z, at: F.struct((at + z["g"]).alias("start"), (at + z["g"] + F.length(z["m"])).alias("end"), z["m"].alias("text"))
+        )
+
+    # one gap more than matches follows the last of them
+    found = _let(F.filter(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda z: z["m"].isNotNull()), placed)
+    return F.when(maybe, found).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+
+
+def _pages(text: Column) -> Column:
+    """The text in pieces of ``PAGE`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+
+def _part(pages: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end`` (exclusive), read from its pages."""
+    a, b = F.floor(start / PAGE).cast("int"), F.floor(end / PAGE).cast("int")
+    head, tail = F.coalesce(F.get(pages, a), F.lit("")), F.coalesce(F.get(pages, b), F.lit(""))
+    within = F.substring(head, start % PAGE + 1, end - start)
+    over = F.concat(F.substring(head, start % PAGE + 1, F.lit(PAGE)), F.concat_ws("", F.slice(pages, a + 2, F.greatest(b - a - 1, F.lit(0)))), F.substring(tail, F.lit(1), end % PAGE))
+    return F.when(end <= start, "").when(a == b, within).otherwise(over)
+
+
+def _replaced(text: Column, spans: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with each of the sorted ``spans`` replaced by ``by(span, end of those before it)``."""
+
+    def whole(v: Column) -> Column:
+        held = _before(F.transform(v["spans"], lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        pieces = F.zip_with(v["spans"], held, lambda s, at: F.concat(_part(v["pages"], at, s["start"]), by(s, at)))
+        last = F.array_max(F.transform(v["spans"], lambda s: s["end"]))
+        return F.concat(F.concat_ws("", pieces), _part(v["pages"], last, F.length(text)))
+
+    return F.when(F.size(spans) > 0, _let(F.struct(_pages(text).alias("pages"), spans.alias("spans")), whole)).otherwise(text)
 
 
 def _of_kind(matches: Column, kind: int) -> Column:
@@ -109,11 +180,15 @@ def find_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     d = docs.select(F.struct(*(keep or docs.columns)).alias("row"), t.alias("text"))
     text = F.col("text")
     has_card = text.rlike("[0-9](?:[ -]?[0-9]){13}")
-    d = d.withColumn("emails", _positions(_marked(text, "(?<=[A-Za-z0-9-])\\.(?=[A-Za-z0-9-])"), EMAIL, text.contains("@")))
-    d = d.withColumn("ips", _positions(text, IP, text.rlike("[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]")))
-    d = d.withColumn("cards", _positions(_marked(text, "(?<=[0-9])[ -](?=[0-9])"), CARD, has_card))
-    d = d.withColumn("cards", F.filter("cards", lambda x: F.length(_digits(x["text"])).between(14, 19)))
-    d = d.withColumn("phones", _positions(text, PHONE, text.contains("+")))
+    cards = _positions(_marked(text, "(?<=[0-9])[ -](?=[0-9])"), CARD, has_card)
+    d = d.select(
+        "row",
+        "text",
+        _positions(_marked(text, "(?<=[A-Za-z0-9-])\\.(?=[A-Za-z0-9-])"), EMAIL, text.contains("@")).alias("emails"),
+        _positions(text, IP, text.rlike("[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]")).alias("ips"),
+        F.filter(cards, lambda x: F.length(_digits(x["text"])).between(14, 19)).alias("cards"),
+        _positions(text, PHONE, text.contains("+")).alias("phones"),
+    )
 
     def part_ok(p: Column) -> Column:
         short = F.regexp_replace(p, "^0+", "")
@@ -129,29 +204,41 @@ def find_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.concat(*[F.transform(_of_kind(c, k), lambda x: F.struct(x["start"], x["kind"], x["end"])) for k, c in enumerate(kept)])
     )
     d = d.withColumn("base", base)
+    blotted = _replaced(
+        F.translate(text, BLOT, OTHER), F.col("base"), lambda s, at: F.repeat(F.lit(BLOT), F.greatest(s["end"] - F.greatest(s["start"], at), F.lit(0)))
+    )
+    d = d.withColumn("text", blotted)
     wide = [
         F.filter(_positions(text, SECRET, text.rlike("[A-Za-z0-9_-]{24}")), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]")),
-        F.filter("cards", lambda x: ~_luhn(_digits(x["text"]))),
+        F.filter(
+            _positions(_marked(text, "(?<=[0-9])[ -](?=[0-9])"), CARD, text.rlike("[0-9](?:[ -]?[0-9]){13}")),
+            lambda x: _let(_digits(x["text"]), lambda n: F.length(n).between(14, 19) & ~_luhn(n)),
+        ),
         _positions(text, LOCAL_PHONE, text.rlike("\\([0-9]{3}\\)")),
-        _positions(text, PERSON, text.rlike("(?:Mr|Mrs|Ms|Dr|Prof)\\.? [A-Z]")),
+        _positions(text, PERSON, text.rlike(f"(?:{'|'.join(TITLES)})\\.? \\p{{Lu}}")),
     ]
-    found = F.concat(*[_of_kind(c, len(BASE) + k) for k, c in enumerate(wide)])
-    free = F.filter(found, lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-
-    def described(x: Column) -> Column:
-        left = F.lower(F.substring(F.col("text"), F.greatest(x["start"] - 39, F.lit(1)), F.least(x["start"], F.lit(40))))
-        return F.struct(
-            x["start"].alias("start"),
-            x["kind"].alias("kind"),
-            x["end"].alias("end"),
-            x["text"].alias("text"),
-            F.regexp_extract(left, "([\\p{L}]{1,30})[^\\p{L}]{0,12}$", 1).alias("word"),
-            F.regexp_extract(left, "([^\\p{L}\\p{N}]{1,4})$", 1).alias("before"),
-            F.substring(F.col("text"), x["end"] + 1, F.lit(1)).alias("after"),
-            F.exists("base", lambda b: (b["start"] < x["end"] + 80) & (b["end"] > x["start"] - 80)).alias("near"),
+    d = d.withColumn("free", F.concat(*[_of_kind(c, len(BASE) + k) for k, c in enumerate(wide)]))
+
+    def described(x: Column, pages: Column) -> Column:
+        left = F.lower(_part(pages, F.greatest(x["start"] - 80, F.lit(0)), x["start"]))
+        right = _part(pages, x["end"], x["end"] + 80)
+        return _let(
+            F.struct(F.right(left, F.lit(40)).alias("near"), left.alias("left"), right.alias("right")),
+            lambda c: F.struct(
+                x["start"].alias("start"),
+                x["kind"].alias("kind"),
+                x["end"].alias("end"),
+                x["text"].alias("text"),
+                F.regexp_extract(c["near"], "([\\p{L}]{1,30})[^\\p{L}]{0,12}$", 1).alias("word"),
+                F.regexp_extract(c["near"], "([^\\p{L}\\p{N}]{1,4})$", 1).alias("before"),
+                F.substring(c["right"], 1, 1).alias("after"),
+                (c["left"].contains(BLOT) | c["right"].contains(BLOT)).alias("near"),
+            ),
         )
 
-    return d.withColumn("free", free).select("row", "base", F.transform("free", described).alias("candidates"))
+    candidates = _let(_pages(text), lambda pages: F.transform("free", lambda x: described(x, pages)))
+    none = F.transform(F.slice("free", 1, 0), lambda x: described(x, F.array().cast("array<string>")))
+    return d.select("row", "base", F.when(F.size("free") > 0, candidates).otherwise(none).alias("candidates"))
 
 
 def votes(c: Column) -> list[Column]:
@@ -235,7 +322,7 @@ def features(c: Column) -> Column:
 
 def classify(spark: SparkSession, spans: DataFrame) -> DataFrame:
     """``spans`` (a written table) with ``added``: the candidates that the trained classifier keeps."""
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(_SPANS)
     flat = spans.select(F.explode("candidates").alias("c"))
     flat = flat.select(F.col("c.kind").alias("kind"), F.array(*votes(F.col("c"))).alias("votes"), features(F.col("c")).alias("features"))
     counts = {(r["kind"], tuple(r["votes"])): float(r["n"]) for r in flat.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()}  # at most kinds * 3 ** labelers rows
@@ -279,21 +366,7 @@ def detect(spark: SparkSession, docs: DataFrame, keep: list[str] | None = None)
 def redact(text: Column, spans: Column) -> Column:
     """``text`` with each span, overlapping ones joined, replaced by its kind in brackets."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    state = "struct<at:int,out:array<string>>"
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = s["start"] >= a["at"]
-        return F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(a["out"], F.array(F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.get(names, s["kind"])))).otherwise(a["out"]).alias("out"),
-        )
-
-    return F.aggregate(
-        F.array_sort(spans),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state),
-        step,
-        lambda a: F.concat(F.concat_ws("", a["out"]), F.substring(text, a["at"] + 1, F.length(text))),
-    )
+    return _replaced(text, F.array_sort(spans), lambda s, at: F.when(s["start"] >= at, F.get(names, s["kind"])).otherwise(""))
 
 
 def redacted(spark: SparkSession, docs: DataFrame) -> DataFrame:
