@@ -20,7 +20,8 @@ the score is that count divided by n.
 Defined results: a null text, an empty text and a text without letters give
 ``und`` and score 0; so does every text if there is nothing to learn from.
 Rows are treated one by one (repeated rows give repeated results); rows with
-null ids are kept; further columns are ignored by the query.
+null ids are kept; further columns are ignored by the query; a very long text
+is counted whole; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -1,4 +1,4 @@
-"""Texts as flat numpy arrays, in blocks of bounded size.
+"""Texts as flat numpy arrays, in blocks of whole texts.
 
 Operators that look at every character work on one flat array per block of
 texts instead of one Python call per character or word.
@@ -14,30 +14,19 @@ BLOCK = 1 << 20
 
 
 def blocks(texts: Sequence[str | None], limit: int = BLOCK) -> Iterator[tuple[np.ndarray, list[str]]]:
-    """(row numbers, texts) whose lengths add up to about ``limit``.
-
-    A text longer than ``limit`` comes in several parts, cut before a blank
-    where there is one, so a row number may appear several times.
-    """
+    """(row numbers, texts) whose lengths add up to about ``limit``; every text is whole."""
     rows: list[int] = []
     parts: list[str] = []
     held = 0
     for i, text in enumerate(texts):
         if not isinstance(text, str) or not text:
             continue
-        at = 0
-        while at < len(text):
-            end = len(text)
-            if end - at > limit:
-                cut = text.rfind(" ", at + 1, at + limit)
-                end = cut if cut > at else at + limit
-            rows.append(i)
-            parts.append(text[at:end])
-            held += end - at
-            at = end
-            if held >= limit:
-                yield np.asarray(rows), parts
-                rows, parts, held = [], [], 0
+        rows.append(i)
+        parts.append(text)
+        held += len(text)
+        if held >= limit:
+            yield np.asarray(rows), parts
+            rows, parts, held = [], [], 0
     if rows:
         yield np.asarray(rows), parts
 

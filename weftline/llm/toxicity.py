@@ -4,11 +4,12 @@ Folding: code points are lower-cased, look-alike letters of other scripts
 become Latin ones, digits and signs inside a word become the letters they
 stand for, and everything else that isn't a letter becomes a blank.
 
-Lexicon: whole words (`` word ``) and word beginnings (`` wor``), since
-inflected forms share a stem. An entry's weight is the smoothed log ratio of
-its rates in toxic and clean training texts; it needs ``MIN_SUPPORT`` toxic
-texts and a weight of at least ``MIN_WEIGHT``, and is dropped if a shorter
-kept entry says the same. At most ``LEXICON_SIZE`` entries are kept.
+Lexicon: whole words (`` word ``) and word beginnings of 3 to 10 letters
+(`` wor``), since inflected forms share a stem. An entry's weight is the
+smoothed log ratio of its rates in toxic and clean training texts; it needs
+``MIN_SUPPORT`` toxic texts and a weight of at least ``MIN_WEIGHT``, and is
+dropped if a shorter kept entry says the same. Every entry with this support is
+kept; their number is bounded by the words of the training rows.
 
 Exception phrases: a hit together with the word before it is an exception if
 the pair occurs in at least ``MIN_SUPPORT`` clean training texts and at most a
@@ -25,7 +26,10 @@ more), equal texts once. Two thirds give the lexicon, the others the curve.
 Defined results: a null or empty text, and one without letters, has no hits
 and gets the score of a text without hits. Without labelled rows of both
 classes every score is the share of toxic labels, or 0 without labels.
-Repeated rows are scored alike; labels of one id that disagree count as toxic.
+Repeated rows are scored alike; labels of one id that disagree count as toxic;
+entries of equal weight are ordered by name; an empty table gives no rows;
+further columns, whatever their names, pass through ``predict`` and are ignored
+by the query; a very long text is folded and matched whole.
 """
 
 from __future__ import annotations
@@ -44,8 +48,6 @@ from weftline.llm.common import fold, map_text, table
 from weftline.llm.textarrays import blocks, letters
 
 SAMPLE = 40_000
-LEXICON_SIZE = 2_000
-EXCEPTIONS_SIZE = 2_000
 MIN_SUPPORT = 5
 MIN_WEIGHT = 2.5
 PREFIXES = range(3, 11)
@@ -243,12 +245,8 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
             "clean",
         ).groupBy("term").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean"))
         weight = F.log((F.col("tox") + 0.5) / (t + 1.0)) - F.log((F.col("clean") + 0.5) / (c + 1.0))
-        top = (
-            terms.where(F.col("tox") >= MIN_SUPPORT).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
-            .orderBy(F.desc(F.col("weight") * F.sqrt("tox")), "term").limit(4 * LEXICON_SIZE)
-        )
-        found = sorted(_prune([(r["term"], r["tox"], r["weight"]) for r in top.collect()]).items(), key=lambda x: (-x[1], x[0]))
-        lexicon = Lexicon(dict(found[:LEXICON_SIZE]))
+        top = terms.where(F.col("tox") >= MIN_SUPPORT).withColumn("weight", weight).where(F.col("weight") >= MIN_WEIGHT)
+        lexicon = Lexicon(_prune([(r["term"], r["tox"], r["weight"]) for r in top.collect()]))  # by support at most a fifth of the sample's words
         lexicon.exceptions = sorted({*exceptions, *_exceptions(once, lexicon)})
         lexicon.curve = _curve(once.where("part = 0"), lexicon)
         return lexicon
@@ -257,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, exceptions: tuple[str, ...] = ()) ->
 
 
 def _exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
-    """Pairs (word before, hit) that clean texts have and toxic texts hardly do."""
+    """Pairs (word right before, hit) that clean texts have and toxic texts hardly do."""
 
     def pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         automaton = lexicon.automaton()
@@ -268,18 +266,17 @@ def _exceptions(rows: DataFrame, lexicon: Lexicon) -> list[str]:
                 for _, parts in blocks([text]):
                     folded = fold_texts(parts)[0]
                     for start, _, _ in hits(automaton, folded):
-                        before = folded[max(0, start - 60) : start].split()
-                        word = folded[start : start + 60].split()[0]
-                        if before:
-                            seen.add(f"{before[-1]} {word}")
+                        if start and folded[start - 1] != " ":
+                            before = folded[folded.rfind(" ", 0, start) + 1 : start]
+                            seen.add(f"{before} {folded[start + 1 : folded.index(' ', start + 1)]}")
                 out.update((x, toxic) for x in seen)
             yield pd.DataFrame([(p, int(t == 1) * n, int(t == 0) * n) for (p, t), n in out.items()], columns=["phrase", "tox", "clean"])
 
     found = rows.select("text", "toxic").mapInPandas(pairs, "phrase string, tox long, clean long").groupBy("phrase").agg(
         F.sum("tox").alias("tox"), F.sum("clean").alias("clean")
     )
-    top = found.where((F.col("clean") >= MIN_SUPPORT) & (F.col("tox") * 9 <= F.col("clean"))).orderBy(F.desc("clean"), "phrase").limit(EXCEPTIONS_SIZE)
-    return [r["phrase"] for r in top.collect()]
+    top = found.where((F.col("clean") >= MIN_SUPPORT) & (F.col("tox") * 9 <= F.col("clean")))
+    return [r["phrase"] for r in top.collect()]  # by support bounded by the sample
 
 
 def _curve(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
@@ -311,7 +308,7 @@ def _curve(rows: DataFrame, lexicon: Lexicon) -> tuple[float, float, float]:
 
 def predict(spark: SparkSession, docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``docs`` with score, from its column text alone."""
-    shared = spark.sparkContext.broadcast(lexicon)  # at most LEXICON_SIZE and EXCEPTIONS_SIZE entries
+    shared = spark.sparkContext.broadcast(lexicon)  # entries and exceptions bounded by the sample
 
     def make():
         automaton = shared.value.automaton()
