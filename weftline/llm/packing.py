@@ -20,8 +20,10 @@ of all pieces have is ranked by many tasks; the groups' offsets come from their
 counts.
 
 Defined results: a null text is empty and gives one piece with the single id 0;
-a document of more than ``CAPACITY`` ids is cut into full pieces and one last
-piece; repeated rows are packed separately; an empty table gives no rows.
+a document of more than ``CAPACITY`` ids, however long, is cut into full pieces
+and one last piece; repeated rows are packed separately, and so are pieces of one
+length, in the order of their numbers; an empty table gives no rows; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,8 @@ from weftline.llm.word_ids import WordIds
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+#: ``row`` numbers all pieces: the task above, its pieces below.
+NUMBERED = f"{PIECES}, row long"
 #: Pieces ranked by one task of a length.
 GROUP = 50_000
 
@@ -120,7 +125,8 @@ def reduce_counts(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tup
                         if len(short) < 2 or short[0] + short[1] > room:
                             k, pattern = (int(min(n[length], n[partner])) if partner != length else int(n[length]) // 2), (length, partner)
                         elif (len(short) < 3 or sum(short) > room) and partner >= best_pair(room, length):
-                            k, pattern = 1, (length, partner)
+                            # taking such pairs away only shrinks what could share the sequence, so it holds until one of the two runs out
+                            k, pattern = (int(min(n[length], n[partner])) if partner != length else int(n[length]) // 2), (length, partner)
                         else:
                             break
                 fix(pattern, k)
@@ -205,7 +211,7 @@ _WORDS: dict[int, WordIds] = {}
 
 
 def cut_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, text) -> the pieces of every document."""
+    """(doc_id, text) -> the numbered pieces of every document."""
     with open(tokenizer_path, "rb") as f:
         data = spark.sparkContext.broadcast(f.read())  # one file of fixed size
 
@@ -214,6 +220,7 @@ def cut_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, cap
         if key not in _WORDS:
             _WORDS[key] = WordIds(data.value)
         words, step = _WORDS[key], 4 * capacity
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             row, out = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
@@ -223,21 +230,23 @@ def cut_documents(spark: SparkSession, docs: DataFrame, tokenizer_path: str, cap
                     row.append(i)
                     out.append((k, at // 4, len(part) // 4, zlib.crc32(part)))
             columns = [pa.array(c, type=t) for c, t in zip(zip(*out) if out else [[]] * 4, (pa.int32(), *[pa.int64()] * 3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, type=pa.int64())), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+            columns.append(pa.array(np.arange(number, number + len(row))))
+            number += len(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, type=pa.int64())), *columns], names=["doc_id", "piece", "start", "length", "ids_crc32", "row"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, NUMBERED)
 
 
 def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces with sequence_id and offset. ``pieces`` is read three times: pass a written table."""
+    """Numbered pieces with sequence_id and offset. ``pieces`` is read three times: pass a written table."""
     total = pieces.count()
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(max(8, -(-total // GROUP)))).cast("int"))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(max(8, -(-total // GROUP)))).cast("int"))
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(plan_packing(counts, capacity))  # a few entries a length
     before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = groups.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start", "ids_crc32"))
+    rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("row"))
     ranked = salted.withColumn("nth", rank - 1).join(offsets, ["length", "salt"])
     ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).cast("long").alias("rank"))
 
