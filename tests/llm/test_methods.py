@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SF
 from weftline.llm import chat_format, language_id, maxent_lm, mtree_search, order_minhash, packing, pieces, pii, toxicity, weighted_sampling
+from weftline.llm.textarrays import blocks
 from weftline.llm.word_ids import WordIds
 from weftline.llm.wordhash import word_hashes
 
@@ -48,6 +49,42 @@ def test_filter_returns_all_languages_that_hold_a_gram():
     assert set(language_id._lookup(filters, grams["bb"])[:, 0]) == {3}
 
 
+def test_decisions_equal_a_plain_count(spark):
+    """Each document's language and score, from the learned filters, one n-gram at a time."""
+    docs = documents(spark)
+    filters = language_id.fit_on_documents(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.op1_language_id(spark, SF).collect()}
+    known = {}
+
+    def holds(a, b, c):
+        if (a, b, c) not in known:
+            gram = language_id.mix(np.asarray([(a << 42) | (b << 21) | c], dtype=np.uint64))[0]
+            mask = -1
+            for k in range(language_id.HASHES):
+                mask &= int(filters.masks[int(gram >> np.uint64(21 * k)) & ((1 << language_id.SLOT_BITS) - 1), 0])
+            known[a, b, c] = mask
+        return known[a, b, c]
+
+    for r in docs.collect()[:120]:
+        low = [ord(c.lower()) if c.isalpha() and len(c.lower()) == 1 else ord(c) if c.isalpha() else 0 for c in f" {r['text'] or ''} "]
+        masks = [holds(*low[i - 1 : i + 2]) for i in range(1, len(low) - 1) if low[i]]
+        if not masks:
+            assert got[r["doc_id"]] == ("und", 0.0)
+            continue
+        counts = [max(0.0, (sum(m >> i & 1 for m in masks) - len(masks) * f) / (1 - f)) for i, f in enumerate(filters.false_rate)]
+        best = max(range(len(counts)), key=lambda i: (counts[i], -i))
+        assert got[r["doc_id"]] == (filters.languages[best], pytest.approx(min(1.0, counts[best] / len(masks)), abs=1e-9))
+
+
+@pytest.mark.parametrize("text", ["recycling trash " * 200_000, "ab" * 1_500_000])
+def test_texts_of_millions_of_letters_are_whole(text):
+    a = toxicity.Lexicon({" trash ": 2.0, " ba": 1.0}, ["recycling trash"]).automaton()
+    assert toxicity.features(a, [text, "trash"])[:, 0].tolist() == [0.0, 2.0]
+    assert len(language_id.trigrams([text])[0]) == sum(c.isalpha() for c in text)
+    (rows, parts), *more = blocks([text, "x"])
+    assert parts == [text] and rows.tolist() == [0] and [p for _, p in more] == [["x"]]
+
+
 def test_trigrams_do_not_depend_on_what_stands_beside():
     alone = [language_id.trigrams([t])[0].tolist() for t in ("Ab c", "", "ça va")]
     together, n = language_id.trigrams(["Ab c", "", "ça va"])
@@ -172,6 +209,14 @@ def test_chat_round_trip(spark, data):
     assert "</s>" not in out["formatted"] and "[INST]" not in out["formatted"]
 
 
+def test_tied_turns_follow_their_raw_role_and_text(spark):
+    rows = [(1, 5, "user", t) for t in ("<s>", "(x", ";", "&lt;", "[INST]", "\n")] + [(1, 5, r, "t") for r in ("a", "<s>", "B")] + [(2, None, "user", f"<s>{i}") for i in range(700)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_conversations(df).withColumn("turns", chat_format.read_turns(F.col("formatted"))).collect()
+    for r in out:
+        assert [(t["role"], t["text"]) for t in r["turns"]] == sorted((a, b) for c, _, a, b in rows if c == r["conv_id"])
+
+
 # -- fingerprints -----------------------------------------------------------
 
 
@@ -244,6 +289,24 @@ def test_exceptions_cancel_hits_and_numbers_stay_numbers():
     assert toxicity.features(a, ["traction"])[0].tolist() == [1.0, 1.0]
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["tra", "trash", "recycling", "x", "trashes", "tr4sh", ","]), max_size=12), min_size=1, max_size=4))
+def test_matches_equal_a_plain_search(texts):
+    lexicon = toxicity.Lexicon({" trash ": 2.0, " tra": 1.0, " x ": 0.5}, ["recycling trash", "x x"])
+    texts = [" ".join(t) for t in texts]
+    want = []
+    for t in texts:
+        words = re.findall(r"[a-z]+|,", t.replace("4", "a"))
+        total = 0.0
+        for i, w in enumerate(words):
+            pair = i and words[i - 1] != "," and " ".join(words[i - 1 : i + 1]) in lexicon.exceptions
+            follows = i + 1 < len(words) and " ".join(words[i : i + 2]) in lexicon.exceptions
+            if not pair and not follows:
+                total += max([v for k, v in lexicon.weights.items() if f" {w} ".startswith(k)], default=0.0)
+        want.append(total)
+    assert toxicity.features(lexicon.automaton(), texts)[:, 0].tolist() == pytest.approx(want)
+
+
 def test_toxicity_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     got = toxicity.op5_toxicity(spark, sf).where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").select("toxic", "predicted").collect()
@@ -295,6 +358,17 @@ def test_reduction_keeps_the_optimum_and_plans_are_whole(case):
         assert len(used) == plan.sequences
 
 
+def test_plans_stay_small_whatever_the_counts():
+    for counts in ({1000: 40_000, 500: 40_000}, {1100: 10**9, 500: 10**9 + 7, 400: 3}, {700: 10**6, 650: 10**6, 600: 10**6, 90: 5}, {1024: 5, 1000: 10**9, 30: 10**9}):
+        plan = packing.plan_packing(counts, 2048)
+        assert len(plan.lengths) < 1_000
+        assert plan.sequences >= sum(k * n for k, n in counts.items()) / 2048
+        used = Counter()
+        for length, first, each in zip(plan.lengths, plan.first_rank, plan.per_sequence):
+            used[length] = max(used[length], first + each)
+        assert all(used[k] <= n for k, n in counts.items())
+
+
 def test_word_ids_equal_the_library():
     with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
         words = WordIds(f.read())

@@ -17,7 +17,9 @@ for every text, and no control string is left inside an escaped text.
 Defined results: null text is the empty text; a null role is the empty role;
 turns are ordered by (turn, role, text) with null turns first; repeated rows
 are repeated turns; rows with a null conv_id form one conversation with a null
-id; an empty table gives no conversations; further columns are ignored.
+id; an empty table gives no conversations; further columns are ignored; very
+long texts are formatted whole; a chunk of equal or null turn numbers is larger
+than others and is formatted by one task.
 
 Scale: a conversation is first formatted in chunks of ``CHUNK`` consecutive
 turn numbers and then concatenated, so that one huge conversation is escaped
@@ -30,7 +32,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import before, table
 
 START, SEP, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
 #: Control strings of common chat templates, as regular expressions without their first character.
@@ -57,12 +59,7 @@ def _escape_role(role: Column) -> Column:
 
 def _running(lengths: Column) -> Column:
     """Sums of the elements before each position."""
-    return F.aggregate(
-        lengths,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")),
-        lambda acc: acc["out"],
-    )
+    return before(lengths, lambda a, x: a + x, "bigint")
 
 
 def format_conversations(rows: DataFrame, loss_roles: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -74,14 +71,16 @@ def format_conversations(rows: DataFrame, loss_roles: tuple[str, ...] = ("assist
     turns = rows.select(
         "conv_id",
         F.floor(F.col("turn") / CHUNK).alias("chunk"),
-        F.struct(
-            F.col("turn"),
-            _escape_role(F.coalesce("role", F.lit(""))).alias("role"),
-            escape(F.coalesce("text", F.lit(""))).alias("text"),
-            F.coalesce(F.col("role").isin(*loss_roles), F.lit(False)).alias("loss"),
-        ).alias("t"),
+        F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"),
+    )
+    chunks = turns.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("t")).alias("raw"))  # by the texts as they are
+    written = F.transform(
+        "raw",
+        lambda t: F.struct(
+            _escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text"), F.coalesce(t["role"].isin(*loss_roles), F.lit(False)).alias("loss")
+        ),
     )
-    chunks = turns.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    chunks = chunks.select("conv_id", "chunk", written.alias("ts"))
 
     def opening(x: Column, i: Column) -> Column:
         before = F.get("ts", i - 1)["role"]

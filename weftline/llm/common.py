@@ -24,9 +24,11 @@ def fold(doc_id: str | Column, parts: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a default is set only if none is."""
+    """The folder that driver and executors share; on one machine a default is set if none is."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "/tmp/weftline-checkpoints"
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -63,3 +65,35 @@ def map_text(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], li
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x, type=k) for x, k in zip(got, kinds))], names=names)
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *extra.fields]))
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def before(values: Column, op: Callable[[Column, Column], Column], kind: str = "int") -> Column:
+    """The fold of the numbers before each position (an exclusive scan from 0), for an associative ``op``.
+
+    Growing an array by one element copies it, so arrays are folded in blocks of
+    about the square root of their size.
+    """
+    zero = F.lit(0).cast(kind)
+
+    def short(xs: Column, start: Column) -> Column:
+        return F.aggregate(
+            xs,
+            F.struct(start.alias("at"), F.array().cast(f"array<{kind}>").alias("out")),
+            lambda a, x: F.struct(op(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+            lambda a: a["out"],
+        )
+
+    def blocks(v: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
+        return let(width, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / w).cast("int"), F.lit(0))), lambda i: F.slice(v, i * w + 1, w)))
+
+    def folded(bs: Column) -> Column:
+        starts = short(F.transform(bs, lambda b: F.aggregate(b, zero, op)), zero)
+        return F.flatten(F.zip_with(bs, starts, short))
+
+    return let(let(values, blocks), folded)

@@ -42,7 +42,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, table
+from weftline.llm.common import before, let, materialize, table
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "account", "local_phone", "person")
@@ -78,50 +78,19 @@ PERSON = f"(?<!\\p{{L}})(?:{'|'.join(TITLES)})\\.? \\p{{Lu}}\\p{{Ll}}{{1,30}}+(?
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
-def _before(values: Column, op: Callable[[Column, Column], Column]) -> Column:
-    """The fold of the ints before each position (an exclusive scan from 0), for an associative ``op``.
-
-    Growing an array by one element copies it, so arrays are folded in blocks of
-    about the square root of their size.
-    """
-
-    def short(xs: Column, start: Column) -> Column:
-        return F.aggregate(
-            xs,
-            F.struct(start.alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda a, x: F.struct(op(a["at"], x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
-            lambda a: a["out"],
-        )
-
-    def blocks(v: Column) -> Column:
-        width = F.greatest(F.ceil(F.sqrt(F.size(v))).cast("int"), F.lit(1))
-        return _let(width, lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.floor((F.size(v) - 1) / w).cast("int"), F.lit(0))), lambda i: F.slice(v, i * w + 1, w)))
-
-    def folded(bs: Column) -> Column:
-        starts = short(F.transform(bs, lambda b: F.aggregate(b, F.lit(0), op)), F.lit(0))
-        return F.flatten(F.zip_with(bs, starts, short))
-
-    return _let(_let(values, blocks), folded)
-
-
 def _positions(text: Column, pattern: str, maybe: Column) -> Column:
     """Leftmost non-overlapping matches as array<struct<start, end, text>>; none where ``maybe`` is false."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
 
     def placed(v: Column) -> Column:
-        ends = _before(F.transform(v, lambda z: F.length(z["m"]) + z["g"]), lambda a, x: a + x)
+        ends = before(F.transform(v, lambda z: F.length(z["m"]) + z["g"]), lambda a, x: a + x)
         return F.zip_with(
             v, ends, lambda z, at: F.struct((at + z["g"]).alias("start"), (at + z["g"] + F.length(z["m"])).alias("end"), z["m"].alias("text"))
         )
 
     # one gap more than matches follows the last of them
-    found = _let(F.filter(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda z: z["m"].isNotNull()), placed)
+    found = let(F.filter(F.arrays_zip(matches.alias("m"), gaps.alias("g")), lambda z: z["m"].isNotNull()), placed)
     return F.when(maybe, found).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
 
 
@@ -143,12 +112,12 @@ def _replaced(text: Column, spans: Column, by: Callable[[Column, Column], Column
     """``text`` with each of the sorted ``spans`` replaced by ``by(span, end of those before it)``."""
 
     def whole(v: Column) -> Column:
-        held = _before(F.transform(v["spans"], lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        held = before(F.transform(v["spans"], lambda s: s["end"]), lambda a, x: F.greatest(a, x))
         pieces = F.zip_with(v["spans"], held, lambda s, at: F.concat(_part(v["pages"], at, s["start"]), by(s, at)))
         last = F.array_max(F.transform(v["spans"], lambda s: s["end"]))
         return F.concat(F.concat_ws("", pieces), _part(v["pages"], last, F.length(text)))
 
-    return F.when(F.size(spans) > 0, _let(F.struct(_pages(text).alias("pages"), spans.alias("spans")), whole)).otherwise(text)
+    return F.when(F.size(spans) > 0, let(F.struct(_pages(text).alias("pages"), spans.alias("spans")), whole)).otherwise(text)
 
 
 def _of_kind(matches: Column, kind: int) -> Column:
@@ -212,7 +181,7 @@ def find_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         F.filter(_positions(text, SECRET, text.rlike("[A-Za-z0-9_-]{24}")), lambda x: x["text"].rlike("[0-9]") & x["text"].rlike("[A-Za-z]")),
         F.filter(
             _positions(_marked(text, "(?<=[0-9])[ -](?=[0-9])"), CARD, text.rlike("[0-9](?:[ -]?[0-9]){13}")),
-            lambda x: _let(_digits(x["text"]), lambda n: F.length(n).between(14, 19) & ~_luhn(n)),
+            lambda x: let(_digits(x["text"]), lambda n: F.length(n).between(14, 19) & ~_luhn(n)),
         ),
         _positions(text, LOCAL_PHONE, text.rlike("\\([0-9]{3}\\)")),
         _positions(text, PERSON, text.rlike(f"(?:{'|'.join(TITLES)})\\.? \\p{{Lu}}")),
@@ -222,7 +191,7 @@ def find_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     def described(x: Column, pages: Column) -> Column:
         left = F.lower(_part(pages, F.greatest(x["start"] - 80, F.lit(0)), x["start"]))
         right = _part(pages, x["end"], x["end"] + 80)
-        return _let(
+        return let(
             F.struct(F.right(left, F.lit(40)).alias("near"), left.alias("left"), right.alias("right")),
             lambda c: F.struct(
                 x["start"].alias("start"),
@@ -236,7 +205,7 @@ def find_spans(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
             ),
         )
 
-    candidates = _let(_pages(text), lambda pages: F.transform("free", lambda x: described(x, pages)))
+    candidates = let(_pages(text), lambda pages: F.transform("free", lambda x: described(x, pages)))
     none = F.transform(F.slice("free", 1, 0), lambda x: described(x, F.array().cast("array<string>")))
     return d.select("row", "base", F.when(F.size("free") > 0, candidates).otherwise(none).alias("candidates"))
 
