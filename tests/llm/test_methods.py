@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -519,6 +520,80 @@ def test_alignment_is_the_longest_common_subsequence(a, b):
     assert order_minhash.aligned(np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64), 20) == d[-1][-1]
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 3), max_size=14), st.lists(st.integers(0, 3), max_size=14), st.integers(0, 4))
+def test_alignment_stays_in_its_band(a, b, band):
+    # the common head and tail go first and are matched on their own
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    x, y = a[head:], b[head:]
+    tail = next((i for i, (u, v) in enumerate(zip(x[::-1], y[::-1])) if u != v), min(len(x), len(y)))
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    d = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i, u in enumerate(x):
+        for j, v in enumerate(y):
+            d[i + 1][j + 1] = d[i][j] + 1 if u == v and abs(i - j) <= band else max(d[i][j + 1], d[i + 1][j])
+    best = max(max(row) for row in d)
+    assert order_minhash.aligned(np.array(a, dtype=np.uint64), np.array(b, dtype=np.uint64), band) == head + tail + best
+
+
+def test_rows_of_one_id_with_unlike_texts_are_told_apart(spark):
+    rng = random.Random(1)
+
+    def text():
+        return [f"w{rng.randrange(10**6)}" for _ in range(120)]
+
+    def near(words):
+        return " ".join([*words[:60], "changed", *words[61:]])
+
+    x, y, z, lone = text(), text(), text(), text()
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (6, near(x)), (7, near(y)), (None, " ".join(z)), (None, near(z)), (8, " ".join(lone)), (8, " ".join(lone)), (None, near(lone)), (9, None), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k1", F.lit("clash"))
+    got = sorted(((r["doc_id"], r["class_id"]) for r in order_minhash.near_classes(spark, docs).collect()), key=str)
+    assert got == sorted([(5, 5), (5, 5), (6, 5), (7, 5), (None, None), (None, None), (8, 8), (8, 8), (None, 8), (9, 9), (10, 9)], key=str)
+    kept = order_minhash.one_of_each(spark, docs)
+    assert kept.columns == docs.columns
+    kept = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert [r for r in kept if r[0] is not None] == sorted([rows[0], rows[1], rows[6], rows[9]], key=str)
+    assert [r for r in kept if r[0] is None] in ([rows[4]], [rows[5]])
+
+
+def test_very_long_near_copies_are_aligned_in_a_moving_window():
+    rng = np.random.Generator(np.random.PCG64(6))
+    a = rng.integers(0, 5_000, 200_000).astype(np.uint64)
+    b = np.delete(a, rng.choice(len(a), 300, replace=False))
+    start = time.monotonic()
+    assert order_minhash.similar(a, b) and not order_minhash.similar(a, rng.permutation(a))
+    assert time.monotonic() - start < 30
+
+
+@pytest.mark.parametrize("share", [0.84, 0.9])
+def test_recall_on_a_group_of_a_thousand_copies(spark, share):
+    """One text's copies, each edited on its own: those at 0.8 or more of another are in its class."""
+    rng = random.Random(int(share * 100))
+    base = [f"b{i}" for i in range(300)]
+    docs = []
+    for k in range(1_000):
+        words = list(base)
+        for _ in range(int((1 - share) / 2 * 60)):
+            words[rng.randrange(300)] = f"n{rng.random()}"
+        docs.append((k, " ".join(words)))
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_classes(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    seq = [word_hashes([t])[0] for _, t in docs]
+    sets = [set(order_minhash.kmers(w, np.asarray([len(w)]))[0].tolist()) for w in seq]
+    label = list(range(1_000))
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    pairs = [(a, b) for a in range(1_000) for b in range(a) if (n := len(sets[a] & sets[b])) >= 0.8 * (len(sets[a]) + len(sets[b]) - n)]
+    assert sum(got[a] == got[b] for a, b in pairs) == len(pairs)
+    for a, b in pairs:
+        label[max(find(a), find(b))] = min(find(a), find(b))
+    assert all(find(i) <= got[i] or got[i] == i for i in range(1_000)) and len(set(got.values())) == len({find(i) for i in range(1_000)})
+
+
 def test_classes_equal_brute_force(spark):
     rng = random.Random(9)
     docs = [(r["doc_id"], r["text"] or "") for r in documents(spark).collect()]

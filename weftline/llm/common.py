@@ -45,6 +45,29 @@ def materialize(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written on the way, deleted at the end of a ``with`` block; what leaves it must not read them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{shared_dir(spark).rstrip('/')}/weftline/scratch-{uuid.uuid4().hex}"
+        self.count = 0
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` written and read back, as ``materialize`` does."""
+        self.count += 1
+        path = f"{self.path}/{self.count}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_text(docs: DataFrame, make: Callable[[], Callable[[list[str | None]], list]], added: str) -> DataFrame:
     """``docs`` with the columns ``added`` (DDL), computed from its column ``text`` in Arrow batches.
 
