@@ -507,6 +507,20 @@ def test_search_skips_pages_and_stays_exact(spark):
         assert sorted(got[q]) == [(k + 1, i, int(s[i])) for k, i in enumerate(order)]
 
 
+def test_scores_of_large_components_and_uneven_lengths_are_exact(spark):
+    rng = random.Random(2)
+    x = [[rng.randrange(-(2**28), 2**28) for _ in range(rng.choice([4, 4, 3]))] for _ in range(400)]
+    for i in range(100, 140):  # nearly equal scores, told apart by their last digits only
+        x[i] = [2**28, 2**28, 2**28 - i % 7, 2**28 - 2 * (i % 5)]
+    rows = spark.createDataFrame([(i, [c / 256 for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in mtree_search.top_k(spark, rows, every=10).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 400, 10):
+        scores = sorted((-sum(a * b for a, b in zip(x[q], v)), i) for i, v in enumerate(x) if i != q)[:5]
+        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
+
+
 # -- near-duplicates --------------------------------------------------------
 
 

@@ -55,11 +55,15 @@ class Scratch:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written and read back, as ``materialize`` does."""
-        self.count += 1
-        path = f"{self.path}/{self.count}-{name}"
+        path = self.folder(name)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def folder(self, name: str) -> str:
+        """A new path among them."""
+        self.count += 1
+        return f"{self.path}/{self.count}-{name}"
+
     def __enter__(self) -> Scratch:
         return self
 

@@ -13,22 +13,27 @@ node's routing object, and its members sorted by their distance to the pivot.
 Equal vectors are stored once with their ``k + 1`` smallest ids, which is all
 that a result can ever hold of them; they are ranked in salted groups first.
 
-Search: queries come in blocks of bounded size that are broadcast one after
-another; each task runs all queries of a block over its pages. A query starts
-from the k-th best score among the routing objects, which are data vectors, and
-visits its pages by their lower bounds, nearest first. With D the distance of
-its k-th best so far, it skips
+Search: queries come in blocks of bounded size, one after another: a block is
+broadcast, each task runs all its queries over its pages, and the block's
+results are written before the next block starts. A query starts from the k-th
+best score among the routing objects, which are data vectors, and visits its
+pages by their lower bounds, nearest first. With D the distance of its k-th best
+so far, it skips
 
 * a page without computing a distance, if |d(q, parent) - d(pivot, parent)| - radius > D,
 * a page whose d(q, pivot) - radius > D, and all pages after it,
 * members whose |d(q, pivot) - d(member, pivot)| > D.
 
-Bounds carry a small relative tolerance; scores are exact integers.
+Bounds carry a small relative tolerance. Scores are exact integers: while the
+largest squared norm is below 2**52 every floating-point product sum is one;
+beyond that, whatever comes within the rounding error of a query's k-th best is
+summed again in 64-bit integers, and a norm that these can't hold is an error.
 
 Defined results: null vectors and ids, and vectors with null or non-finite
-components, take no part, nor do vectors whose length isn't the most frequent
-one (the larger, if two are); of several rows with one id, the least vector
-counts; ties go to the smaller id; fewer than k candidates give fewer rows.
+components, take no part; a shorter vector counts as continued with zeros; of
+several rows with one id, the least vector counts; ties go to the smaller id;
+fewer than k candidates give fewer rows; an empty table gives no rows; further
+columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import materialize, table
+from weftline.llm.common import Scratch, materialize, table
 
 NODE = 4096
 PAGE = 256
@@ -60,17 +65,17 @@ def scaled(rows: DataFrame, factor: float = 256.0) -> DataFrame:
         "vec_id IS NOT NULL AND e IS NOT NULL AND forall(e, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity'))"
     )
     good = good.select("vec_id", F.transform("e", lambda x: F.floor(x * factor).cast("double")).alias("v"))
-    sizes = good.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("c"), F.desc("n")).limit(1).collect()
-    good = good.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
+    size = good.agg(F.max(F.size("v"))).first()[0] or 0
+    good = good.select("vec_id", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(size) - F.size("v"))).alias("v"))
     return good.groupBy("vec_id").agg(F.min("v").alias("v"))
 
 
 def distinct_vectors(vectors: DataFrame, k: int) -> DataFrame:
     """Each vector once, with its ``k + 1`` smallest ids."""
-    keyed = vectors.withColumn("h", F.xxhash64("v")).withColumn("g", F.hash("v")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
-    part = Window.partitionBy("h", "g", "salt").orderBy("vec_id")
+    keyed = vectors.withColumn("h", F.xxhash64("v")).withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS)))
+    part = Window.partitionBy("h", "v", "salt").orderBy("vec_id")
     few = keyed.withColumn("i", F.row_number().over(part)).where(F.col("i") <= k + 1)
-    return few.groupBy("h", "g").agg(F.first("v").alias("v"), F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))  # at most SALTS * (k + 1) ids each
+    return few.groupBy("h", "v").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1).alias("ids"))  # at most SALTS * (k + 1) ids each
 
 
 @dataclass
@@ -95,13 +100,15 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def build(spark: SparkSession, vectors: DataFrame, k: int) -> Index | None:
-    once = materialize(spark, distinct_vectors(vectors, k), "vectors")
+def build(spark: SparkSession, vectors: DataFrame, k: int, held: Scratch) -> Index | None:
+    once = held.keep(distinct_vectors(vectors, k), "vectors")
     n = once.count()
     if not n:
         return None
     norm2 = once.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
-    routes = once.orderBy("h", "g").limit(min(ROUTES, max(1, -(-n // NODE)), n)).select("v", "ids").collect()  # at most ROUTES rows
+    if norm2 >= 2.0**62:
+        raise ValueError("inner products of these vectors don't fit in 64 bits")
+    routes = once.orderBy("h", "v").limit(min(ROUTES, max(1, -(-n // NODE)), n)).select("v", "ids").collect()  # at most ROUTES rows
     at = np.asarray([r["v"] for r in routes], dtype=np.float64).reshape(len(routes), -1)
     shared = spark.sparkContext.broadcast((at, _extra(at, norm2)))
 
@@ -112,7 +119,7 @@ def build(spark: SparkSession, vectors: DataFrame, k: int) -> Index | None:
             cell = _distances(v, _extra(v, norm2), r, e).argmin(axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=["v", "ids", "cell"])
 
-    placed = materialize(spark, once.select("v", "ids").mapInArrow(assign, "v array<double>, ids array<bigint>, cell int"), "cells")
+    placed = held.keep(once.select("v", "ids").mapInArrow(assign, "v array<double>, ids array<bigint>, cell int"), "cells")
     sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # at most ROUTES rows
     parts = F.create_map(*[F.lit(x) for c, m in sizes.items() for x in (c, -(-m // NODE))])
     nodes = placed.withColumn("part", F.pmod(F.xxhash64("v"), parts[F.col("cell")]).cast("int"))
@@ -148,7 +155,17 @@ def build(spark: SparkSession, vectors: DataFrame, k: int) -> Index | None:
     index = nodes.groupBy("cell", "part").applyInPandas(
         pages, "cell int, pivot array<double>, parent double, radius double, members array<double>, distances array<double>, ids array<bigint>, of array<int>"
     )
-    return Index(materialize(spark, index, "pages"), at, [list(r["ids"]) for r in routes], norm2)
+    return Index(held.keep(index, "pages"), at, [list(r["ids"]) for r in routes], norm2)
+
+
+def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Integer inner products of rows of whole numbers."""
+    return np.einsum("ij,ij->i", a.astype(np.int64), b.astype(np.int64))
+
+
+def _error(norm2: float, size: int) -> float:
+    """By how much a floating-point product sum can miss, 0 while all are exact."""
+    return 0.0 if norm2 < 2.0**52 else norm2 * 2.0**-51 * max(size, 1)
 
 
 class _Best:
@@ -156,7 +173,7 @@ class _Best:
 
     def __init__(self, queries: np.ndarray, floor: np.ndarray, k: int):
         self.queries, self.k = queries, k
-        self.floor = floor.copy()
+        self.floor = floor.copy()  # as floating-point numbers, so up to their rounding
         self.rows = np.zeros((0, 3), dtype=np.int64)  # query number, score, id
 
     def add(self, rows: np.ndarray) -> None:
@@ -176,13 +193,14 @@ class _Best:
 def _search_pages(q: np.ndarray, best: _Best, d_routes: np.ndarray, batch: pa.RecordBatch, norm2: float, stats: dict) -> None:
     """Best-first over the pages of one batch, all queries together."""
     q2 = np.einsum("ij,ij->i", q, q)
+    error = _error(norm2, q.shape[1])
     cell = batch.column("cell").to_numpy()
     pivot = _matrix(batch.column("pivot"))
     parent, radius = batch.column("parent").to_numpy(), batch.column("radius").to_numpy()
 
     def reach() -> np.ndarray:
         """Distance of the k-th best of each query."""
-        d = np.sqrt(np.maximum(q2 + norm2 - 2.0 * best.floor, 0.0))
+        d = np.sqrt(np.maximum(q2 + norm2 - 2.0 * (best.floor - error), 0.0))
         return np.where(np.isfinite(best.floor), d * (1 + SLACK) + 1e-6 * np.sqrt(norm2 + 1), np.inf)
 
     # the parent bound costs no distance; a pivot's distance is computed where it fails to decide
@@ -216,7 +234,7 @@ def _search_pages(q: np.ndarray, best: _Best, d_routes: np.ndarray, batch: pa.Re
             if lo >= hi:
                 continue
             score = q[mine] @ members[lo:hi].T
-            a, b = np.nonzero(score >= best.floor[mine][:, None])
+            a, b = np.nonzero(score >= best.floor[mine][:, None] - error)
             if not len(a):
                 continue
             of, ids = np.asarray(batch.column("of")[p].values), np.asarray(batch.column("ids")[p].values)
@@ -225,22 +243,23 @@ def _search_pages(q: np.ndarray, best: _Best, d_routes: np.ndarray, batch: pa.Re
             b = b + lo
             times = many[b]
             at = np.repeat(first[b], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            found.append(np.column_stack([np.repeat(mine[a], times), np.repeat(score[a, b - lo], times).astype(np.int64), ids[at]]))
+            exact = score[a, b - lo].astype(np.int64) if not error else _exact(q[mine[a]], members[b])
+            found.append(np.column_stack([np.repeat(mine[a], times), np.repeat(exact, times), ids[at]]))
         if found:
             best.add(np.concatenate(found))
 
 
-def search(spark: SparkSession, index: Index, queries: DataFrame, k: int) -> DataFrame:
-    """(vec_id, v) queries -> query_id, vec_id, score of the k best of each."""
+def search(spark: SparkSession, index: Index, queries: DataFrame, k: int, held: Scratch) -> DataFrame:
+    """(vec_id, v) queries -> query_id, vec_id, score of the k best of each and of each task's pages."""
     n = queries.count()
     blocks = max(1, -(-n // QUERY_BLOCK))
-    out: DataFrame | None = None
+    norm2, path = index.norm2, held.folder("found")
+    schema = "query_id long, vec_id long, score long"
     for block in range(blocks):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow()  # about QUERY_BLOCK rows
         ids = rows["vec_id"].to_numpy()
         q = _matrix(rows["v"].combine_chunks()) if len(ids) else np.zeros((0, index.routes.shape[1]))
         shared = spark.sparkContext.broadcast((ids, q, index.routes, index.route_ids))
-        norm2 = index.norm2
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ids, q, routes, route_ids = shared.value
@@ -249,7 +268,8 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int) -> Dat
             score = q @ routes.T
             first = _Best(ids, np.full(len(q), -np.inf), k)
             for r, own in enumerate(route_ids):
-                first.add(np.column_stack([np.repeat(np.arange(len(q)), len(own)), np.repeat(score[:, r], len(own)).astype(np.int64), np.tile(own, len(q))]))
+                exact = _exact(q, np.broadcast_to(routes[r], q.shape))
+                first.add(np.column_stack([np.repeat(np.arange(len(q)), len(own)), np.repeat(exact, len(own)), np.tile(own, len(q))]))
             q2 = np.einsum("ij,ij->i", q, q)
             d_routes = np.sqrt(np.maximum(q2[:, None] + norm2 - 2 * score, 0))
             best = _Best(ids, first.floor, k)
@@ -260,20 +280,22 @@ def search(spark: SparkSession, index: Index, queries: DataFrame, k: int) -> Dat
                 [pa.array(ids[best.rows[:, 0]]), pa.array(best.rows[:, 2]), pa.array(best.rows[:, 1])], names=["query_id", "vec_id", "score"]
             )
 
-        part = index.pages.mapInArrow(run, "query_id long, vec_id long, score long")
-        out = part if out is None else out.unionByName(part)
-    return out
+        index.pages.mapInArrow(run, schema).write.parquet(f"{path}/block={block}")
+        shared.destroy()
+    return spark.read.schema(f"{schema}, block int").parquet(path).drop("block")
 
 
 def top_k(spark: SparkSession, rows: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score; queries are the rows whose id is divisible by ``every``."""
-    vectors = materialize(spark, scaled(rows), "scaled")
-    index = build(spark, vectors, k)
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    found = search(spark, index, vectors.where(F.col("vec_id") % every == 0), k)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    with Scratch(spark) as held:
+        vectors = held.keep(scaled(rows), "scaled")
+        index = build(spark, vectors, k, held)
+        if index is None:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+        found = search(spark, index, vectors.where(F.col("vec_id") % every == 0), k, held)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        return materialize(spark, ranked, "nearest")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
