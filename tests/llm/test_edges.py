@@ -126,3 +126,59 @@ def test_one_of_each_group_stays(spark, odd):
     docs = spark.read.parquet(f"{odd}/documents.parquet")
     kept = [r["doc_id"] for r in pipeline.keep_one_of_each(spark, docs, odd).collect()]
     assert sorted(kept, key=str) == sorted([1, 2, 3, 5, 8, 9, 9007199254740993, None], key=str)
+
+
+def test_the_pipeline_equals_its_stages_by_brute_force(spark):
+    """Kept documents, redactions and packing of ``run``, recomputed by plain loops from the learned models."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tests.conftest import SF
+    from tests.llm.test_methods import base_spans
+    from weftline.llm import language_id, order_minhash, toxicity
+    from weftline.llm.wordhash import word_hashes
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in docs.collect()}
+    filters = language_id.fit_on_documents(docs)
+    lang, score = language_id.decide(filters, list(rows.values()))
+    rows = {i: t for (i, t), a, s in zip(rows.items(), lang, score) if a != "und" and s >= pipeline.LEAST_LANGUAGE}
+    known = docs.where(docs["doc_id"].isin(list(rows)))
+    lexicon = toxicity.fit_on_documents(known, spark.read.parquet(f"{SF}/labels.parquet"))
+    toxic = toxicity.score(lexicon.curve, toxicity.features(lexicon.automaton(), list(rows.values())))
+    rows = {i: t for (i, t), s in zip(rows.items(), toxic) if s < 0.5}
+    seq = {i: word_hashes([t or ""])[0] for i, t in rows.items()}
+    kept = {}
+    label = {i: i for i in rows}
+
+    def find(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    ids = sorted(rows)
+    for n, a in enumerate(ids):
+        for b in ids[:n]:
+            if order_minhash.similar(seq[a], seq[b]):
+                x, y = sorted((find(a), find(b)))
+                label[y] = x
+    kept = [i for i in ids if find(i) == i]
+    packed = pipeline.run(spark, SF).collect()
+    assert {r["doc_id"] for r in packed} == set(kept)
+    assert len({(r["doc_id"], r["piece"]) for r in packed}) == len(packed)
+    used = {}
+    for r in packed:
+        used.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for parts in used.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    redacted = {r["doc_id"]: r["text"] for r in pipeline.redact_personal_data(spark, docs.where(docs["doc_id"].isin(kept)), SF).collect()}
+    assert all(not base_spans(t or "") for t in redacted.values())
+    assert sum(redacted[i] != rows[i] for i in kept) >= sum(bool(base_spans(rows[i] or "")) for i in kept) > 0
+
+
+def test_without_languages_documents_with_letters_stay(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.createDataFrame([(1, "abc", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r["doc_id"] for r in pipeline.keep_known_language(spark, docs, "").collect()] == [1]
