@@ -333,3 +333,26 @@ def test_settings_and_selection(spark):
     got = experiments.value_at_selection(h, rows(spark, [("r", 1), ("q", 0)], "run string, epoch int")).collect()
     assert {x["run"]: x["ess"] for x in got}["r"] == 6.0 and math.isnan({x["run"]: x["ess"] for x in got}["q"])
     assert experiments.ensemble(h.withColumnRenamed("ess", "value")).first()["most"] == 6.0
+
+
+def test_distance_of_skewed_values_with_many_stretches(spark, monkeypatch):
+    """One outlier and a heavy tail must not put nearly all rows in one stretch."""
+    monkeypatch.setattr(distances, "STRETCH", 50)
+    g = np.random.Generator(np.random.PCG64(3))
+    a, b = np.append(g.pareto(0.7, 900), 1e9), np.round(g.pareto(0.9, 800), 1)
+    w = g.random(800)
+    long = rows(spark, [("d", 1, 1.0, float(v)) for v in a] + [("d", 0, float(u), float(v)) for u, v in zip(w, b)], "dim string, y int, w double, v double")
+    v = np.sort(np.concatenate([a, b]))
+    fa = np.searchsorted(np.sort(a), v, side="right") / len(a)
+    order = b.argsort()
+    fb = np.append(0, w[order].cumsum())[np.searchsorted(b[order], v, side="right")] / w.sum()
+    want = (np.abs(fa - fb)[:-1] * np.diff(v)).sum()
+    for merge in (True, False):
+        assert distances.wasserstein(long, merge=merge).first()["w1"] == pytest.approx(want)
+
+
+def test_median_of_even_and_tied_distances(spark):
+    for points in ([(0.0,), (1.0,)], [(0.0,), (0.0,), (5.0,)], [(float(i * i),) for i in range(60)], [(2.0,)]):
+        u = np.asarray(points)
+        df = rows(spark, [(str(i), p[0]) for i, p in enumerate(points)], "row_id string, x double")
+        assert mmd.median_bandwidth(df, ("x",), block=7) == pytest.approx(np.sqrt(np.median((u - u.T) ** 2) / 2))

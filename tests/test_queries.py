@@ -51,11 +51,12 @@ def test_reweighting_gives_finite_distances(spark, name):
         assert 0 <= r["w1"] < 2
 
 
-def test_stream_counts_closed_windows_of_the_table(spark):
-    rest = {}
+def test_stream_counts_every_event_of_one_file_or_many(spark, tmp_path):
+    table = spark.read.parquet(f"{SF}/events.parquet")
+    table.repartition(100).write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
     for r in QUERIES["window_histogram"](spark, SF).collect():
-        rest.setdefault((r["event_type"], r["bin"]), []).append((r["window_start"], r["n"]))
-    last = max(w for v in rest.values() for w, _ in v)
-    want = {k: sum(n for w, n in v if w < last) for k, v in rest.items()}
-    got = {(r["event_type"], r["bin"]): r["n"] for r in QUERIES["stream_histogram"](spark, SF).collect()}
-    assert got == {k: n for k, n in want.items() if n}
+        want[r["event_type"], r["bin"]] = want.get((r["event_type"], r["bin"]), 0) + r["n"]
+    for folder in (SF, str(tmp_path)):
+        got = {(r["event_type"], r["bin"]): r["n"] for r in QUERIES["stream_histogram"](spark, folder).collect()}
+        assert got == want and sum(got.values()) == table.count()

@@ -104,7 +104,7 @@ def unfold_variable(df: DataFrame, truth: str, reco: str, rounds: int = 10, thre
     if len(edges) < 3:
         return {"status": "skipped", "edges": edges, "weights": [1.0]}
     prior, data = binned_counts(mc, truth, edges), binned_counts(df.where("y = 1"), reco, edges)
-    steps = iterate(prior, data * prior.sum() / max(data.sum(), 1.0), response(mc, truth, reco, edges), rounds)
+    steps = iterate(prior, data, response(mc, truth, reco, edges), rounds)
     return {"status": "ok", "edges": edges, "prior": prior.tolist(), "unfolded": steps[-1].tolist(), "weights": bin_weights(steps[-1], prior).tolist()}
 
 

@@ -1,18 +1,19 @@
 """Kernel two-sample distance with weights, on subsamples of a stated size.
 
-A subsample is the first m rows in hash order: a bounded table, so one side is
-broadcast to the rows of the other and kernel sums are taken in blocks; no pair
-is ever a row.
+A subsample is the first m rows in hash order, so its points are a broadcast of
+bounded size. The sums over all pairs of points are taken by tasks, a block of
+rows against all points at a time; no pair is ever a row, and the driver adds up
+one number a block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUBSAMPLE = 16_384
@@ -33,15 +34,79 @@ def kernel(d2: np.ndarray, widths: tuple[float, ...]) -> np.ndarray:
     return sum(np.exp(-d2 / (2 * s * s)) for s in widths)
 
 
-def _points(df: DataFrame, columns: tuple[str, ...]) -> np.ndarray:
-    got = df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("u"), "row_id").orderBy("row_id").toArrow()  # a subsample
-    return got["u"].combine_chunks().flatten().to_numpy().reshape(-1, len(columns))
+def bracket_kernel(d2: np.ndarray, bandwidth: float) -> np.ndarray:
+    """``kernel`` of the bracket around a bandwidth: its exponents are 1, 2, 4, 8 and 16 times the widest one's."""
+    e = np.exp(d2 / (-8 * bandwidth * bandwidth))
+    out = e.copy()
+    for _ in BRACKET[1:]:
+        e *= e
+        out += e
+    return out
+
+
+def _points(df: DataFrame, columns: tuple[str, ...]) -> pa.Table:
+    """u, row_id, w of a subsample."""
+    w = F.col("w").cast("double") if "w" in df.columns else F.lit(1.0)
+    return df.select(F.array(*[F.col(c).cast("double") for c in columns]).alias("u"), "row_id", w.alias("w")).orderBy("row_id").toArrow()
+
+
+def _matrix(points: pa.Table) -> np.ndarray:
+    return points["u"].combine_chunks().flatten().to_numpy().reshape(points.num_rows, -1)
 
 
-def median_bandwidth(sample: DataFrame, columns: tuple[str, ...]) -> float:
-    """sqrt(median of the squared distances of all pairs / 2), the diagonal among them."""
-    u = _points(sample, columns)
-    return float(np.sqrt(np.median(squared_distances(u, u)) / 2))
+def _over_blocks(spark: SparkSession, n: int, work: Callable[[int, int], list[tuple[float, float]]], block: int) -> DataFrame:
+    """at, x, y: what ``work`` gives for each block of the rows 0 to n."""
+    blocks = -(-n // block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                got = work(i * block, min(n, (i + 1) * block))
+                x, y = zip(*got) if got else ((), ())
+                yield pa.RecordBatch.from_arrays([pa.array([i] * len(x), pa.int64()), pa.array(x, pa.float64()), pa.array(y, pa.float64())], names=["at", "x", "y"])
+
+    return spark.range(0, blocks, 1, max(1, min(blocks, 256))).mapInArrow(run, "at long, x double, y double")
+
+
+def median_bandwidth(sample: DataFrame, columns: tuple[str, ...], block: int = 256, bins: int = 1 << 16) -> float:
+    """sqrt(median of the squared distances of all pairs / 2), the diagonal among them.
+
+    Tasks count the distances in bins; those of the bins that hold the middle
+    are counted value by value.
+    """
+    u = _matrix(_points(sample, columns))
+    spark = sample.sparkSession
+    n = len(u) ** 2
+    if not n:
+        return float("nan")
+    shared = spark.sparkContext.broadcast(u)
+    top = float(((u.max(axis=0) - u.min(axis=0)) ** 2).sum()) or 1.0
+    middle = {(n - 1) // 2, n // 2}
+
+    def bin_of(d2: np.ndarray) -> np.ndarray:
+        return np.minimum((d2 * (bins / top)).astype(np.int64), bins - 1)
+
+    def count(a: int, b: int) -> list[tuple[float, float]]:
+        c = np.bincount(bin_of(squared_distances(shared.value[a:b], shared.value)).ravel(), minlength=bins)
+        at = np.flatnonzero(c)
+        return list(zip(at.astype(float).tolist(), c[at].astype(float).tolist()))
+
+    got = _over_blocks(spark, len(u), count, block).groupBy("x").agg(F.sum("y").alias("y")).orderBy("x").toArrow()  # at most ``bins`` rows
+    at, upto = got["x"].to_numpy().astype(np.int64), got["y"].to_numpy().cumsum()
+    where = {k: int(np.searchsorted(upto, k, side="right")) for k in middle}
+    wanted = sorted({int(at[i]) for i in where.values()})
+
+    def values(a: int, b: int) -> list[tuple[float, float]]:
+        d2 = squared_distances(shared.value[a:b], shared.value).ravel()
+        v, c = np.unique(d2[np.isin(bin_of(d2), wanted)], return_counts=True)
+        return list(zip(v.tolist(), c.astype(float).tolist()))
+
+    got = _over_blocks(spark, len(u), values, block).groupBy("x").agg(F.sum("y").alias("y")).orderBy("x").toArrow()  # of one or two bins
+    first = min(where.values())
+    start = upto[first - 1] if first else 0.0
+    v, upto = got["x"].to_numpy(), got["y"].to_numpy().cumsum() + start
+    middle_values = [v[int(np.searchsorted(upto, k, side="right"))] for k in sorted(middle)]
+    return float(np.sqrt(np.mean(middle_values) / 2))
 
 
 def widths(bandwidth: float) -> tuple[float, ...]:
@@ -50,66 +115,72 @@ def widths(bandwidth: float) -> tuple[float, ...]:
 
 @dataclass
 class Cache:
-    """What stays when only weights change: a scalar, and the simulated rows with their kernel means."""
+    """What stays when only weights change: the data's scalar, the simulated points and their mean kernels with the data."""
 
+    spark: SparkSession
     data: float
-    rows: DataFrame  # row_id, w, u, cross
     points: np.ndarray
     ids: list[str]
-    widths: tuple[float, ...]
+    weights: np.ndarray
+    cross: np.ndarray
+    bandwidth: float
+    block: int
 
 
-def prepare(data: DataFrame, simulated: DataFrame, columns: tuple[str, ...], bandwidth: float, block: int = 1024) -> Cache:
+def prepare(data: DataFrame, simulated: DataFrame, columns: tuple[str, ...], bandwidth: float, block: int = 256) -> Cache:
     """Kernel terms of two subsamples with (row_id, columns, w)."""
-    s = widths(bandwidth)
-    x = _points(data, columns)
-    shared = data.sparkSession.sparkContext.broadcast(x)
+    spark = data.sparkSession
+    mc = _points(simulated, columns)
+    x, y = _matrix(_points(data, columns)), _matrix(mc)
+    shared = spark.sparkContext.broadcast((x, y))
 
-    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        against = shared.value
-        for batch in batches:
-            u = batch.column(0).flatten().to_numpy().reshape(batch.num_rows, -1)
-            sums = [kernel(squared_distances(u[a : a + block], against), s).mean(axis=1) for a in range(0, len(u), block)]
-            own = np.full(len(u), kernel(np.zeros(1), s)[0])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(sums) if sums else np.zeros(0)), pa.array(own)], names=["u", "row_id", "w", "cross", "own"])
+    def within(a: int, b: int) -> list[tuple[float, float]]:
+        x = shared.value[0]
+        return [(float(bracket_kernel(squared_distances(x[a:b], x), bandwidth).sum()), 0.0)]
 
-    def terms(df: DataFrame) -> DataFrame:
-        u = F.array(*[F.col(c).cast("double") for c in columns]).alias("u")
-        return df.select(u, "row_id", F.col("w").cast("double").alias("w")).mapInArrow(means, "u array<double>, row_id string, w double, cross double, own double")
+    def means(a: int, b: int) -> list[tuple[float, float]]:
+        x, y = shared.value
+        return list(zip(range(a, b), bracket_kernel(squared_distances(y[a:b], x), bandwidth).mean(axis=1).tolist()))
 
     m = len(x)
-    data_sum = terms(data).agg(F.sum("cross").alias("s"), F.sum("own").alias("o")).first()
-    within = (data_sum["s"] * m - data_sum["o"]) / (m * (m - 1))
-    rows = terms(simulated)
-    return Cache(within, rows, x, [], s)
+    own = len(BRACKET)  # the kernel of a point with itself
+    total = sum(r["x"] for r in _over_blocks(spark, m, within, block).collect())  # one number a block
+    got = _over_blocks(spark, len(y), means, block).toArrow()  # one number a point
+    cross = np.zeros(len(y))
+    cross[got["x"].to_numpy().astype(np.int64)] = got["y"].to_numpy()
+    return Cache(spark, (total - own * m) / (m * (m - 1)), y, mc["row_id"].to_pylist(), mc["w"].to_numpy(), cross, bandwidth, block)
 
 
-def weighted_mmd2(cache: Cache, block: int = 1024) -> dict:
-    """mmd2 and ess of the cached simulated rows under their weights; infinite where one row has all the weight."""
-    got = cache.rows.orderBy("row_id").toArrow()  # a subsample
-    u = got["u"].combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
-    w = got["w"].to_numpy()
+def weighted_mmd2(cache: Cache, weights: np.ndarray | None = None) -> dict:
+    """mmd2 and ess of the simulated points under weights (their own by default); infinite where one point has all the weight."""
+    w = cache.weights if weights is None else weights
     w = w / w.sum()
-    cross = float(w @ got["cross"].to_numpy())
+    cross = float(w @ cache.cross)
     left = 1 - float(w @ w)
     ess = 1 / float(w @ w)
     if left <= COLLAPSED:
         return {"mmd2": float("inf"), "ess": ess, "data": cache.data, "cross": cross}
-    within = 0.0
-    for a in range(0, len(u), block):
-        within += float(w[a : a + block] @ (kernel(squared_distances(u[a : a + block], u), cache.widths) @ w))
-    within -= float((w * w) @ got["own"].to_numpy())
-    return {"mmd2": cache.data + within / left - 2 * cross, "ess": ess, "data": cache.data, "cross": cross}
+    shared, bandwidth = cache.spark.sparkContext.broadcast((cache.points, w)), cache.bandwidth
+
+    def within(a: int, b: int) -> list[tuple[float, float]]:
+        y, w = shared.value
+        return [(float(w[a:b] @ (bracket_kernel(squared_distances(y[a:b], y), bandwidth) @ w)), 0.0)]
+
+    total = sum(r["x"] for r in _over_blocks(cache.spark, len(w), within, cache.block).collect()) - len(BRACKET) * float(w @ w)
+    return {"mmd2": cache.data + total / left - 2 * cross, "ess": ess, "data": cache.data, "cross": cross}
 
 
 def curve(cache: Cache, history: DataFrame) -> list[dict]:
-    """weighted_mmd2 for each epoch of (epoch, row_id, w)."""
-    epochs = sorted(r["epoch"] for r in history.select("epoch").distinct().collect())
+    """weighted_mmd2 for each epoch of (epoch, row_id, w); points without a weight have none."""
+    place = {k: i for i, k in enumerate(cache.ids)}
+    known = cache.spark.createDataFrame(list(place.items()), "row_id string, at int")  # a subsample
+    rows = history.join(F.broadcast(known), "row_id").groupBy("epoch").agg(F.collect_list(F.struct("at", "w")).alias("ws")).orderBy("epoch")
     out = []
-    for e in epochs:
-        w = history.where(F.col("epoch") == e).select("row_id", F.col("w").alias("w_new"))
-        rows = cache.rows.join(w, "row_id").withColumn("w", F.col("w_new")).drop("w_new")
-        out.append({"epoch": e, **weighted_mmd2(Cache(cache.data, rows, cache.points, cache.ids, cache.widths))})
+    for r in rows.toLocalIterator():
+        w = np.zeros(len(cache.ids))
+        for x in r["ws"]:
+            w[x["at"]] = x["w"]
+        out.append({"epoch": r["epoch"], **weighted_mmd2(cache, w)})
     return out
 
 

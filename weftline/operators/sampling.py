@@ -54,13 +54,28 @@ def subsample(df: DataFrame, m: int, seed: int | str, key: str = "row_id", by: t
     return hash_rank(df, seed, key, by).where(F.col("rank") <= m)
 
 
+def least_rows(df: DataFrame, m: int, order: list[Column], by: str) -> DataFrame:
+    """The first m rows of each of few groups: every task keeps m at most, nothing is ranked as a whole."""
+    groups = [r[by] for r in df.select(by).distinct().collect()]  # a few classes
+    out = None
+    for g in groups:
+        part = df.where(F.col(by).eqNullSafe(F.lit(g))).orderBy(*order).limit(m)
+        out = part if out is None else out.unionByName(part)
+    return df.limit(0) if out is None else out
+
+
+def small_subsample(df: DataFrame, m: int, seed: int | str, key: str = "row_id", by: str = "y") -> DataFrame:
+    """``subsample`` of a size that one task can sort, without ranks."""
+    return least_rows(df, m, [hash_key(seed, F.col(key)), F.col(key)], by)
+
+
 def head_of_class(df: DataFrame, n: int, key: str = "row_id", by: str = "y") -> DataFrame:
     """The n rows of least key in each class; an error if a class has fewer."""
     sizes = {r[by]: r["c"] for r in df.groupBy(by).agg(F.count("*").alias("c")).collect()}
     short = {k: c for k, c in sizes.items() if c < n}
     if short:
         raise ValueError(f"{n} rows asked for, available: {short}")
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(by).orderBy(key))).where(F.col("_r") <= n).drop("_r")
+    return least_rows(df, n, [F.col(key)], by)
 
 
 def balanced(df: DataFrame, seed: int | str, key: str = "row_id", by: str = "y") -> DataFrame:

@@ -17,7 +17,6 @@ from weftline.sources import gaussian, jets, populations
 from weftline.streaming import histograms
 
 DIGITS = 6
-SUBSAMPLE = 1024  # rows of each class for pairwise kernels: the operator's stated sample size
 EDGES = [0.0, 10.0, 20.0, 30.0, 40.0, 60.0]
 
 
@@ -269,7 +268,7 @@ def ibu_full(spark, sf):
 
 
 def _samples(spark, sf) -> tuple[DataFrame, DataFrame]:
-    some = sampling.subsample(_pop(spark, sf), SUBSAMPLE, 23)
+    some = sampling.small_subsample(_pop(spark, sf), mmd.SUBSAMPLE, 23)
     return some.where("y = 1"), some.where("y = 0")
 
 
@@ -346,8 +345,14 @@ def best_method_ties(spark, sf):
 
 
 def missing_cells(spark, sf):
-    have = populations.read(spark, sf, "orders").select(F.pmod("o_custkey", F.lit(40)).cast("int").alias("b"), F.pmod("o_orderkey", F.lit(25)).cast("int").alias("s")).where("(b + s) % 3 <> 0")
-    return experiments.missing_cells(spark, have, 40, 25).select(F.col("cell").cast("bigint").alias("cell"), "b", "s")
+    """Users (b) and days (s) without an event, of all users and days between the first and the last."""
+    events = populations.read(spark, sf, "events").select("user_id", F.to_date("ts").alias("day"))
+    first = events.agg(F.min("user_id").alias("u"), F.min("day").alias("d"), F.max("user_id").alias("last_u"), F.max("day").alias("last_d")).first()  # one row
+    if first["u"] is None:
+        return spark.createDataFrame([], "cell long, b int, s int")
+    have = events.select((F.col("user_id") - first["u"]).cast("int").alias("b"), F.date_diff("day", F.lit(first["d"])).alias("s"))
+    grid = (first["last_u"] - first["u"] + 1, (first["last_d"] - first["d"]).days + 1)
+    return experiments.missing_cells(spark, have, *grid).select(F.col("cell").cast("bigint").alias("cell"), "b", "s")
 
 
 def phase_upsert(spark, sf):
@@ -430,11 +435,18 @@ def leakage_check(spark, sf):
     return out.agg(F.max(F.abs(F.col("clean") - F.col("poison"))).alias("largest_difference"))
 
 
+def _shared_dir(spark: SparkSession) -> str:
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return (path or "/tmp/weftline-checkpoints").rstrip("/")
+
+
 def stream_histogram(spark, sf):
-    conf = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/weftline-checkpoints"
-    at = f"{conf.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    histograms.run_available(histograms.windowed_histogram(histograms.read_events(spark, sf), 0.0, 100.0, 10, "1 day", "0 seconds"), f"{at}/out", f"{at}/state")
-    return spark.read.parquet(f"{at}/out").groupBy("event_type", "bin").agg(F.sum("n").alias("n"))
+    """All events by type and bin, counted by a stream; its lateness covers the table."""
+    at = f"{_shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    stream = histograms.windowed_histogram(histograms.read_events(spark, sf), 0.0, 100.0, 10, "1 day", "36500 days")
+    return histograms.run_available(stream, f"{at}/out", f"{at}/state").groupBy("event_type", "bin").agg(F.sum("n").alias("n"))
 
 
 def window_histogram(spark, sf):

@@ -70,7 +70,7 @@ for _k in range(3):
 m{_k} AS (SELECT r, sum(p * c) AS m FROM resp JOIN u{_k} ON t = b GROUP BY r),
 q{_k} AS (SELECT t, sum(CASE WHEN m > 0 THEN p * d.c / m ELSE 0 END) AS q FROM resp JOIN m{_k} USING (r) JOIN data d ON d.b = r GROUP BY t),
 u{_k + 1} AS (SELECT b, c * q AS c FROM u{_k} JOIN q{_k} ON t = b)"""
-SAMPLES = f"""{ranked(23)}, a AS (SELECT x1, x2 FROM ranked WHERE y = 1 AND rank <= 1024), b AS (SELECT row_id, x1, x2, w FROM ranked WHERE y = 0 AND rank <= 1024)"""
+SAMPLES = f"""{ranked(23)}, a AS (SELECT x1, x2 FROM ranked WHERE y = 1 AND rank <= 16384), b AS (SELECT row_id, x1, x2, w FROM ranked WHERE y = 0 AND rank <= 16384)"""
 
 
 def kernel(d2: str, bandwidth: float) -> str:
@@ -232,8 +232,10 @@ SELECT arm, count(*) AS n, round(avg(d), 6) AS delta, round(stddev_samp(d) / sqr
     "tied_to_best": "WITH a AS (SELECT user_id AS arm, avg(value) / 1e6 AS v FROM events GROUP BY 1) SELECT arm, CAST(abs(v - min(v) OVER ()) <= 2 * 1.159e-4 AS INTEGER) AS tied FROM a",
     "best_method_ties": """WITH s AS (SELECT l_suppkey AS variable, l_returnflag AS method, round(avg(l_quantity), 1) AS after FROM lineitem GROUP BY ALL),
 w AS (SELECT *, min(after) OVER (PARTITION BY variable) AS l, count(*) OVER (PARTITION BY variable) AS n FROM s) SELECT variable, method, after FROM w WHERE n >= 2 AND after - l <= 1e-12 + 1e-7 * abs(l)""",
-    "missing_cells": """WITH have AS (SELECT DISTINCT o_custkey % 40 AS b, o_orderkey % 25 AS s FROM orders WHERE (o_custkey % 40 + o_orderkey % 25) % 3 <> 0)
-SELECT i AS cell, CAST(i // 25 AS INTEGER) AS b, CAST(i % 25 AS INTEGER) AS s FROM (SELECT unnest(range(1000)) AS i) WHERE NOT EXISTS (SELECT 1 FROM have WHERE have.b = i // 25 AND have.s = i % 25)""",
+    "missing_cells": """WITH f AS (SELECT min(user_id) AS u, min(CAST(ts AS DATE)) AS d, max(user_id) - min(user_id) + 1 AS nb, date_diff('day', min(CAST(ts AS DATE)), max(CAST(ts AS DATE))) + 1 AS ns FROM events),
+have AS (SELECT DISTINCT user_id - u AS b, date_diff('day', d, CAST(ts AS DATE)) AS s FROM events, f), grid AS (SELECT unnest(range(CAST(nb * ns AS BIGINT))) AS i, ns FROM f)
+SELECT i AS cell, CAST(i // ns AS INTEGER) AS b, CAST(i % ns AS INTEGER) AS s FROM grid WHERE NOT EXISTS (SELECT 1 FROM have WHERE have.b = i // ns AND have.s = i % ns)""",
+    "stream_histogram": """SELECT event_type, CAST(greatest(0, least(9, floor(value / 100.0 * 10))) AS INTEGER) AS bin, count(*) AS n FROM events GROUP BY ALL""",
     "phase_upsert": "SELECT o_orderkey, round(CASE WHEN o_orderstatus = 'F' THEN o_totalprice / 2 ELSE o_totalprice END, 6) AS seconds FROM orders",
     "rolling_median5": f"""WITH {DAILY.format('avg(value)')}, n AS (SELECT event_type, day, v, first_value(v) OVER w AS f, last_value(v) OVER w AS l, lag(v, 1) OVER o AS a1, lag(v, 2) OVER o AS a2, lead(v, 1) OVER o AS b1, lead(v, 2) OVER o AS b2
 FROM daily WINDOW o AS (PARTITION BY event_type ORDER BY day), w AS (PARTITION BY event_type ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))

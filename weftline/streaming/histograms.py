@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files_per_trigger: int = 64) -> DataFrame:
-    """A stream of the Parquet files of a folder that match a pattern."""
-    schema = spark.read.parquet(f"{folder}/{pattern}").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
+def read_events(spark: SparkSession, folder: str, name: str = "events.parquet", files_per_trigger: int = 64) -> DataFrame:
+    """A stream of a Parquet table of a folder: one file, or a folder of part files."""
+    schema = spark.read.parquet(f"{folder}/{name}").schema
+    # as a glob, so that a single file may be streamed too
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{name[:-1]}[{name[-1]}]")
 
 
 def windowed_histogram(events: DataFrame, lo: float, hi: float, bins: int, window: str = "1 hour", lateness: str = "2 hours") -> DataFrame:
@@ -22,9 +23,20 @@ def windowed_histogram(events: DataFrame, lo: float, hi: float, bins: int, windo
     return sums.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("window_start"), "event_type", "bin", "n", "total")
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Everything there is now, closed windows only, appended to Parquet; restarts go on from the checkpoint."""
-    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def run_available(stream: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Everything there is now, open windows included; restarts go on from the checkpoint.
+
+    Each batch writes the windows that it changed in full, so a repeated batch
+    overwrites itself; the latest batch of a window counts.
+    """
+
+    def write(changed: DataFrame, batch: int) -> None:
+        changed.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(f"{out}/part-{batch}")
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(f"{out}/part-*")
+    last = F.max(F.struct("batch", "n", "total")).alias("m")
+    return rows.groupBy("window_start", "event_type", "bin").agg(last).select("window_start", "event_type", "bin", "m.n", "m.total")
 
 
 def merge(*parts: DataFrame) -> DataFrame:
