@@ -356,3 +356,54 @@ def test_median_of_even_and_tied_distances(spark):
         u = np.asarray(points)
         df = rows(spark, [(str(i), p[0]) for i, p in enumerate(points)], "row_id string, x double")
         assert mmd.median_bandwidth(df, ("x",), block=7) == pytest.approx(np.sqrt(np.median((u - u.T) ** 2) / 2))
+
+
+def test_observable_means_leave_exclusions_out(spark):
+    s = rows(spark, [("a", 1, "u", 1.0), ("a", 1, "v", 3.0), ("b", 1, "u", 5.0)], "arm string, seed int, observable string, value double")
+    assert {r["arm"]: r["value"] for r in experiments.mean_over_observables(s).collect()} == {"a": 2.0, "b": 5.0}
+    with pytest.raises(ValueError, match="excluded"):
+        experiments.mean_over_observables(s, ("u",))
+    r = rows(spark, [("a", 1.0, None), ("a", float("nan"), 4.0)], "arm string, ess double, mmd2 double")
+    assert experiments.arm_diagnostics(r).first()[1:] == (1.0, 4.0)
+    k = rows(spark, [("particle_w1", 1.0), ("w1", 2.0)], "key string, value double")
+    assert [tuple(x) for x in experiments.prefixed_metrics(k).collect()] == [("w1", 1.0)]
+
+
+def test_tied_epochs_and_averaging_strategies(spark):
+    h = rows(spark, [("r", 1, 0.5), ("r", 2, 0.50001), ("r", 3, 0.9), ("r", 4, float("nan"))], "run string, epoch int, val_mmd double")
+    tied = sorted(r["epoch"] for r in experiments.tied_epochs(h).collect())
+    assert tied == [1, 2]
+    w = rows(spark, [(e, k, float(e * v)) for e in (1, 2, 3) for k, v in (("a", 1), ("b", 3 if e < 3 else 1))], "epoch int, row_id string, w double")
+    got = {s: {r["row_id"]: r["w"] for r in weights.averaged(w, s, 3, tied).collect()} for s in ("selected", "tied-mean", "all-mean", "particle-best")}
+    assert got["selected"] == got["particle-best"] == {"a": 1.0, "b": 1.0} and got["tied-mean"] == {"a": 0.5, "b": 1.5}
+    assert got["all-mean"]["a"] == pytest.approx(2 / 3)
+    with pytest.raises(ValueError):
+        weights.averaged(w, "other")
+
+
+def test_signed_ranks_with_ties_and_zeros(spark):
+    a = [(1, 3.0, 1.0), (2, 1.0, 3.0), (3, 5.0, 4.0), (4, 2.0, 2.0), (5, 9.0, 4.0)]
+    r = experiments.signed_rank(rows(spark, a, "seed int, a double, b double")).first()
+    assert (r["n"], r["w_plus"], r["w_minus"]) == (4, 7.5, 2.5)
+    assert r["z"] == pytest.approx(2.5 / np.sqrt(4 * 5 * 9 / 24 - 6 / 48))
+
+
+def test_small_expressions(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.functions.expressions import fixed_point, merged
+
+    r = spark.range(1).select(fixed_point(F.lit(1234.5), 2).alias("t"), merged(F.expr("map('a', 1, 'b', 2)"), F.expr("map('b', 3)")).alias("m")).first()
+    assert r["t"] == "1234.50" and r["m"] == {"a": 1, "b": 3}
+    with pytest.raises(ValueError, match="no cell"):
+        sampling.cell(-1, 3)
+
+
+def test_p_values_of_many_at_once(spark):
+    t = [0.0, 0.5, -2.0, 12.0, None, 1e9]
+    from pyspark.sql import functions as F
+
+    df = rows(spark, [(i, x) for i, x in enumerate(t)], "i int, t double")
+    got = {r["i"]: r["p"] for r in df.select("i", experiments.two_sided_p(F.col("t"), F.lit(2)).alias("p")).collect()}
+    for i, x in enumerate(t):
+        assert got[i] is None if x is None else got[i] == pytest.approx(1 - abs(x) / np.sqrt(2 + x * x), abs=1e-12)

@@ -55,3 +55,18 @@ def product(values: Column) -> Column:
 def short_hash(text: Column) -> Column:
     """First 16 hex digits of a SHA-256."""
     return F.substring(F.sha2(text.cast("binary"), 256), 1, 16)
+
+
+def fixed_point(c: Column, digits: int) -> Column:
+    """A number as text with a fixed number of digits and no grouping."""
+    return F.format_string(f"%.{digits}f", c.cast("double"))
+
+
+def run_stamp(ts: Column) -> Column:
+    """A moment as a folder name: date, T, time to the second, Z."""
+    return F.date_format(F.to_utc_timestamp(ts, F.current_timezone()), "yyyy-MM-dd'T'HHmmss'Z'")
+
+
+def merged(first: Column, second: Column) -> Column:
+    """Two maps as one; the second's values win."""
+    return F.map_concat(F.map_filter(first, lambda k, v: ~F.array_contains(F.map_keys(second), k)), second)

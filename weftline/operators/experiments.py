@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,54 @@ def arm_summary(runs: DataFrame) -> DataFrame:
     return runs.groupBy("arm").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), (F.stddev_samp("value") / F.sqrt(F.count("*"))).alias("se"))
 
 
+def mean_over_observables(scores: DataFrame, excluded: tuple[str, ...] = ()) -> DataFrame:
+    """arm, seed, value: the mean of (arm, seed, observable, value) over observables, some left out.
+
+    An error if an arm and seed have none of the others.
+    """
+    used = F.when(~F.col("observable").isin(*excluded), F.col("value")) if excluded else F.col("value")
+    out = scores.groupBy("arm", "seed").agg(F.avg(used).alias("value"))
+    if out.where("value IS NULL").limit(1).count():
+        raise ValueError("every observable of a run is excluded")
+    return out
+
+
+def arm_diagnostics(runs: DataFrame, columns: tuple[str, ...] = ("ess", "mmd2")) -> DataFrame:
+    """arm and the means of diagnostic columns over the runs that have them (no null, no NaN)."""
+    return runs.groupBy("arm").agg(*[F.avg(F.when(~F.isnan(c), F.col(c))).alias(c) for c in columns])
+
+
+def prefixed_metrics(records: DataFrame, prefix: str = "particle_") -> DataFrame:
+    """``records`` (.., key, value) whose key starts with a prefix, without it."""
+    return records.where(F.col("key").startswith(prefix)).withColumn("key", F.substring("key", len(prefix) + 1, 1 << 30))
+
+
+def tied_epochs(history: DataFrame, value: str = "val_mmd", floor: float = FLOOR, by: tuple[str, ...] = ("run",)) -> DataFrame:
+    """The epochs whose value is within a floor of the least of their run; NaN is none."""
+    some = history.where(~F.isnan(value) & F.col(value).isNotNull())
+    least = some.groupBy(*by).agg(F.min(value).alias("_least"))
+    return some.join(least, [*by]).where(F.col(value) <= F.col("_least") + floor).drop("_least")
+
+
+def signed_rank(pairs: DataFrame) -> DataFrame:
+    """n, w_plus, w_minus, z of Wilcoxon's signed-rank test on paired values (seed, a, b), zeros left out, ties at mean rank.
+
+    Equal differences are counted first, so ranks are running sums over distinct differences.
+    """
+    d = F.round(F.col("a") - F.col("b"), 12)
+    sizes = pairs.select(d.alias("d")).where("d <> 0").groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("plus"))
+    before = F.coalesce(F.sum("t").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a distinct difference of seeds
+    ranked = sizes.withColumn("rank", before + (F.col("t") + 1) / 2)
+    t = F.col("t").cast("double")
+    out = ranked.agg(
+        F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("plus"))).alias("w_minus"),
+        F.sum(t * t * t - t).alias("ties"),
+    )
+    n = F.col("n").cast("double")
+    spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
+    return out.withColumn("z", F.when(spread > 0, (F.col("w_plus") - n * (n + 1) / 4) / spread)).select("n", "w_plus", "w_minus", "z")
+
+
 def paired_delta(runs: DataFrame, baseline: str) -> DataFrame:
     """arm, n, delta, se, t, p of each arm against the baseline on shared seeds; arms with one shared seed are dropped."""
     base = runs.where(F.col("arm") == baseline).select("seed", F.col("value").alias("_base"))
@@ -36,32 +85,39 @@ def two_sided_p(t: Column, df: Column) -> Column:
 
     @F.pandas_udf(DoubleType())
     def p(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([None if pd.isna(x) else _incomplete_beta(n / 2, 0.5, n / (n + x * x)) for x, n in zip(t, df)], dtype="float64")
+        x, n = t.to_numpy(dtype=float), df.to_numpy(dtype=float)
+        out = np.full(len(x), np.nan)
+        some = ~np.isnan(x) & ~np.isnan(n)
+        out[some] = _incomplete_beta(n[some] / 2, np.full(int(some.sum()), 0.5), n[some] / (n[some] + x[some] ** 2))
+        return pd.Series(out).where(some, None)
 
     return p(t.cast("double"), df.cast("double"))
 
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0 or x >= 1:
-        return float(x >= 1)
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
-    if x > (a + 1) / (a + b + 2):
-        return 1 - _incomplete_beta(b, a, 1 - x)
+_log_gamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The regularised incomplete beta function of arrays, by a continued fraction on the side where it converges."""
+    far = x > (a + 1) / (a + b + 2)
+    a, b, x = np.where(far, b, a), np.where(far, a, b), np.where(far, 1 - x, x)
+    inside = np.clip(x, 1e-300, 1 - 1e-16)
+    front = np.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) + a * np.log(inside) + b * np.log1p(-inside)) if len(a) else x
     # modified Lentz evaluation of 1 / (1 + d1 / (1 + d2 / (1 + ...)))
     tiny = 1e-300
-    f = c = 1.0
-    d = 0.0
+    f, c, d = np.ones_like(x), np.ones_like(x), np.zeros_like(x)
     for i in range(1, 400):
         m = i // 2
         k = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         d = 1 + k * d
-        d = 1 / (d if abs(d) > tiny else tiny)
+        d = 1 / np.where(np.abs(d) > tiny, d, tiny)
         c = 1 + k / c
-        c = c if abs(c) > tiny else tiny
-        f *= c * d
-        if abs(c * d - 1) < 1e-15:
+        c = np.where(np.abs(c) > tiny, c, tiny)
+        f = f * c * d
+        if (np.abs(c * d - 1) < 1e-15).all():
             break
-    return front / (a * f)
+    out = np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, front / (a * f)))
+    return np.where(far, 1 - out, out)
 
 
 def tied_to_best(arms: DataFrame, value: str = "mmd2", factor: float = 2.0) -> DataFrame:

@@ -124,8 +124,10 @@ def pseudo_domains(df: DataFrame, score: Column, strength: float, seed: int | st
 
 
 def cell(index: Column | int, n_seeds: int) -> tuple[Column, Column]:
-    """(bootstrap, seed) of a cell number, seed-major."""
-    i = F.lit(index) if isinstance(index, int) else index
+    """(bootstrap, seed) of a cell number, seed-major; an error for a number below 0."""
+    if isinstance(index, int) and index < 0:
+        raise ValueError(f"no cell {index}")
+    i = F.lit(index) if isinstance(index, int) else F.when(index >= 0, index).otherwise(F.raise_error(F.lit("no such cell")).cast("bigint"))
     return (i / n_seeds).cast("int"), (i % n_seeds).cast("int")
 
 

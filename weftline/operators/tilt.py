@@ -80,3 +80,13 @@ def apply(df: DataFrame, statistics: dict[str, Column], beta: np.ndarray, name:
     both = both.crossJoin(F.broadcast(shift)).withColumn("_e", F.exp(F.col("_z") - F.col("_x")))
     total = both.agg(F.sum("_e").alias("_t"), F.count("_e").alias("_n"))  # one row
     return both.crossJoin(F.broadcast(total)).withColumn(name, F.coalesce(F.col("_e") * F.col("_n") / F.col("_t"), F.lit(1.0))).drop("_z", "_x", "_e", "_t", "_n")
+
+
+def moment_transfer(df: DataFrame, column: str, weight: str = "w") -> DataFrame:
+    """observed, simulated, weighted mean of a column, and the percentage of their difference that the weights close."""
+    v, w, one = F.col(column), F.col(weight), F.col("y") == 1
+    out = df.agg(
+        F.avg(F.when(one, v)).alias("observed"), F.avg(F.when(~one, v)).alias("simulated"), (F.sum(F.when(~one, v * w)) / F.sum(F.when(~one, w))).alias("weighted")
+    )
+    gap = F.col("observed") - F.col("simulated")
+    return out.withColumn("closed", F.when(gap != 0, 100 * (F.col("weighted") - F.col("simulated")) / gap))

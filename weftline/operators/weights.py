@@ -85,3 +85,21 @@ def average_epochs(history: DataFrame, keep: Column | None = None) -> DataFrame:
     kept = history if keep is None else history.where(keep)
     means = kept.groupBy("epoch").agg(F.avg("w").alias("_m"))
     return kept.join(F.broadcast(means), "epoch").groupBy("row_id").agg(F.avg(F.col("w") / F.col("_m")).alias("w"))  # one row an epoch
+
+
+def averaged(history: DataFrame, strategy: str, selected: int | None = None, tied: list[int] | None = None) -> DataFrame:
+    """``average_epochs`` of (epoch, row_id, w) by a named strategy: selected, tied-mean, all-mean or particle-best.
+
+    ``selected`` is the epoch of the first and the last of these, ``tied`` the epochs of the second.
+    """
+    if strategy == "all-mean":
+        return average_epochs(history)
+    if strategy == "tied-mean":
+        if not tied:
+            raise ValueError("no tied epochs")
+        return average_epochs(history, F.col("epoch").isin(*tied))
+    if strategy in ("selected", "particle-best"):
+        if selected is None:
+            raise ValueError("no selected epoch")
+        return average_epochs(history, F.col("epoch") == selected)
+    raise ValueError(f"unknown strategy {strategy}")

@@ -463,6 +463,36 @@ def sweep_response(spark, sf):
     return distances.wasserstein(rows, ("s",), merge=False).select(F.round("s", DIGITS).alias("s"), F.round("w1", DIGITS).alias("w1"))
 
 
+def observable_means(spark, sf):
+    """Mean event value of each user over event types but one."""
+    scores = populations.read(spark, sf, "events").groupBy(F.col("user_id").alias("arm"), F.col("event_type").alias("observable")).agg(F.avg("value").alias("value")).withColumn("seed", F.lit(0))
+    return experiments.mean_over_observables(scores.where("arm IS NOT NULL"), ("no such type",)).select("arm", F.round("value", DIGITS).alias("value"))
+
+
+def tied_epoch_sets(spark, sf):
+    """Days whose mean value is near the least of their event type."""
+    daily = populations.read(spark, sf, "events").groupBy(F.col("event_type").alias("run"), F.to_date("ts").alias("epoch")).agg(F.avg("value").alias("val_mmd"))
+    return experiments.tied_epochs(daily, floor=5.0).select("run", "epoch", F.round("val_mmd", DIGITS).alias("val_mmd"))
+
+
+def signed_rank_test(spark, sf):
+    """Quantity against scaled price of all lines, paired."""
+    line = populations.read(spark, sf, "lineitem").select((F.col("l_quantity") + 0.0).alias("a"), (F.col("l_extendedprice") / 1500).alias("b"))
+    got = experiments.signed_rank(line.select(F.round("a", 1).alias("a"), F.round("b", 1).alias("b")))
+    return got.select("n", *[F.round(c, 3).alias(c) for c in ("w_plus", "w_minus", "z")])
+
+
+def first_moment_transfer(spark, sf):
+    return tilt.moment_transfer(_pop(spark, sf), "z1").withColumns(_round("observed", "simulated", "weighted", "closed"))
+
+
+def mean_epoch_weights(spark, sf):
+    """Line weights averaged over years as epochs, mean 1 in each."""
+    line = populations.read(spark, sf, "lineitem")
+    history = line.groupBy(F.year("l_shipdate").alias("epoch"), F.col("l_suppkey").cast("string").alias("row_id")).agg(F.sum("l_quantity").cast("double").alias("w"))
+    return weights.averaged(history, "all-mean").withColumns(_round("w"))
+
+
 def config_hash(spark, sf):
     text = F.to_json(F.struct("c_custkey", "c_mktsegment"))
     from weftline.functions.expressions import short_hash
@@ -477,6 +507,7 @@ def hash_order(spark, sf):
 
 
 _NAMES = """
+observable_means tied_epoch_sets signed_rank_test first_moment_transfer mean_epoch_weights
 w1_per_dim w1_weighted improvement_pct hist_normalized js_divergence triangular metric_set_long metric_comparison sliced_w1 axis_w1 ess weight_dispersion
 normalize_mean_one normalize_class_preserving normalize_sum_to_one normalize_count_preserving likelihood_ratio_weights bce_weighted critic_gap gradient_penalty
 variance_split standardize population_counts interleave_partition truth_guard hash_split hash_split_disjoint subsample_top_m balanced_classes reserve_eval

@@ -229,6 +229,17 @@ SELECT bin_a, bin_b, round(1e3 * (d - e / 8), 6) AS data, round(1e3 * (i - e / 8
     "arm_summary": f"WITH {ARMS} SELECT arm, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd, round(stddev_samp(value) / sqrt(count(*)), 6) AS se FROM arms GROUP BY arm",
     "paired_delta": f"""WITH {ARMS}, d AS (SELECT a.arm, a.value - b.value AS d FROM arms a JOIN arms b ON a.seed = b.seed AND b.arm = 'click' WHERE a.arm <> 'click')
 SELECT arm, count(*) AS n, round(avg(d), 6) AS delta, round(stddev_samp(d) / sqrt(count(*)), 6) AS se, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t FROM d GROUP BY arm HAVING count(*) >= 2""",
+    "observable_means": "WITH o AS (SELECT user_id AS arm, event_type, avg(value) AS v FROM events WHERE user_id IS NOT NULL GROUP BY ALL) SELECT arm, round(avg(v), 6) AS value FROM o GROUP BY arm",
+    "tied_epoch_sets": """WITH d AS (SELECT event_type AS run, CAST(ts AS DATE) AS epoch, avg(value) AS v FROM events GROUP BY ALL)
+SELECT run, epoch, round(v, 6) AS val_mmd FROM (SELECT *, min(v) OVER (PARTITION BY run) AS least FROM d) WHERE v <= least + 5.0""",
+    "signed_rank_test": """WITH d AS (SELECT round(round(l_quantity + 0.0, 1) - round(l_extendedprice / 1500, 1), 12) AS d FROM lineitem), s AS (SELECT abs(d) AS size, count(*) AS t, count(*) FILTER (d > 0) AS plus FROM d WHERE d <> 0 GROUP BY 1),
+r AS (SELECT *, coalesce(sum(t) OVER (ORDER BY size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2.0 AS rank FROM s),
+w AS (SELECT CAST(sum(t) AS BIGINT) AS n, sum(rank * plus) AS p, sum(rank * (t - plus)) AS m, sum(pow(t::DOUBLE, 3) - t) AS ties FROM r)
+SELECT n, round(p, 3)::DOUBLE AS w_plus, round(m, 3)::DOUBLE AS w_minus, round((p - n::DOUBLE * (n + 1) / 4) / sqrt(n::DOUBLE * (n + 1) * (2 * n::DOUBLE + 1) / 24 - ties / 48), 3) AS z FROM w""",
+    "first_moment_transfer": with_pop(""", m AS (SELECT avg(z1) FILTER (y = 1) AS o, avg(z1) FILTER (y = 0) AS s, sum(z1 * w) FILTER (y = 0) / sum(w) FILTER (y = 0) AS w FROM pop)
+SELECT round(o, 6) AS observed, round(s, 6) AS simulated, round(w, 6) AS weighted, round(100 * (w - s) / (o - s), 6) AS closed FROM m"""),
+    "mean_epoch_weights": """WITH h AS (SELECT year(l_shipdate) AS epoch, CAST(l_suppkey AS VARCHAR) AS row_id, sum(l_quantity)::DOUBLE AS w FROM lineitem GROUP BY ALL)
+SELECT row_id, round(avg(w / m), 6) AS w FROM (SELECT *, avg(w) OVER (PARTITION BY epoch) AS m FROM h) GROUP BY row_id""",
     "tied_to_best": "WITH a AS (SELECT user_id AS arm, avg(value) / 1e6 AS v FROM events GROUP BY 1) SELECT arm, CAST(abs(v - min(v) OVER ()) <= 2 * 1.159e-4 AS INTEGER) AS tied FROM a",
     "best_method_ties": """WITH s AS (SELECT l_suppkey AS variable, l_returnflag AS method, round(avg(l_quantity), 1) AS after FROM lineitem GROUP BY ALL),
 w AS (SELECT *, min(after) OVER (PARTITION BY variable) AS l, count(*) OVER (PARTITION BY variable) AS n FROM s) SELECT variable, method, after FROM w WHERE n >= 2 AND after - l <= 1e-12 + 1e-7 * abs(l)""",
