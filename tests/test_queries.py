@@ -32,8 +32,8 @@ def test_every_sql_has_a_query():
 
 
 def test_unfolding_runs_on_all_dimensions(spark):
-    got = {r["dim"]: r for r in QUERIES["ibu_full"](spark, SF).collect()}
-    assert set(got) == {"x1", "x2", "z1", "z2"} and all(r["after"] >= 0 for r in got.values())
+    got = QUERIES["ibu_full"](spark, SF).collect()
+    assert len({(r["dim"], r["metric"]) for r in got}) == len(got) == 12 and all(r["after"] >= 0 for r in got)
 
 
 def test_poisoned_truth_changes_nothing(spark):
@@ -45,12 +45,18 @@ def test_tilt_meets_its_targets(spark):
         assert abs(r["tilted"] - r["mean"]) < 1e-5
 
 
-@pytest.mark.parametrize("name", ["density_ratio", "iter_reweight", "adversarial_weights"])
+@pytest.mark.parametrize("name", ["density_ratio", "iter_reweight", "adversarial_weights", "wasserstein_weights"])
 def test_reweighting_gives_finite_distances(spark, name):
     for r in QUERIES[name](spark, SF).collect():
         assert 0 <= r["w1"] < 2
 
 
+def test_training_records_every_epoch(spark):
+    got = QUERIES["training_history"](spark, SF).orderBy("epoch").collect()
+    assert [r["epoch"] for r in got] == [1, 2, 3]
+    assert all(r["generator_loss"] == -r["critic_loss"] and 0 < r["validation_loss"] < 2 for r in got)
+
+
 def test_stream_counts_every_event_of_one_file_or_many(spark, tmp_path):
     table = spark.read.parquet(f"{SF}/events.parquet")
     table.repartition(100).write.parquet(f"{tmp_path}/events.parquet")

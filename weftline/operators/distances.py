@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.expressions import improvement
 from weftline.operators.binning import histogram
+from weftline.sources.populations import long
 
 #: Rows of a dimension that are cumulated by one task.
 STRETCH = 250_000
@@ -85,6 +86,20 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, ["dim", "metric"], "full").withColumn("improvement", improvement(F.col("before"), F.col("after")))
 
 
+def joint_record(population: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """dim, metric, before, after, improvement: all metrics of ``population`` (y, w, columns) with unit weights and with w."""
+    return compare(metric_set(long(population, columns, None)), metric_set(long(population, columns)))
+
+
+def sliced_spread(spark: SparkSession, population: DataFrame, columns: tuple[str, ...], n: int = 128, seeds: tuple[int, ...] = (0, 1, 2)) -> DataFrame:
+    """One row, mean and sd of the sliced distance over ``seeds`` sets of ``n`` random directions."""
+    out = None
+    for s in seeds:
+        one = sliced_wasserstein(spark, population, columns, random_directions(n, len(columns), s))
+        out = one if out is None else out.unionByName(one)
+    return out.agg(F.avg("sliced_w1").alias("mean"), F.stddev_samp("sliced_w1").alias("sd"))
+
+
 def random_directions(n: int, dim: int, seed: int = 0) -> list[list[float]]:
     """Unit vectors from normals."""
     g = np.random.Generator(np.random.PCG64(seed)).normal(size=(n, dim))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.expressions import product
@@ -116,6 +116,38 @@ def event_weights(df: DataFrame, column: str, result: dict) -> Column:
     return F.get(F.array(*[F.lit(float(w)) for w in result["weights"]]), saturated_bin(F.col(column), edges))
 
 
+def unfold_all(df: DataFrame, pairs: dict[str, tuple[str, str]], rounds: int = 10, threshold: float = PURITY, fitted_on: Column | None = None) -> dict[str, dict]:
+    """``unfold_variable`` of each name's (truth, reco) columns, on the rows where ``fitted_on`` is true (all by default).
+
+    A sample without rows of both classes is an error.
+    """
+    rows = df if fitted_on is None else df.where(fitted_on)
+    rows = rows.select("y", *dict.fromkeys(c for pair in pairs.values() for c in pair)).persist()
+    try:
+        n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+        if not n.get(0) or not n.get(1):
+            raise ValueError("unfolding needs observed and simulated rows")
+        return {name: unfold_variable(rows, truth, reco, rounds, threshold) for name, (truth, reco) in pairs.items()}
+    finally:
+        rows.unpersist()
+
+
+def reweighted(df: DataFrame, pairs: dict[str, tuple[str, str]], results: dict[str, dict]) -> DataFrame:
+    """``df`` with w: the product of all variables' weights."""
+    return joint_weights(df.drop("w"), {name: event_weights(df, pairs[name][0], r) for name, r in results.items()})
+
+
+def outcomes(spark: SparkSession, results: dict[str, dict]) -> DataFrame:
+    """variable, status, bins."""
+    return spark.createDataFrame([(k, r["status"], len(r["edges"]) - 1) for k, r in results.items()], "variable string, status string, bins int")
+
+
+def bin_table(spark: SparkSession, results: dict[str, dict]) -> DataFrame:
+    """variable, bin, lo, hi, prior, unfolded, weight of the variables that were unfolded."""
+    rows = [(k, i, *map(float, v)) for k, r in results.items() if r["status"] == "ok" for i, v in enumerate(zip(r["edges"], r["edges"][1:], r["prior"], r["unfolded"], r["weights"]))]
+    return spark.createDataFrame(rows, "variable string, bin int, lo double, hi double, prior double, unfolded double, weight double")
+
+
 def joint_weights(df: DataFrame, weights: dict[str, Column], name: str = "w") -> DataFrame:
     """The product of all variables' weights, of mean 1 over the simulated rows; a factor of 0 stays 0."""
     both = df.withColumn(name, product(F.array(*weights.values())))

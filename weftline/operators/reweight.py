@@ -1,11 +1,9 @@
-"""Weights from classifiers: density ratios, iterated reweighting, adversarial reweighting."""
+"""Weights from classifiers: density ratios and iterated reweighting."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -38,18 +36,22 @@ def classify(df: DataFrame, label: Column, weight: Column, column: str = "featur
     return 1 / (1 + F.exp(-z))
 
 
-def density_ratio(df: DataFrame, columns: tuple[str, ...], degree: int = 2) -> DataFrame:
+#: (data, label, weight, features column) to the probability of label 1: ``classify`` or a caller's own.
+Classifier = Callable[[DataFrame, Column, Column, str], Column]
+
+
+def density_ratio(df: DataFrame, columns: tuple[str, ...], degree: int = 2, classifier: Classifier = classify) -> DataFrame:
     """``df`` with ratio: observed over simulated density, from class-balanced weights, clipped, of mean 1 where y = 0."""
     data, _ = features(df, columns, degree)
     n = {r["y"]: r["n"] for r in df.groupBy("y").agg(F.count("*").alias("n")).collect()}
     balance = F.when(F.col("y") == 1, F.lit(sum(n.values()) / (2 * n[1]))).otherwise(F.lit(sum(n.values()) / (2 * n[0])))
-    p = classify(data, F.col("y"), balance)
+    p = classifier(data, F.col("y"), balance, "features")
     both = data.withColumn("ratio", likelihood_ratio(p, 1e-6)).drop("_raw", "_scaled", "features")
     mean = both.where("y = 0").agg(F.avg("ratio").alias("_m"))  # one row
     return both.crossJoin(F.broadcast(mean)).withColumn("ratio", F.col("ratio") / F.col("_m")).drop("_m")
 
 
-def iterate(df: DataFrame, truth: tuple[str, ...], reco: tuple[str, ...], rounds: int = 3, degree: int = 2) -> DataFrame:
+def iterate(df: DataFrame, truth: tuple[str, ...], reco: tuple[str, ...], rounds: int = 3, degree: int = 2, classifier: Classifier = classify) -> DataFrame:
     """``df`` with w: simulated events reweighted at detector level (pull), then as a function of truth (push), in turn.
 
     Step 1 separates observed from weighted simulated events by their detector
@@ -67,10 +69,10 @@ def iterate(df: DataFrame, truth: tuple[str, ...], reco: tuple[str, ...], rounds
         n = {r["y"]: r["n"] for r in both.groupBy("y").agg(F.count("*").alias("n")).collect()}
         for _ in range(rounds):
             now = both.withColumn("push", F.when(F.col("y") == 0, push).otherwise(1.0))
-            p = classify(now, F.col("y"), F.when(F.col("y") == 1, F.lit(n[0] / n[1])).otherwise(F.col("push")), "f_reco")
+            p = classifier(now, F.col("y"), F.when(F.col("y") == 1, F.lit(n[0] / n[1])).otherwise(F.col("push")), "f_reco")
             mc = now.where("y = 0").withColumn("pull", F.col("push") * likelihood_ratio(p, 1e-6))
             pair = mc.select("f_truth", F.lit(1).alias("label"), F.col("pull").alias("weight")).unionByName(mc.select("f_truth", F.lit(0).alias("label"), F.lit(1.0).alias("weight")))
-            push = likelihood_ratio(classify(pair, F.col("label"), F.col("weight"), "f_truth"), 1e-6)
+            push = likelihood_ratio(classifier(pair, F.col("label"), F.col("weight"), "f_truth"), 1e-6)
         out = both.where("y = 0").select("row_id", push.alias("w"))
         mean = out.agg(F.avg("w").alias("_m"))  # one row
         out = out.crossJoin(F.broadcast(mean)).select("row_id", (F.col("w") / F.col("_m")).alias("w"))
@@ -79,109 +81,6 @@ def iterate(df: DataFrame, truth: tuple[str, ...], reco: tuple[str, ...], rounds
         both.unpersist()
 
 
-def _forward(params: list[np.ndarray], x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    a, b, c, d = params
-    h = np.maximum(x @ a + b, 0)
-    return h, h @ c + d
-
-
-def _backward(params: list[np.ndarray], x: np.ndarray, h: np.ndarray, g: np.ndarray) -> list[np.ndarray]:
-    back = np.outer(g, params[2]) * (h > 0)
-    return [x.T @ back, back.sum(axis=0), h.T @ g, np.asarray(g.sum())]
-
-
-def adversarial(df: DataFrame, truth: tuple[str, ...], reco: tuple[str, ...], hidden: int = 16, rounds: int = 12, critic_steps: int = 2, rate: float = 0.005, penalty: float = 0.1, seed: int = 0) -> DataFrame:
-    """``df`` with w: a generator of weights softplus(net(z)) against a classifier of (x, weight).
-
-    Both are one-layer networks with shared parameters; each step sums the
-    gradient over all rows, partition by partition, and only sums come to the
-    driver. The dispersion of the weights is penalised. Observed truth isn't read.
-    """
-    g = np.random.Generator(np.random.PCG64(seed))
-    dims = {"g": len(truth), "d": len(reco)}
-    params = {k: [g.normal(size=(n, hidden)) / np.sqrt(n), np.zeros(hidden), g.normal(size=hidden) / np.sqrt(hidden) * (0.1 if k == "g" else 1), np.asarray(0.0)] for k, n in dims.items()}
-    params["g"][3] = np.asarray(np.log(np.e - 1))  # softplus of this is 1
-    cols = list(dict.fromkeys((*truth, *reco)))
-    stats = df.where("y = 0").agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(cols)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(cols)]).first()
-    scaled = {c: (F.col(c) - float(stats[f"m{i}"])) / float(stats[f"s{i}"] or 1.0) for i, c in enumerate(cols)}
-    rows = df.select(
-        F.col("y").cast("double").alias("y"), F.array(*[F.when(F.col("y") == 0, scaled[c]).otherwise(0.0) for c in truth]).alias("z"), F.array(*[scaled[c] for c in reco]).alias("x")
-    ).persist()
-    spark = df.sparkSession
-    past = {k: [(np.zeros(np.shape(p)), np.zeros(np.shape(p))) for p in v] for k, v in params.items()}
-    turn = {"g": 0, "d": 0}
-    try:
-        n = {int(r["y"]): r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-
-        def sums(which: str, mean_w: float) -> list[np.ndarray]:
-            shared = spark.sparkContext.broadcast((params, mean_w))
-
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                p, m = shared.value
-                total: list | None = None
-                for b in batches:
-                    y = b.column(0).to_numpy()
-                    z = b.column(1).flatten().to_numpy().reshape(len(y), -1)
-                    x = b.column(2).flatten().to_numpy().reshape(len(y), -1)
-                    hz, raw = _forward(p["g"], z)
-                    w = np.where(y == 1, n[0] / n[1], np.logaddexp(0, raw) / m)
-                    hx, s = _forward(p["d"], x)
-                    prob = 1 / (1 + np.exp(-np.clip(s, -30, 30)))
-                    if which == "d":
-                        got = _backward(p["d"], x, hx, w * (prob - y))
-                    elif which == "g":
-                        # the generator raises the classifier's loss on simulated rows: d(w ln(1 - p))/dw
-                        dw = np.where(y == 0, np.log1p(-np.minimum(prob, 1 - 1e-7)) - np.log(np.maximum(prob, 1e-7)), 0.0)
-                        dw = np.where(y == 0, dw + 2 * penalty * (w - 1), 0.0)
-                        got = _backward(p["g"], z, hz, dw / m / (1 + np.exp(-raw)))
-                    else:
-                        got = [np.asarray((w * (y == 0)).sum())]
-                    total = got if total is None else [a + b for a, b in zip(total, got)]
-                if total is not None:
-                    flat = np.concatenate([np.ravel(t) for t in total])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], names=["i", "v"])
-
-            got = rows.mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()  # one number a parameter
-            flat = np.array([r["v"] for r in got])
-            if which == "w":
-                return [flat]
-            out, at = [], 0
-            for p in params[which]:
-                size = int(np.size(p))
-                out.append(flat[at : at + size].reshape(np.shape(p)))
-                at += size
-            return out
-
-        def step(which: str, mean_w: float) -> None:
-            turn[which] += 1
-            for k, grad in enumerate(sums(which, mean_w)):
-                grad = grad / n[0]
-                m, v = past[which][k]
-                past[which][k] = m, v = 0.5 * m + 0.5 * grad, 0.9 * v + 0.1 * grad * grad
-                fix = 1 - 0.9 ** turn[which]
-                params[which][k] = params[which][k] - rate * (m / (1 - 0.5 ** turn[which])) / (np.sqrt(v / fix) + 1e-8)
-
-        for _ in range(rounds):
-            mean_w = float(sums("w", 1.0)[0][0]) / n[0]
-            for _ in range(critic_steps):
-                step("d", mean_w)
-            step("g", mean_w)
-        a, b, c, d = params["g"]
-    finally:
-        rows.unpersist()
-    z = [scaled[t] for t in truth]
-    out = F.lit(float(d))
-    for j in range(hidden):
-        h = F.lit(float(b[j]))
-        for i, t in enumerate(z):
-            h = h + t * float(a[i, j])
-        out = out + F.greatest(h, F.lit(0.0)) * float(c[j])
-    raw = F.when(F.col("y") == 0, F.greatest(out, F.lit(0.0)) + F.log1p(F.exp(-F.abs(out))))
-    both = df.drop("w").withColumn("w", raw)
-    mean = both.agg(F.avg("w").alias("_m"))  # one row: NULL where y = 1
-    return both.crossJoin(F.broadcast(mean)).withColumn("w", F.coalesce(F.col("w") / F.col("_m"), F.lit(1.0))).drop("_m")
-
-
 def response_gain(df: DataFrame, p_without: Column, p_with: Column) -> DataFrame:
     """One row, nats, bits and se: how much a second set of columns lowers the classifier's loss, paired by event.
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators import sampling
+
 
 def anova(cells: DataFrame, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
     """by, data, initialization, interaction, total, naive: random-effects variance components of (b, s, value).
@@ -98,6 +102,48 @@ def correlation(cov: DataFrame) -> DataFrame:
     )
 
 
+def cell_weights(population: DataFrame, evaluation: DataFrame, b: int, s: int, train: Callable[[DataFrame, int], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """b, s, row_id, w: one cell of the grid, its weights on the common ``evaluation`` rows.
+
+    Trains with seed ``s`` on bootstrap sample ``b`` of ``population`` (row_id, y,
+    ..). ``train(sample, seed)`` returns what weighs any rows, such as
+    ``lambda d: training.weigh(d, trained)``.
+    """
+    sample = sampling.repeated(sampling.bootstrap_counts(population, f"sample:{b}"), "multiplicity")
+    return train(sample, s)(evaluation).select(F.lit(b).alias("b"), F.lit(s).alias("s"), "row_id", "w")
+
+
+def run_grid(population: DataFrame, evaluation: DataFrame, n_bootstrap: int, n_seeds: int, train: Callable, folder: str) -> DataFrame:
+    """All cells, each written once under ``folder``; those that are there complete are kept, so a broken run goes on where it stopped."""
+    spark = population.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for b in range(n_bootstrap):
+        for s in range(n_seeds):
+            at = f"{folder.rstrip('/')}/cell-{b}-{s}"
+            done = hadoop(f"{at}/_SUCCESS")
+            if not done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done):
+                cell_weights(population, evaluation, b, s, train).write.mode("overwrite").parquet(at)
+    return spark.read.parquet(*[f"{folder.rstrip('/')}/cell-{b}-{s}" for b in range(n_bootstrap) for s in range(n_seeds)])
+
+
+def collect(events: DataFrame) -> DataFrame:
+    """variable, mean, the variance components, sd_total and sd_naive of the weighted means of (variable, b, s, v, w).
+
+    A deviation is the root of its component, 0 where that is below 0. A grid
+    that lacks cells or has less than two of b or s is an error.
+    """
+    cells = weighted_mean(events, "v", ("variable", "b", "s")).withColumnRenamed("mean", "value").persist()
+    try:
+        for r in cells.groupBy("variable").agg(F.countDistinct("b").alias("nb"), F.countDistinct("s").alias("ns"), F.count("value").alias("n")).collect():  # one row a variable
+            if r["nb"] < 2 or r["ns"] < 2 or r["n"] != r["nb"] * r["ns"]:
+                raise ValueError(f"{r['variable']}: {r['n']} of {r['nb']} x {r['ns']} cells; a whole grid of at least 2 x 2 is needed")
+        grand = cells.groupBy("variable").agg(F.avg("value").alias("mean"))
+        out = grand.join(anova(cells, by=("variable",)), "variable")
+    finally:
+        cells.unpersist()
+    return out.withColumns({f"sd_{c}": F.sqrt(F.greatest(F.col(c), F.lit(0.0))) for c in ("total", "naive")})
+
+
 def closure_correlation(bins: int) -> float:
     """The correlation that the sum rule alone gives to K equal bins."""
     return -1.0 / (bins - 1)

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.expressions import hash_key, improvement, sigmoid
-from weftline.operators import binning, distances, experiments, ibu, mmd, reweight, sampling, tilt, uncertainty, weights
+from weftline.operators import binning, distances, experiments, ibu, mmd, reweight, sampling, tilt, training, uncertainty, weights
 from weftline.sources import gaussian, jets, populations
 from weftline.streaming import histograms
 
@@ -259,12 +260,13 @@ def joint_product_weights(spark, sf):
     return out.select("row_id", F.round("w", DIGITS).alias("w"))
 
 
+PAIRS = {"first": ("z1", "x1"), "second": ("z2", "x2")}
+
+
 def ibu_full(spark, sf):
+    """Both variables unfolded; all metrics at both levels before and after the joint weights."""
     p = _pop(spark, sf)
-    r = ibu.unfold_variable(p, "z1", "x1")
-    after = p.withColumn("w", F.when(F.col("y") == 0, ibu.event_weights(p, "z1", r)).otherwise(1.0))
-    before = distances.wasserstein(populations.long(p, weight=None)).withColumnRenamed("w1", "before")
-    return before.join(distances.wasserstein(populations.long(after)).withColumnRenamed("w1", "after"), "dim")
+    return distances.joint_record(ibu.reweighted(p, PAIRS, ibu.unfold_all(p, PAIRS)), ("x1", "x2", "z1", "z2"))
 
 
 def _samples(spark, sf) -> tuple[DataFrame, DataFrame]:
@@ -419,9 +421,41 @@ def iter_reweight(spark, sf):
     return distances.wasserstein(populations.long(out))
 
 
+def _trained(spark, sf, objective: str, epochs: int) -> tuple[DataFrame, training.Trained]:
+    p = _pop(spark, sf)
+    held = hash_key("held", F.col("row_id")) < "2"  # an eighth of the rows
+    return p, training.train(p, ("z1", "z2"), ("x1", "x2"), training.Settings(objective, generator=(8,), critic=(8, 8), epochs=epochs), held)
+
+
 def adversarial_weights(spark, sf):
-    out = reweight.adversarial(_pop(spark, sf), ("z1", "z2"), ("x1", "x2"), hidden=8, rounds=6)
-    return distances.wasserstein(populations.long(out))
+    p, trained = _trained(spark, sf, training.CLASSIFIER, 6)
+    return distances.wasserstein(populations.long(training.weigh(p, trained)))
+
+
+def wasserstein_weights(spark, sf):
+    p, trained = _trained(spark, sf, training.WASSERSTEIN, 6)
+    return distances.wasserstein(populations.long(training.weigh(p, trained)))
+
+
+def training_history(spark, sf):
+    return training.history_table(spark, _trained(spark, sf, training.CLASSIFIER, 3)[1])
+
+
+#: A small generator of plain numbers: 2 inputs, 3 hidden, 1 output.
+GENERATOR = [np.array([[0.5, -0.25, 0.125], [-0.75, 0.5, 0.25]]), np.array([0.1, 0.2, -0.1]), np.array([[0.3], [-0.2], [0.4]]), np.array([0.5])]
+
+
+def generator_weights(spark, sf):
+    """Weights of a given generator for all simulated lines."""
+    given = training.Trained(training.Settings(), ("z1", "z2"), ("x1", "x2"), {"z1": (25.0, 15.0), "z2": (50.0, 30.0)}, generators=[GENERATOR])
+    return training.weigh(_pop(spark, sf), given).where("y = 0").select("row_id", F.round("w", DIGITS).alias("w"))
+
+
+def uncertainty_summary(spark, sf):
+    """Components and deviations of mean price and quantity class over the grid of (b, s)."""
+    line = _grid(spark, sf).withColumn("p", F.explode(F.array(F.struct(F.lit("price").alias("variable"), F.col("v")), F.struct(F.lit("bin").alias("variable"), F.col("bin").cast("double").alias("v")))))
+    got = uncertainty.collect(line.select("p.variable", "b", "s", "p.v", "w"))
+    return got.withColumns(_round("mean", "data", "initialization", "interaction", "total", "naive", "sd_total", "sd_naive"))
 
 
 def leakage_check(spark, sf):
@@ -507,6 +541,7 @@ def hash_order(spark, sf):
 
 
 _NAMES = """
+wasserstein_weights training_history generator_weights uncertainty_summary
 observable_means tied_epoch_sets signed_rank_test first_moment_transfer mean_epoch_weights
 w1_per_dim w1_weighted improvement_pct hist_normalized js_divergence triangular metric_set_long metric_comparison sliced_w1 axis_w1 ess weight_dispersion
 normalize_mean_one normalize_class_preserving normalize_sum_to_one normalize_count_preserving likelihood_ratio_weights bce_weighted critic_gap gradient_penalty

@@ -116,6 +116,10 @@ long AS (SELECT 1 AS dim, y, w, (x1 - m1) / s1 AS v FROM pop, n UNION ALL SELECT
     "weight_dispersion": with_pop(
         " SELECT round(pow(sum(w), 2) / sum(w * w), 6) AS ess, round(pow(sum(w), 2) / sum(w * w) / count(*), 6) AS share, round(var_pop(w) / pow(avg(w), 2), 6) AS dispersion FROM pop WHERE y = 0"
     ),
+    "generator_weights": with_pop(""",
+u AS (SELECT row_id, (z1 - 25) / 15 AS a, (z2 - 50) / 30 AS b FROM pop WHERE y = 0),
+o AS (SELECT row_id, 0.5 + 0.3 * greatest(0, 0.5 * a - 0.75 * b + 0.1) - 0.2 * greatest(0, -0.25 * a + 0.5 * b + 0.2) + 0.4 * greatest(0, 0.125 * a + 0.25 * b - 0.1) AS o FROM u),
+g AS (SELECT row_id, greatest(o, 0) + ln(1 + exp(-abs(o))) AS g FROM o) SELECT row_id, round(g / avg(g) OVER (), 6) AS w FROM g"""),
     "normalize_mean_one": with_pop(" SELECT row_id, round(w / avg(w) OVER (), 6) AS w FROM pop WHERE y = 0"),
     "normalize_class_preserving": with_pop(
         ", t AS (SELECT count(*) AS n, sum(w) AS s FROM pop WHERE y = 0) SELECT row_id, round(CASE WHEN y = 0 THEN w * n / (s + 1e-7) ELSE 1 END, 6) AS w FROM pop, t"
@@ -205,6 +209,15 @@ SELECT round(aa.v + bb.v / (1 - s) - 2 * ab.v, 6) AS mmd2, round(1 / s, 6) AS es
         ", q AS (SELECT quantile_cont(z2, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) AS q FROM pop) SELECT CAST(i - 1 AS INTEGER) AS i, round(q[i], 6) AS edge FROM q, (SELECT unnest(range(1, 12)) AS i)"
     ),
     "binned_spectra": f"WITH {GRID}, {SPECTRA} SELECT b, s, bin, round(f, 6) AS f FROM spectra",
+    "uncertainty_summary": f"""WITH {GRID}, l AS (SELECT 'price' AS variable, b, s, v, w FROM grid UNION ALL SELECT 'bin', b, s, bin::DOUBLE, w FROM grid),
+c AS (SELECT variable, b, s, sum(w * v) / sum(w) AS v FROM l GROUP BY ALL), g AS (SELECT variable, avg(v) AS g FROM c GROUP BY ALL),
+r AS (SELECT variable, b, avg(v) AS rm FROM c GROUP BY ALL), k AS (SELECT variable, s, avg(v) AS cm FROM c GROUP BY ALL),
+d AS (SELECT variable, 8 * sum(pow(rm - g, 2)) / 7 AS d FROM r JOIN g USING (variable) GROUP BY ALL), i AS (SELECT variable, 8 * sum(pow(cm - g, 2)) / 7 AS i FROM k JOIN g USING (variable) GROUP BY ALL),
+e AS (SELECT variable, sum(pow(v - rm - cm + g, 2)) / 49 AS e FROM c JOIN r USING (variable, b) JOIN k USING (variable, s) JOIN g USING (variable) GROUP BY ALL),
+a AS (SELECT variable, g, (d - e) / 8 AS data, (i - e) / 8 AS initialization, e FROM g JOIN d USING (variable) JOIN i USING (variable) JOIN e USING (variable)),
+t AS (SELECT *, data + initialization + e AS total, data + initialization + 2 * e AS naive FROM a)
+SELECT variable, round(g, 6) AS mean, round(data, 6) AS data, round(initialization, 6) AS initialization, round(e, 6) AS interaction, round(total, 6) AS total, round(naive, 6) AS naive,
+  round(sqrt(greatest(total, 0)), 6) AS sd_total, round(sqrt(greatest(naive, 0)), 6) AS sd_naive FROM t""",
     "weighted_means": f"WITH {GRID} SELECT b, s, round(sum(w * v) / sum(w), 6) AS mean FROM grid GROUP BY b, s",
     "evaluation_variance": f"""WITH {GRID}, m AS (SELECT b, s, sum(w * v) / sum(w) AS mean, sum(w) AS t FROM grid GROUP BY b, s)
 SELECT b, s, round(any_value(mean), 6) AS mean, round(sum(w * w * pow(v - mean, 2)) / pow(any_value(t), 2), 6) AS variance FROM grid JOIN m USING (b, s) GROUP BY b, s""",

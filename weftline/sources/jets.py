@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Fixed value: two bits for each particle code, charge + 1.
@@ -51,3 +51,18 @@ def tau21(tau2: Column, width: Column) -> Column:
 def groomed_mass(sdm: Column, pt: Column) -> Column:
     """ln((sdm / pt)^2), and its floor where that isn't positive."""
     return F.when((sdm > 0) & (pt > 0), 2 * F.log(sdm / pt)).otherwise(F.lit(SDM_FLOOR))
+
+
+def ingest(jets: DataFrame, path: str, label: str = "y") -> None:
+    """Writes jets with their observables as Parquet, one folder a class; constituents aren't kept.
+
+    Readers of one class then read its folder only. A jet without a class is an error.
+    """
+    checked = F.when(F.col(label).isin(0, 1), F.col(label)).otherwise(F.raise_error(F.lit("a jet must be of class 0 or 1")).cast("int"))
+    observables(jets).drop("parts").withColumn(label, checked).write.partitionBy(label).parquet(path)
+
+
+def read_ingested(spark: SparkSession, path: str, columns: tuple[str, ...] = ()) -> DataFrame:
+    """The ingested table, all columns or those named and the class."""
+    table = spark.read.parquet(path)
+    return table.select("y", *columns) if columns else table

@@ -8,11 +8,14 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.operators import sampling
+from weftline.sources import gaussian
+
 
 def load_records(spark: SparkSession, root: str) -> DataFrame:
     """run, config, metrics (JSON strings) of every child of ``root`` that has both files.
 
-    Children with one of the two are left out and named in column ``skipped`` of no row; none complete is an error.
+    Children with one of the two are left out; ``incomplete_runs`` names them. None complete is an error.
     """
     files = spark.read.text([f"{root}/*/config.json", f"{root}/*/metrics.json"], wholetext=True).select(
         F.regexp_extract(F.input_file_name(), "([^/]+)/([^/]+)\\.json$", 1).alias("run"),
@@ -27,6 +30,23 @@ def load_records(spark: SparkSession, root: str) -> DataFrame:
     return out
 
 
+def incomplete_runs(spark: SparkSession, root: str) -> DataFrame:
+    """run, missing: children of ``root`` with only one of config.json and metrics.json."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "{config,metrics}.json").load(f"{root}/*").select("path")
+    named = files.select(F.regexp_extract("path", "([^/]+)/([^/]+)\\.json$", 1).alias("run"), F.regexp_extract("path", "([^/]+)/([^/]+)\\.json$", 2).alias("kind"))
+    kinds = named.groupBy("run").agg(F.collect_set("kind").alias("kinds"))  # at most two a run
+    return kinds.where(F.size("kinds") == 1).select("run", F.when(F.array_contains("kinds", "config"), "metrics").otherwise("config").alias("missing"))
+
+
+def rebuilt(spark: SparkSession, config: str) -> DataFrame:
+    """The split population of a run from its config (JSON: n, seed, split_seed, gaussian settings): the rows it was trained on."""
+    c = json.loads(config)
+    missing = [k for k in ("n", "seed", "split_seed") if k not in c]
+    if missing:
+        raise ValueError(f"the config lacks {missing}")
+    return sampling.split(gaussian.generate(spark, int(c["n"]), gaussian.parse_settings(config), int(c["seed"])), c["split_seed"])
+
+
 def config_keys(records: DataFrame) -> DataFrame:
     """run, key, value (as JSON text) of the configs' top-level entries."""
     entries = F.from_json("config", "map<string,string>")
