@@ -337,7 +337,7 @@ def test_settings_and_selection(spark):
 
 def test_distance_of_skewed_values_with_many_stretches(spark, monkeypatch):
     """One outlier and a heavy tail must not put nearly all rows in one stretch."""
-    monkeypatch.setattr(distances, "STRETCH", 50)
+    monkeypatch.setattr(binning, "STRETCH", 50)
     g = np.random.Generator(np.random.PCG64(3))
     a, b = np.append(g.pareto(0.7, 900), 1e9), np.round(g.pareto(0.9, 800), 1)
     w = g.random(800)
@@ -407,3 +407,15 @@ def test_p_values_of_many_at_once(spark):
     got = {r["i"]: r["p"] for r in df.select("i", experiments.two_sided_p(F.col("t"), F.lit(2)).alias("p")).collect()}
     for i, x in enumerate(t):
         assert got[i] is None if x is None else got[i] == pytest.approx(1 - abs(x) / np.sqrt(2 + x * x), abs=1e-12)
+
+
+@pytest.mark.parametrize("stretch", [7, 250_000])
+def test_quantiles_by_counting_equal_those_of_all_values(spark, monkeypatch, stretch):
+    monkeypatch.setattr(binning, "STRETCH", stretch)
+    g = np.random.Generator(np.random.PCG64(5))
+    values = np.concatenate([np.exp(3 * g.normal(size=150)), np.full(90, 2.5), [1e12]])
+    df = rows(spark, [(float(v),) for v in values] + [(None,)], "v double").repartition(5)
+    shares = [0.0, 0.1, 1 / 3, 0.5, 0.77, 1.0]
+    assert binning.exact_quantiles(df, "v", shares) == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12)
+    with pytest.raises(ValueError):
+        binning.exact_quantiles(df.where("v IS NULL"), "v", shares)

@@ -8,11 +8,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.expressions import ratio
 
+#: Rows of a dimension that are cumulated or ordered by one task.
+STRETCH = 250_000
+#: Value ranges of a dimension, at most: the start of each is broadcast.
+MOST_STRETCHES = 1 << 16
+
 
 def edge(lo: Column, hi: Column, i: Column, bins: int) -> Column:
     return lo + (hi - lo) * i / bins
@@ -59,10 +65,54 @@ def dropping_bin(v: Column, edges: Column) -> Column:
     return F.when(inside, F.least(n - 2, F.size(F.filter(edges, lambda e: e <= v)) - 1))
 
 
+def stretch_levels(rows: int) -> int:
+    """Binary digits of a stretch number, so that a stretch has about ``STRETCH`` rows; there are at most ``MOST_STRETCHES``."""
+    return max(0, min(-(-rows // STRETCH), MOST_STRETCHES) - 1).bit_length()
+
+
+def stretch_cuts(v: str, levels: int) -> Column:
+    """Approximate quantiles of v, one less than there are stretches; for one stretch the median, which isn't used."""
+    return F.percentile_approx(v, [i / (1 << levels) for i in range(1, 1 << levels)] or [0.5], 10 << levels)
+
+
+def with_stretch(df: DataFrame, v: str, levels: int) -> DataFrame:
+    """``df`` (v, _cuts) with _stretch: the number of cuts below v, found one binary digit at a time. Equal values share a stretch."""
+    out = df.withColumn("_stretch", F.lit(0))
+    for k in reversed(range(levels)):
+        out = out.withColumn("_stretch", F.col("_stretch") + F.when(F.get("_cuts", F.col("_stretch") + ((1 << k) - 1)) < F.col(v), 1 << k).otherwise(0))
+    return out
+
+
+def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
+    """Linear quantiles by counting: stretches give the ranks, and only those that hold a wanted rank are ordered.
+
+    Nulls don't count; a column without values is an error.
+    """
+    rows = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
+    n = rows.count()
+    if not n:
+        raise ValueError(f"{column} has no values")
+    levels = stretch_levels(n)
+    dealt = with_stretch(rows.crossJoin(F.broadcast(rows.agg(stretch_cuts("v", levels).alias("_cuts")))), "v", levels).select("_stretch", "v")  # one row
+    sizes = dealt.groupBy("_stretch").agg(F.count("*").alias("n")).orderBy("_stretch").collect()  # at most MOST_STRETCHES rows
+    upto = np.cumsum([r["n"] for r in sizes])
+    places = sorted({int(f(s * (n - 1))) for s in shares for f in (np.floor, np.ceil)})
+    wanted = []
+    for k in places:
+        i = int(np.searchsorted(upto, k, side="right"))
+        wanted.append((sizes[i]["_stretch"], k - int(upto[i] - sizes[i]["n"]), k))
+    some = df.sparkSession.createDataFrame(wanted, "_stretch int, inside long, place long")  # two rows a share
+    counted = dealt.where(F.col("_stretch").isin(*{w[0] for w in wanted})).groupBy("_stretch", "v").agg(F.count("*").alias("n"))
+    ranked = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("_stretch").orderBy("v")))
+    found = ranked.join(F.broadcast(some), "_stretch").where((F.col("inside") < F.col("upto")) & (F.col("inside") >= F.col("upto") - F.col("n")))
+    value = {r["place"]: r["v"] for r in found.select("place", "v").collect()}  # two rows a share
+    at = [s * (n - 1) for s in shares]
+    return [value[int(np.floor(a))] + (a - np.floor(a)) * (value[int(np.ceil(a))] - value[int(np.floor(a))]) for a in at]
+
+
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
     """Edges of bins of equal content: linear quantiles, equal ones once, the outer two nudged."""
-    got = df.agg(F.percentile(column, [i / bins for i in range(bins + 1)]).alias("q")).first()["q"]
-    return nudged_edges(sorted(set(got)))
+    return nudged_edges(sorted(set(exact_quantiles(df, column, [i / bins for i in range(bins + 1)]))))
 
 
 def response_matrix(df: DataFrame, truth_bin: str, reco_bin: str, bins: int) -> DataFrame:

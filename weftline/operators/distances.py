@@ -14,21 +14,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.expressions import improvement
-from weftline.operators.binning import histogram
+from weftline.operators.binning import histogram, stretch_cuts, stretch_levels, with_stretch
 from weftline.sources.populations import long
 
-#: Rows of a dimension that are cumulated by one task.
-STRETCH = 250_000
-#: Value ranges of a dimension, at most: the start of each is broadcast.
-MOST_STRETCHES = 1 << 16
-
 
 def wasserstein(long: DataFrame, by: tuple[str, ...] = ("dim",), merge: bool = True) -> DataFrame:
     """by, w1: the area between the two distribution functions.
 
     Running sums go over value stretches: the stretches' sums give each its
     start, so no window spans a dimension. Stretches are cut at approximate
-    quantiles, so each has about ``STRETCH`` rows however the values are
+    quantiles, so each has about ``binning.STRETCH`` rows however the values are
     distributed. Equal values are merged before the rows are dealt out, unless
     ``merge`` is off: for projections, which hardly ever repeat, that saves a
     shuffle of all rows.
@@ -36,12 +31,9 @@ def wasserstein(long: DataFrame, by: tuple[str, ...] = ("dim",), merge: bool = T
     y = F.col("y")
     a, b = F.when(y == 1, F.col("w")).otherwise(0.0), F.when(y == 0, F.col("w")).otherwise(0.0)
     largest = long.groupBy(*by).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    levels = max(0, min(-(-largest // STRETCH), MOST_STRETCHES) - 1).bit_length()
-    cuts = [i / (1 << levels) for i in range(1, 1 << levels)] or [0.5]
-    total = long.groupBy(*by).agg(F.sum(a).alias("ta"), F.sum(b).alias("tb"), F.percentile_approx("v", cuts, 10 << levels).alias("_cuts"))
-    net = long.join(F.broadcast(total), [*by]).withColumn("_stretch", F.lit(0))  # one row a dimension
-    for k in reversed(range(levels)):  # the number of cuts below v, one binary digit at a time
-        net = net.withColumn("_stretch", F.col("_stretch") + F.when(F.get("_cuts", F.col("_stretch") + ((1 << k) - 1)) < F.col("v"), 1 << k).otherwise(0))
+    levels = stretch_levels(largest)
+    total = long.groupBy(*by).agg(F.sum(a).alias("ta"), F.sum(b).alias("tb"), stretch_cuts("v", levels).alias("_cuts"))
+    net = with_stretch(long.join(F.broadcast(total), [*by]), "v", levels)  # one row a dimension
     net = net.select(*by, "v", "_stretch", (a / F.col("ta") - b / F.col("tb")).alias("m"))
     if merge:
         net = net.groupBy(*by, "_stretch", "v").agg(F.sum("m").alias("m"))
@@ -50,7 +42,7 @@ def wasserstein(long: DataFrame, by: tuple[str, ...] = ("dim",), merge: bool = T
         *by, "_stretch", F.coalesce(F.sum("m").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("before"), F.lead("first").over(whole).alias("then")
     )
     inside = Window.partitionBy(*by, "_stretch").orderBy("v")
-    steps = net.join(F.broadcast(starts), [*by, "_stretch"]).select(  # at most MOST_STRETCHES rows a dimension
+    steps = net.join(F.broadcast(starts), [*by, "_stretch"]).select(  # at most binning.MOST_STRETCHES rows a dimension
         *by,
         (F.col("before") + F.sum("m").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))).alias("height"),
         (F.coalesce(F.lead("v").over(inside), F.col("then")) - F.col("v")).alias("width"),

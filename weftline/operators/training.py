@@ -37,6 +37,8 @@ class Settings:
     def __post_init__(self) -> None:
         if self.objective not in DISPERSION:
             raise ValueError(f"objective must be one of {sorted(DISPERSION)}")
+        if self.critic_steps < 1:
+            raise ValueError("an epoch needs a step of the critic")
 
 
 @dataclass
@@ -156,15 +158,21 @@ def train(df: DataFrame, truth: tuple[str, ...], reco: tuple[str, ...], settings
     rows = df.select(F.col("y").cast("int").alias("y"), held.alias("held"), _vector(out, truth, F.col("y") == 0).alias("z"), _vector(out, reco).alias("x")).persist()
     steps = {k: Adam(p, settings.rate, DECAYS[settings.objective]) for k, p in (("g", g), ("d", d))}
     dispersion = DISPERSION[settings.objective] if settings.dispersion is None else settings.dispersion
+
+    def record(fitted: float, kept: float) -> None:
+        out.history.append({"epoch": len(out.history) + 1, "critic_loss": fitted, "generator_loss": -fitted, "validation_loss": kept})
+
     try:
         out.generators.append(g)
         for epoch in range(1, settings.epochs + 1):
-            for _ in range(settings.critic_steps):
-                d, mean, _, _ = _critic_step(rows, settings.objective, g, d, steps["d"])
+            for turn in range(settings.critic_steps):
+                d, mean, *losses = _critic_step(rows, settings.objective, g, d, steps["d"])
+                if epoch > 1 and not turn:  # these losses are those that the epoch before ended with
+                    record(*losses)
             g = _generator_step(rows, settings.objective, g, d, steps["g"], mean, dispersion)
-            _, _, fitted, kept = _critic_step(rows, settings.objective, g, d, None)
             out.generators.append(g)
-            out.history.append({"epoch": epoch, "critic_loss": fitted, "generator_loss": -fitted, "validation_loss": kept})
+        if settings.epochs:
+            record(*_critic_step(rows, settings.objective, g, d, None)[2:])
         out.critic = d
     finally:
         rows.unpersist()

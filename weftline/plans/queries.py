@@ -286,8 +286,8 @@ def mmd2_weighted(spark, sf):
 
 
 def quantile_edges(spark, sf):
-    got = _pop(spark, sf).agg(F.percentile("z2", [i / 10 for i in range(11)]).alias("q"))
-    return got.select(F.posexplode("q").alias("i", "edge")).withColumns(_round("edge"))
+    got = binning.exact_quantiles(_pop(spark, sf), "z2", [i / 10 for i in range(11)])
+    return spark.createDataFrame(list(enumerate(got)), "i int, edge double").withColumns(_round("edge"))
 
 
 def binned_spectra(spark, sf):
