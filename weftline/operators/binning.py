@@ -107,7 +107,7 @@ def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[flo
     found = ranked.join(F.broadcast(some), "_stretch").where((F.col("inside") < F.col("upto")) & (F.col("inside") >= F.col("upto") - F.col("n")))
     value = {r["place"]: r["v"] for r in found.select("place", "v").collect()}  # two rows a share
     at = [s * (n - 1) for s in shares]
-    return [value[int(np.floor(a))] + (a - np.floor(a)) * (value[int(np.ceil(a))] - value[int(np.floor(a))]) for a in at]
+    return [float(value[int(np.floor(a))] + (a - np.floor(a)) * (value[int(np.ceil(a))] - value[int(np.floor(a))])) for a in at]
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
