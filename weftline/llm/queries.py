@@ -10,6 +10,7 @@ from weftline.llm.order_minhash import op10_near_duplicates
 from weftline.llm.packing import op6_packing
 from weftline.llm.pii import op2_pii
 from weftline.llm.pieces import op8_piece_encoding
+from weftline.llm.suffix_dedup import op11_suffix_dedup
 from weftline.llm.toxicity import op5_toxicity
 from weftline.llm.weighted_sampling import op4_fingerprints
 
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_piece_encoding": op8_piece_encoding,
     "op9_top_k": op9_top_k,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_suffix_dedup": op11_suffix_dedup,
 }
 
 ORACLE_SQL = {
@@ -64,5 +66,28 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+""",
+    "op11_suffix_dedup": """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+w AS (
+  SELECT doc_id, p, t[p:p + 99] AS s FROM (SELECT doc_id, t, unnest(range(1, octet_length(t) - 98)) AS p FROM d)
+), r AS (
+  SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) > 1 AS repeated FROM w
+), b AS (
+  SELECT doc_id, t, unnest(range(1, octet_length(t) + 1)) AS p FROM d
+), c AS (
+  SELECT b.doc_id, b.p, hex(b.t[b.p:b.p]) AS byte,
+    coalesce(bool_or(r.repeated) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS 99 PRECEDING), false) AS gone
+  FROM b LEFT JOIN r USING (doc_id, p)
+), e AS (
+  SELECT *, lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY p) AS was FROM c
+), f AS (
+  SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT was) AS n_spans,
+    coalesce(string_agg(byte, '' ORDER BY p) FILTER (NOT gone), '') AS kept
+  FROM e GROUP BY doc_id
+)
+SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN f USING (doc_id)
 """,
 }
