@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftline.llm.chat_format import op3_chat_format
+from weftline.llm.fill_middle import op12_fill_middle
 from weftline.llm.language_id import op1_language_id
 from weftline.llm.maxent_lm import op7_maxent_lm
 from weftline.llm.mtree_search import op9_top_k
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_top_k": op9_top_k,
     "op10_near_duplicates": op10_near_duplicates,
     "op11_suffix_dedup": op11_suffix_dedup,
+    "op12_fill_middle": op12_fill_middle,
 }
 
 ORACLE_SQL = {
@@ -89,5 +91,27 @@ w AS (
 SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
        sha256(unhex(coalesce(kept, ''))) AS kept_sha256
 FROM d LEFT JOIN f USING (doc_id)
+""",
+    "op12_fill_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS s,
+    regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents
+), h AS (
+  SELECT *, len(u) AS n, ('0x' || s[1:8])::BIGINT % (len(u) + 1) AS i, ('0x' || s[9:16])::BIGINT % (len(u) + 1) AS j,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR ('0x' || s[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+         WHEN ('0x' || s[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM d
+), p AS (
+  SELECT doc_id, text, n, form, array_to_string(u[1:least(i, j)], '') AS prefix,
+    array_to_string(u[least(i, j) + 1:greatest(i, j)], '') AS middle, array_to_string(u[greatest(i, j) + 1:], '') AS suffix
+  FROM h
+)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                   ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
 """,
 }
