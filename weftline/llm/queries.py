@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftline.llm.chat_format import op3_chat_format
+from weftline.llm.conversation_trie import op13_conversation_trie
 from weftline.llm.fill_middle import op12_fill_middle
 from weftline.llm.language_id import op1_language_id
 from weftline.llm.maxent_lm import op7_maxent_lm
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_near_duplicates": op10_near_duplicates,
     "op11_suffix_dedup": op11_suffix_dedup,
     "op12_fill_middle": op12_fill_middle,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLE_SQL = {
@@ -113,5 +115,43 @@ SELECT doc_id, n::BIGINT AS n, form,
                    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
   sha256(text) AS restored_sha256
 FROM p
+""",
+    "op13_conversation_trie": """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS r
+  FROM conversations
+), h AS (
+  SELECT c, s, c - c % 20 AS base, xor(list_reduce(list_prepend(4294967295, range(0, 8 * length(s))),
+      lambda x, i: (xor(x, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END) >> 1)
+        .xor(3988292384 * (xor(x, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END) & 1))), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT c, c::VARCHAR AS s FROM t)
+), k AS (
+  SELECT h.c, h.h, count(t.r) AS k FROM h LEFT JOIN t ON t.c = h.base AND t.r < h.h GROUP BY h.c, h.h
+), p AS (
+  SELECT h.c, t.r + 1 AS depth, t.role, t.text FROM h JOIN t ON t.c = h.base AND t.r < h.h
+  UNION ALL SELECT t.c, t.r - k.h + k.k + 1, t.role, t.text FROM t JOIN k ON t.c = k.c AND t.r >= k.h
+), q AS (
+  SELECT c, depth, string_agg(md5(length(role) || ' ' || role || text), '') OVER (PARTITION BY c ORDER BY depth) AS node,
+    len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS words, depth = max(depth) OVER (PARTITION BY c) AS ends
+  FROM p
+  UNION ALL SELECT c, 0, '', 0, c NOT IN (SELECT c FROM p) FROM h
+), n AS (
+  SELECT depth, node, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '') AS members
+  FROM q GROUP BY depth, node
+), e AS (
+  SELECT p.*, count(c.node) AS n_children, any_value(u.conv_id) AS parent_conv_id
+  FROM n p LEFT JOIN n c ON c.depth = p.depth + 1 AND left(c.node, 32 * p.depth) = p.node
+    LEFT JOIN n u ON u.depth = p.depth - 1 AND left(p.node, 32 * u.depth) = u.node
+  GROUP BY ALL
+), s AS (
+  SELECT a.depth, a.node, sum((d.n_convs - 1) * d.words) AS saved_tokens, count(*) FILTER (d.n_children = 0) AS n_leaves
+  FROM e a JOIN q ON q.depth = a.depth AND q.node = a.node JOIN e d ON d.conv_id = q.c AND d.depth >= a.depth
+  GROUP BY a.depth, a.node
+)
+SELECT conv_id, depth::BIGINT AS depth, parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children, n_leaves::BIGINT AS n_leaves,
+       saved_tokens::BIGINT AS saved_tokens, sha256(members) AS ends_sha256
+FROM e JOIN s USING (depth, node)
 """,
 }
