@@ -71,7 +71,7 @@ def iterate(df: DataFrame, truth: tuple[str, ...], reco: tuple[str, ...], rounds
             now = both.withColumn("push", F.when(F.col("y") == 0, push).otherwise(1.0))
             p = classifier(now, F.col("y"), F.when(F.col("y") == 1, F.lit(n[0] / n[1])).otherwise(F.col("push")), "f_reco")
             mc = now.where("y = 0").withColumn("pull", F.col("push") * likelihood_ratio(p, 1e-6))
-            pair = mc.select("f_truth", F.lit(1).alias("label"), F.col("pull").alias("weight")).unionByName(mc.select("f_truth", F.lit(0).alias("label"), F.lit(1.0).alias("weight")))
+            pair = mc.select("row_id", "f_truth", F.lit(1).alias("label"), F.col("pull").alias("weight")).unionByName(mc.select("row_id", "f_truth", F.lit(0).alias("label"), F.lit(1.0).alias("weight")))
             push = likelihood_ratio(classifier(pair, F.col("label"), F.col("weight"), "f_truth"), 1e-6)
         out = both.where("y = 0").select("row_id", push.alias("w"))
         mean = out.agg(F.avg("w").alias("_m"))  # one row

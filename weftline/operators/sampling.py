@@ -132,8 +132,8 @@ def cell(index: Column | int, n_seeds: int) -> tuple[Column, Column]:
 
 
 def split_seed(data_seed: int, b: Column, s: Column) -> Column:
-    """One number for each (data seed, b, s)."""
-    return F.conv(F.substring(hash_key(data_seed, b, s), 1, 8), 16, 10).cast("bigint")
+    """A number of 60 bits for each (data seed, b, s)."""
+    return F.conv(F.substring(hash_key(data_seed, b, s), 1, 15), 16, 10).cast("bigint")
 
 
 def cells(spark: SparkSession, n_bootstrap: int, n_seeds: int) -> DataFrame:

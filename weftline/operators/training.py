@@ -1,12 +1,15 @@
 """Adversarial training of event weights: a generator of weights from truth columns against a critic of detector columns.
 
-Every step is one pass over all rows: tasks sum gradients over their partitions,
-the sums are merged by Spark, and a number a parameter comes to the driver.
+``train`` takes full gradients: every step is one pass over all rows, tasks sum
+gradients over their partitions, the sums are merged by Spark, and a number a
+parameter comes to the driver. ``train_cells`` takes shuffled batches: one pass an
+epoch, in which each shard of the rows trains both networks batch by batch and
+Spark averages the shards' parameters; any number of trainings shares the passes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import mmd, sampling
+from weftline.operators import learning, mmd, sampling
 
 CLASSIFIER, WASSERSTEIN = "classifier", "wasserstein"
 #: Weight of the dispersion penalty and Adam's decay rates by objective, weight of the gradient penalty.
@@ -239,6 +242,148 @@ def _generator_step(rows: DataFrame, objective: str, g: list, d: list, step: Ada
     return step.step(g, (got[2 : 2 + size] - got[1] / n * got[2 + size :]) / (n * mean))
 
 
+@dataclass(frozen=True)
+class Cell:
+    """One of several trainings on the same rows.
+
+    ``member`` gets the arrays of a shard (key, y, columns) and returns how often
+    each row counts in this training and whether it is held out.
+    """
+
+    member: Callable[[dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]
+    seed: int = 0
+
+
+def _softplus_slope(out: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
+
+
+def _batch_critic(objective: str, g: list, d: list, y: np.ndarray, z: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The critic's gradient on one batch; both classes count alike."""
+    raw = np.where(y == 1, 1.0, np.logaddexp(0, forward(g, z)[1]))
+    inputs, out = forward(d, x)
+    slope = _terms(objective, y, out)[1] * raw
+    gradient = _flat(backward(d, inputs, slope / np.where(y == 1, raw[y == 1].sum(), raw[y == 0].sum())))
+    if objective == WASSERSTEIN:
+        gradient = gradient + GRADIENT_PENALTY * _flat(slope_penalty(d, inputs)[1]) / len(y)
+    return gradient
+
+
+def _batch_generator(objective: str, g: list, d: list, z: np.ndarray, x: np.ndarray, dispersion: float) -> np.ndarray:
+    """The generator's gradient on the simulated rows of one batch."""
+    inputs, out = forward(g, z)
+    raw = np.logaddexp(0, out)
+    mean = raw.mean()
+    w = raw / mean
+    pull = -_terms(objective, np.zeros(len(z)), forward(d, x)[1])[0] + 2 * dispersion * (w - 1)
+    soft = _softplus_slope(out)
+    return (_flat(backward(g, inputs, pull * soft)) - (w * pull).mean() * _flat(backward(g, inputs, soft))) / (len(z) * mean)
+
+
+def train_cells(df: DataFrame, truth: tuple[str, ...], reco: tuple[str, ...], cells: dict[int, Cell], settings: Settings = Settings(), batch: int = 512, key: str = "row_id", shard_rows: int = learning.SHARD_ROWS) -> dict[int, Trained]:
+    """Every cell's training on rows (key, y, truth, reco), in shuffled batches, one pass an epoch for all of them.
+
+    Batches are drawn in each shard from a permutation seeded by cell, epoch and
+    shard; a row that counts several times comes several times. Results depend on
+    the rows, not on their files or partitions. Columns are standardized by the
+    simulated rows of the whole table, alike in all cells; a null counts as their
+    mean. Observed truth isn't read. No rows of a class in a cell is an error.
+    """
+    cols = list(dict.fromkeys((*truth, *reco)))
+    stats = df.where(F.col("y") == 0).agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(cols) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    if stats["m0"] is None:
+        raise ValueError("no simulated rows")
+    scale = {c: (float(stats[f"m{i}"]), float(stats[f"s{i}"] or 1.0)) for i, c in enumerate(cols)}
+    names = {c: f"z{i}" for i, c in enumerate(truth)}, {c: f"x{i}" for i, c in enumerate(reco)}
+    rows = df.select(F.col(key).alias("id"), "y", *[F.when(F.col("y") == 0, F.col(c)).alias(n) for c, n in names[0].items()], *[F.col(c).alias(n) for c, n in names[1].items()])
+    shards = learning.sharded(rows, "id", ("y", *names[0].values(), *names[1].values()), shard_rows).persist()
+    dispersion = DISPERSION[settings.objective] if settings.dispersion is None else settings.dispersion
+    split = 2 * (len(settings.generator) + 1)
+    models, out = {}, {}
+    for m, cell in cells.items():
+        rng = np.random.Generator(np.random.PCG64(cell.seed))
+        g = network([len(truth), *settings.generator, 1], rng, 0.1)
+        g[-1] = np.full(1, np.log(np.e - 1))
+        models[m] = [*g, *network([len(reco), *settings.critic, 1], rng)]
+        out[m] = Trained(settings, tuple(truth), tuple(reco), scale, generators=[g])
+
+    def inputs_of(data: dict[str, np.ndarray], chosen: dict[str, str]) -> np.ndarray:
+        return np.nan_to_num(np.column_stack([(data[n] - scale[c][0]) / scale[c][1] for c, n in chosen.items()]), nan=0.0)
+
+    try:
+        for epoch in range(settings.epochs + 1):
+
+            def step(m: int, p: list[np.ndarray], shard: int, data: dict[str, np.ndarray]):
+                g, d = p[:split], p[split:]
+                y, z, x = data["y"], inputs_of(data, names[0]), inputs_of(data, names[1])
+                times, held = cells[m].member(data)
+                raw = np.where(y == 1, 1.0, np.logaddexp(0, forward(g, z)[1]))
+                loss = _terms(settings.objective, y, forward(d, x)[1])[0]
+                more = np.array([(v * times * (y == c) * keep).sum() for keep in (~held, held) for c in (1, 0) for v in (np.ones(len(y)), raw, raw * loss)])
+                mine = np.repeat(np.flatnonzero(~held), times[~held])
+                if epoch == settings.epochs or not len(mine):
+                    return 0.0, p, more
+                steps = {k: Adam(q, settings.rate, DECAYS[settings.objective]) for k, q in (("g", g), ("d", d))}
+                for b in learning.batches(len(mine), batch, np.random.default_rng([cells[m].seed, epoch, shard])):
+                    i = mine[b]
+                    mc = i[y[i] == 0]
+                    if not 0 < len(mc) < len(i):
+                        continue
+                    for _ in range(settings.critic_steps):
+                        d = steps["d"].step(d, _batch_critic(settings.objective, g, d, y[i], z[i], x[i]))
+                    g = steps["g"].step(g, _batch_generator(settings.objective, g, d, z[mc], x[mc], dispersion))
+                return float(len(mine)), [*g, *d], more
+
+            for m, (new, more) in learning.averaged_pass(shards, models, step).items():
+                (n1, s1, l1), (n0, s0, l0), (k1, t1, h1), (k0, t0, h0) = more.reshape(4, 3)
+                if not n1 or not n0:
+                    raise ValueError("training needs rows of both classes")
+                if epoch:
+                    fitted = l1 / s1 + l0 / s0
+                    out[m].history.append({"epoch": epoch, "critic_loss": fitted, "generator_loss": -fitted, "validation_loss": h1 / t1 + h0 / t0 if k1 and k0 else float("nan")})
+                if epoch < settings.epochs:
+                    models[m] = new
+                    out[m].generators.append(new[:split])
+                out[m].critic = models[m][split:]
+    finally:
+        shards.unpersist()
+    return out
+
+
+def train_batched(df: DataFrame, truth: tuple[str, ...], reco: tuple[str, ...], settings: Settings = Settings(), held_out: float = 0.0, batch: int = 512, key: str = "row_id", shard_rows: int = learning.SHARD_ROWS) -> Trained:
+    """One training in batches; a part ``held_out`` of the keys only gives the validation loss."""
+
+    def member(data: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        return np.ones(len(data["y"]), np.int64), learning.uniform(data["key"], settings.seed, "held") < held_out
+
+    return train_cells(df, truth, reco, {0: Cell(member, settings.seed)}, settings, batch, key, shard_rows)[0]
+
+
+@dataclass
+class Selection:
+    """The epoch of least kernel distance on validation rows, and what it and unit weights reach on test rows."""
+
+    epoch: int
+    curve: list[dict]
+    test: dict
+    unweighted: dict
+
+
+def select(validation: DataFrame, test: DataFrame, trained: Trained, columns: tuple[str, ...], size: int = mmd.SUBSAMPLE, seed: int = 0) -> Selection:
+    """Chooses among all epochs on ``validation`` and scores the chosen one again on ``test``, with its own bandwidth.
+
+    Both are (row_id, y, ..) frames without common rows; the choice isn't made on
+    the rows that judge it.
+    """
+    curve = kernel_curve(validation, trained, columns, size, seed)
+    epoch = mmd.select_epoch(curve)
+    scored = Trained(trained.settings, trained.truth, trained.reco, trained.scale, trained.history, [trained.generators[epoch]], trained.critic)
+    ones = [np.zeros_like(t) for t in trained.generators[epoch]]
+    plain = Trained(trained.settings, trained.truth, trained.reco, trained.scale, [], [ones], trained.critic)  # a constant: weights of 1
+    got, unit = (kernel_curve(test, t, columns, size, seed)[0] for t in (scored, plain))
+    return Selection(epoch, curve, {**got, "epoch": epoch}, unit)
+
+
 def _vector(trained: Trained, columns: tuple[str, ...], where: Column | None = None) -> Column:
     scaled = [(F.col(c).cast("double") - trained.scale[c][0]) / trained.scale[c][1] for c in columns]
     return F.array(*[F.coalesce(s if where is None else F.when(where, s), F.lit(0.0)) for s in scaled])

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.operators import sampling
+from weftline.operators import learning, sampling, training
+
+RESAMPLE = ("both", "data", "simulation")
 
 
 def anova(cells: DataFrame, value: str = "value", by: tuple[str, ...] = ()) -> DataFrame:
@@ -126,6 +130,92 @@ def run_grid(population: DataFrame, evaluation: DataFrame, n_bootstrap: int, n_s
     return spark.read.parquet(*[f"{folder.rstrip('/')}/cell-{b}-{s}" for b in range(n_bootstrap) for s in range(n_seeds)])
 
 
+def drawn(data: dict[str, np.ndarray], data_seed: int, b: int, resample: str = "both") -> np.ndarray:
+    """How often each row of a shard (key, y) is in bootstrap sample ``b``; a side that isn't resampled counts once."""
+    if resample not in RESAMPLE:
+        raise ValueError(f"resample must be one of {RESAMPLE}")
+    times = learning.multiplicities(data["key"], data_seed, "sample", b)
+    once = {"both": np.zeros(len(times), bool), "data": data["y"] == 0, "simulation": data["y"] == 1}[resample]
+    return np.where(once, 1, times)
+
+
+def split_of(data: dict[str, np.ndarray], data_seed: int, b: int, s: int, test: float = 0.2, validation: float = 0.1) -> np.ndarray:
+    """0 (train), 1 (validation) or 2 (test) for each row of a shard: another split in every cell, the same for all copies of a row."""
+    u = learning.uniform(data["key"], data_seed, "split", b, s)
+    return np.where(u < test, 2, np.where(u < test + validation, 1, 0))
+
+
+def train_grid(
+    population: DataFrame, n_bootstrap: int, n_seeds: int, truth: tuple[str, ...], reco: tuple[str, ...], settings: training.Settings = training.Settings(),
+    data_seed: int = 0, resample: str = "both", batch: int = 512, shard_rows: int = learning.SHARD_ROWS,
+) -> dict[tuple[int, int], training.Trained]:
+    """All cells (b, s), each trained on its bootstrap sample's training part, in as many scans as one training takes.
+
+    Rows are split first and repeated within their part: a row's multiplicity
+    depends on b alone, its part on (b, s). Every row's count and part are computed
+    where the row lies; no sample is written.
+    """
+
+    def member(b: int, s: int):
+        def of(data: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+            part = split_of(data, data_seed, b, s)
+            return np.where(part == 2, 0, drawn(data, data_seed, b, resample)), part == 1
+
+        return of
+
+    keys = [(b, s) for s in range(n_seeds) for b in range(n_bootstrap)]
+    cells = {i: training.Cell(member(b, s), s) for i, (b, s) in enumerate(keys)}
+    got = training.train_cells(population, truth, reco, cells, settings, batch, shard_rows=shard_rows)
+    return {k: got[i] for i, k in enumerate(keys)}
+
+
+def grid_weights(evaluation: DataFrame, cells: dict[tuple[int, int], training.Trained], epoch: int = -1) -> DataFrame:
+    """b, s, row_id, w: the weights of every cell on the simulated rows of ``evaluation``, of mean 1 a cell; one pass for all cells."""
+    keys, fits = list(cells), list(cells.values())
+    one = fits[0]
+
+    @F.arrow_udf("array<double>")
+    def score(v: pa.Array) -> pa.Array:
+        z = v.flatten().to_numpy().reshape(len(v), len(one.truth))
+        raw = np.logaddexp(0, np.column_stack([training.forward(t.generators[epoch], z)[1] for t in fits]))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * len(fits), pa.int32()), pa.array(raw.ravel()))
+
+    rows = evaluation.where("y = 0").select("row_id", F.posexplode(score(training._vector(one, one.truth))).alias("cell", "raw"))
+    means = rows.groupBy("cell").agg(F.avg("raw").alias("mean"))  # one row a cell
+    number = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(s).alias("s")) for b, s in keys])
+    both = rows.join(F.broadcast(means), "cell").withColumn("k", F.get(number, F.col("cell")))
+    return both.select("k.b", "k.s", "row_id", (F.col("raw") / F.col("mean")).alias("w"))
+
+
+def summary(events: DataFrame) -> dict[str, DataFrame]:
+    """The whole summary of a grid of (variable, b, s, v, bin, w), by variable.
+
+    ``components``: means, variance components and deviations; ``spectra``: bin,
+    f, and the deviations of its components over the grid; ``covariances`` and
+    ``correlations``: bin_a, bin_b and every component.
+    """
+    names = [r["variable"] for r in events.select("variable").distinct().orderBy("variable").collect()]  # a few variables
+    out = {"components": collect(events), "spectra": None, "covariances": None, "correlations": None}
+
+    def put(kind: str, name: str, df: DataFrame) -> None:
+        df = df.select(F.lit(name).alias("variable"), *df.columns)
+        out[kind] = df if out[kind] is None else out[kind].unionByName(df)
+
+    for name in names:
+        rows = spectra(events.where(F.col("variable") == name))
+        cov = component_covariance(rows).withColumn("total", F.col("data") + F.col("initialization") + F.col("interaction"))
+        grand = rows.groupBy("bin").agg(F.avg("f").alias("f"))
+        kinds = ("data", "initialization", "interaction", "total")
+        deviations = cov.where("bin_a = bin_b").select(F.col("bin_a").alias("bin"), *[F.sqrt(F.greatest(F.col(k), F.lit(0.0))).alias(f"sd_{k}") for k in kinds])
+        put("spectra", name, grand.join(deviations, "bin"))
+        put("covariances", name, cov)
+        diagonal = cov.where("bin_a = bin_b").select("bin_a", *[F.col(k).alias(f"a_{k}") for k in kinds])
+        other = diagonal.select(F.col("bin_a").alias("bin_b"), *[F.col(f"a_{k}").alias(f"b_{k}") for k in kinds])
+        ratio = [F.when((F.col(f"a_{k}") > 0) & (F.col(f"b_{k}") > 0), F.col(k) / F.sqrt(F.col(f"a_{k}") * F.col(f"b_{k}"))).otherwise(F.lit(float("nan"))).alias(k) for k in kinds]
+        put("correlations", name, cov.join(diagonal, "bin_a").join(other, "bin_b").select("bin_a", "bin_b", *ratio))
+    return out
+
+
 def collect(events: DataFrame) -> DataFrame:
     """variable, mean, the variance components, sd_total and sd_naive of the weighted means of (variable, b, s, v, w).
 
