@@ -6,15 +6,14 @@ pass w = 1 where y = 1.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.expressions import improvement
+from weftline.operators import sampling
 from weftline.operators.binning import histogram, stretch_cuts, stretch_levels, with_stretch
+from weftline.operators.sorted_areas import areas
 from weftline.sources.populations import long
 
 
@@ -103,37 +102,69 @@ def circle_directions(n: int) -> list[list[float]]:
     return [[float(np.cos(np.pi * k / n)), float(np.sin(np.pi * k / n))] for k in range(n)]
 
 
-def sliced_wasserstein(spark: SparkSession, population: DataFrame, columns: tuple[str, ...], directions: list[list[float]], weight: str = "w", digits: int | None = None, block: int = 32) -> DataFrame:
+def _standardized(population: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, list]:
+    """``population`` beside the observed means and deviations, and the columns in their units."""
+    nature = F.col("y") == 1
+    stats = population.agg(*[F.avg(F.when(nature, F.col(c))).alias(f"_m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(F.when(nature, F.col(c))).alias(f"_s{i}") for i, c in enumerate(columns)])
+    scaled = [(F.col(c) - F.col(f"_m{i}")) / F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0) for i, c in enumerate(columns)]
+    return population.crossJoin(F.broadcast(stats)), scaled  # one row
+
+
+def sliced_wasserstein(spark: SparkSession, population: DataFrame, columns: tuple[str, ...], directions: list[list[float]], weight: str = "w", digits: int | None = None) -> DataFrame:
     """One row, sliced_w1: the mean distance over projections of standardized samples.
 
-    Both samples are standardized by the observed one's mean and deviation.
-    Directions come in blocks, so rows multiply by ``block`` only.
+    Both samples are standardized by the observed one's mean and deviation. Only
+    the simulated side is weighted.
     """
-    nature = F.col("y") == 1
-    stats = population.agg(*[F.avg(F.when(nature, F.col(c))).alias(f"_m{i}") for i, c in enumerate(columns)], *[F.stddev_pop(F.when(nature, F.col(c))).alias(f"_s{i}") for i, c in enumerate(columns)])
-    scaled = population.crossJoin(F.broadcast(stats)).select(  # one row
-        "y", F.col(weight).cast("double").alias("w"),
-        *[((F.col(c) - F.col(f"_m{i}")) / F.when(F.col(f"_s{i}") > 0, F.col(f"_s{i}")).otherwise(1.0)).alias(f"_u{i}") for i, c in enumerate(columns)],
+    rows, scaled = _standardized(population, columns)
+    return areas(rows, scaled, [F.when(F.col("y") == 0, F.col(weight)).otherwise(1.0)], np.asarray(directions), digits).agg(F.avg("w1").alias("sliced_w1"))
+
+
+def distances_with_floors(population: DataFrame, columns: tuple[str, ...], n_directions: int = 128, size: int | None = None, repeats: int = 4, seed: int = 0, weight: str = "w") -> DataFrame:
+    """metric (sliced, axis), before, after, floor, floor_sd: the distance with unit weights and with ``weight``, and what equal samples read.
+
+    A floor is the mean over ``repeats`` pairs of disjoint draws from the observed
+    sample, each of ``size`` rows (by default as many as the smaller sample
+    compared, if two such draws are there, else half the observed ones). All
+    weights and all draws share one sorted order a direction, standardized by the
+    whole observed sample. Fewer than two draws of ``size`` are an error.
+    """
+    counts = {r["y"]: r["n"] for r in population.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    observed = counts.get(1, 0)
+    size = size or min(observed // 2, counts.get(0, 0) or observed)
+    if size < 1 or observed < 2 * size:
+        raise ValueError(f"two disjoint draws of {size} are needed, there are {observed} observed rows")
+    for i in range(repeats):
+        ranked = sampling.hash_rank(population, f"{seed}:null:{i}", by=("y",), name=f"_r{i}").drop("n")
+        population = ranked
+    rows, scaled = _standardized(population, columns)
+    eye = np.eye(len(columns))
+    directions = np.concatenate([np.asarray(random_directions(n_directions, len(columns), seed)), eye])
+    # each draw is a pair of weights on observed rows; a row counts as y = 1 in one half and as y = 0 in the other
+    halves = F.array(F.struct(F.col("y").alias("side"), F.lit(-1).alias("draw")), *[F.struct((F.col(f"_r{i}") <= size).cast("int").alias("side"), F.lit(i).alias("draw")) for i in range(repeats)])
+    tall = rows.withColumn("_h", F.explode(halves)).where((F.col("_h.draw") < 0) | ((F.col("y") == 1) & _within(repeats, 2 * size)))
+    simulated = (F.col("_h.draw") < 0) & (F.col("_h.side") == 0)
+    unit = [F.when(F.col("_h.draw") < 0, 1.0), F.when(F.col("_h.draw") < 0, F.when(simulated, F.col(weight)).otherwise(1.0))]
+    draws = [F.when(F.col("_h.draw") == i, 1.0) for i in range(repeats)]
+    got = areas(tall.withColumn("y", F.col("_h.side")), scaled, [*unit, *draws], directions)
+    means = got.groupBy(F.when(F.col("direction") < n_directions, "sliced").otherwise("axis").alias("metric"), "weight").agg(F.avg("w1").alias("v"))
+    null = F.when(F.col("weight") >= 2, F.col("v"))
+    return means.groupBy("metric").agg(
+        F.max(F.when(F.col("weight") == 0, F.col("v"))).alias("before"), F.max(F.when(F.col("weight") == 1, F.col("v"))).alias("after"), F.avg(null).alias("floor"), F.stddev_samp(null).alias("floor_sd")
     )
-    out = None
-    for at in range(0, len(directions), block):
-        part = wasserstein(_projected(scaled, np.asarray(directions[at : at + block]), at, digits), merge=False)
-        out = part if out is None else out.unionByName(part)
-    return out.agg(F.avg("w1").alias("sliced_w1"))
 
 
-def _projected(scaled: DataFrame, directions: np.ndarray, first: int, digits: int | None) -> DataFrame:
-    """dim, y, w, v: every row of (y, w, coordinates) on each of a block of directions."""
+def _within(repeats: int, most: int) -> Column:
+    """Whether a row belongs to the draw that ``_h`` names."""
+    return F.coalesce(*[F.when(F.col("_h.draw") == i, F.col(f"_r{i}") <= most) for i in range(repeats)], F.lit(False))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[2:]]) @ directions.T
-            if digits is not None:
-                v = v.round(digits)
-            for k in range(len(directions)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, first + k, dtype=np.int32)), *batch.columns[:2], pa.array(np.ascontiguousarray(v[:, k]))], names=["dim", "y", "w", "v"])
 
-    return scaled.mapInArrow(run, "dim int, y int, w double, v double")
+def wide_wasserstein(population: DataFrame, columns: tuple[str, ...], weights: dict[str, Column | None]) -> DataFrame:
+    """dim and a column of W1 for each named weight of the simulated side (None: 1), all from one sorted order a column."""
+    used = [F.lit(1.0) if w is None else F.when(F.col("y") == 0, w).otherwise(1.0) for w in weights.values()]
+    got = areas(population, [F.col(c) for c in columns], used)
+    name = F.get(F.array(*[F.lit(c) for c in columns]), F.col("direction"))
+    return got.groupBy(name.alias("dim")).agg(*[F.max(F.when(F.col("weight") == i, F.col("w1"))).alias(n) for i, n in enumerate(weights)])
 
 
 def axis_wasserstein(population: DataFrame, columns: tuple[str, ...], weight: str = "w") -> DataFrame:

@@ -19,6 +19,7 @@ from weftline.streaming import histograms
 
 DIGITS = 6
 EDGES = [0.0, 10.0, 20.0, 30.0, 40.0, 60.0]
+DIMS = ("x1", "x2", "z1", "z2")
 
 
 def _round(*columns: str) -> dict[str, Column]:
@@ -52,17 +53,16 @@ def _arms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def w1_per_dim(spark, sf):
-    return distances.wasserstein(_plain(spark, sf)).withColumns(_round("w1"))
+    return distances.wide_wasserstein(_pop(spark, sf), DIMS, {"w1": None}).withColumns(_round("w1"))
 
 
 def w1_weighted(spark, sf):
-    return distances.wasserstein(_weighted(spark, sf)).withColumns(_round("w1"))
+    return distances.wide_wasserstein(_pop(spark, sf), DIMS, {"w1": F.col("w")}).withColumns(_round("w1"))
 
 
 def improvement_pct(spark, sf):
-    before = distances.wasserstein(_plain(spark, sf)).withColumnRenamed("w1", "before")
-    after = distances.wasserstein(_weighted(spark, sf)).withColumnRenamed("w1", "after")
-    return before.join(after, "dim").withColumn("improvement", improvement(F.col("before"), F.col("after"))).withColumns(_round("before", "after", "improvement"))
+    both = distances.wide_wasserstein(_pop(spark, sf), DIMS, {"before": None, "after": F.col("w")})
+    return both.withColumn("improvement", improvement(F.col("before"), F.col("after"))).withColumns(_round("before", "after", "improvement"))
 
 
 def hist_normalized(spark, sf):
@@ -86,7 +86,12 @@ def metric_comparison(spark, sf):
 
 
 def sliced_w1(spark, sf):
-    return distances.sliced_wasserstein(spark, _pop(spark, sf), ("x1", "x2"), distances.circle_directions(32), digits=9).withColumns(_round("sliced_w1"))
+    return distances.sliced_wasserstein(spark, _pop(spark, sf), ("x1", "x2"), distances.random_directions(128, 2), digits=9).withColumns(_round("sliced_w1"))
+
+
+def distance_floors(spark, sf):
+    """Sliced and axis distance of all lines, with what two equal samples of that size read."""
+    return distances.distances_with_floors(_pop(spark, sf), ("x1", "x2"), n_directions=16, repeats=2).withColumns(_round("before", "after", "floor", "floor_sd"))
 
 
 def axis_w1(spark, sf):
@@ -541,7 +546,7 @@ def hash_order(spark, sf):
 
 
 _NAMES = """
-wasserstein_weights training_history generator_weights uncertainty_summary
+distance_floors wasserstein_weights training_history generator_weights uncertainty_summary
 observable_means tied_epoch_sets signed_rank_test first_moment_transfer mean_epoch_weights
 w1_per_dim w1_weighted improvement_pct hist_normalized js_divergence triangular metric_set_long metric_comparison sliced_w1 axis_w1 ess weight_dispersion
 normalize_mean_one normalize_class_preserving normalize_sum_to_one normalize_count_preserving likelihood_ratio_weights bce_weighted critic_gap gradient_penalty

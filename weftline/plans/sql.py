@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from weftline.operators.distances import random_directions
+
 EDGES = [0.0, 10.0, 20.0, 30.0, 40.0, 60.0]
 KEY = "md5(concat_ws('|', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(l_extendedprice * 100) AS BIGINT)))"
 POP = f"""pop AS (
@@ -86,7 +88,7 @@ def d2(p: str, q: str) -> str:
 
 
 SIGMOID = "1 / (1 + exp(-({})))"
-COSINES = ", ".join(f"({k}, {math.cos(math.pi * k / 32)!r}, {math.sin(math.pi * k / 32)!r})" for k in range(32))
+COSINES = ", ".join(f"({k}, {a!r}, {b!r})" for k, (a, b) in enumerate(random_directions(128, 2)))
 CHARGES = 0x5228849
 
 ORACLE_SQL = {
