@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,16 +50,157 @@ def candidate_purities(df: DataFrame, truth: str, reco: str, lo: float, hi: floa
     return df.sparkSession.createDataFrame([(i, edges[i], float(purity[i])) for i in range(CANDIDATES)], "candidate int, c double, purity double")
 
 
+#: Cells of the index along each axis: a scan brings at most half their square to the driver for each variable.
+CELLS = 1024
+
+
+@dataclass
+class Dominance:
+    """Counts of events by cells of (least, greatest) of truth and detector value, and of truth alone.
+
+    Prefix sums over both axes bound, for any range [lo, c), how many events have
+    truth in it and how many have both values in it; cells that an end of the range
+    runs through make the bounds differ.
+    """
+
+    edges: np.ndarray
+    inside: np.ndarray
+    truth: np.ndarray
+
+    @classmethod
+    def of(cls, edges: np.ndarray, pairs: np.ndarray, truth: np.ndarray) -> Dominance:
+        from_i = np.zeros((CELLS + 1, CELLS + 1), np.int64)
+        from_i[:-1, 1:] = np.cumsum(np.cumsum(pairs[::-1], axis=0)[::-1], axis=1)  # events with least >= i and greatest < j
+        return cls(edges, from_i, np.append(0, np.cumsum(truth)))
+
+    def _cells(self, lo: float, c: float) -> tuple[int, int, int, int]:
+        """First and last (exclusive) cell: of those wholly in [lo, c), and of those touched."""
+        first, last = int(np.searchsorted(self.edges, lo, "left")), int(np.searchsorted(self.edges, c, "right")) - 1
+        return first, max(last, first), max(int(np.searchsorted(self.edges, lo, "right")) - 1, 0), min(int(np.searchsorted(self.edges, c, "left")), CELLS)
+
+    def purity(self, lo: float, c: float) -> tuple[float, float, float]:
+        """Least and greatest possible purity of [lo, c), and a guess; beyond the last cell, which is closed, nothing is known."""
+        if c > self.edges[-1]:
+            return 0.0, 1.0, 1.0
+        a, b, wide_a, wide_b = self._cells(lo, c)
+        b = min(b, CELLS - 1)
+        a = min(a, b)
+        both = int(self.inside[a, b]), int(self.inside[wide_a, wide_b])
+        below = int(self.truth[b] - self.truth[a]), int(self.truth[wide_b] - self.truth[wide_a])
+        most = min(1.0, both[1] / below[0]) if below[0] else float(both[1] > 0)
+        if a == b:
+            # less than a cell: as if both values lay evenly in the cells touched
+            share = (c - lo) / (self.edges[wide_b] - self.edges[wide_a])
+            return 0.0, most, both[1] * share / below[1] if below[1] else 0.0
+        return both[0] / below[1] if below[1] else 0.0, most, sum(both) / sum(below) if sum(below) else 0.0
+
+
+def dominance(df: DataFrame, pairs: dict[str, tuple[str, str]], spans: dict[str, tuple[float, float]]) -> dict[str, Dominance]:
+    """The index of every variable, from one scan."""
+    names = list(pairs)
+    edges = {k: np.linspace(*spans[k], CELLS + 1) for k in names}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for batch in batches:
+            for i, name in enumerate(names):
+                t, r = (batch.column(2 * i + k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (0, 1))
+                # the last cell is closed at its top, so that the greatest value has one
+                cell = [np.clip(np.searchsorted(edges[name], v, "right") - 1, -1, CELLS - 1) for v in (t, np.fmin(t, r), np.fmax(t, r))]
+                known, low = ~np.isnan(t), ~np.isnan(t) & ~np.isnan(r) & (np.fmin(t, r) >= edges[name][0]) & (np.fmax(t, r) <= edges[name][-1])
+                codes = np.concatenate([cell[0][known & (t >= edges[name][0])] + CELLS * CELLS, cell[1][low] * CELLS + cell[2][low]])
+                code, n = np.unique(codes, return_counts=True)
+                if i in held:
+                    code, n = np.concatenate([held[i][0], code]), np.concatenate([held[i][1], n])
+                    code, at = np.unique(code, return_inverse=True)
+                    n = np.bincount(at, n).astype(np.int64)
+                held[i] = code, n
+        for i, (code, n) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), i, np.int32)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["v", "code", "n"])
+
+    columns = [F.col(c).cast("double").alias(f"c{2 * i + k}") for i, name in enumerate(names) for k, c in enumerate(pairs[name])]
+    got = df.select(*[F.coalesce(c, F.lit(float("nan"))).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, "v int, code long, n long").groupBy("v", "code").agg(F.sum("n").alias("n")).toArrow()
+    v, code, n = (got[c].to_numpy() for c in ("v", "code", "n"))
+    out = {}
+    for i, name in enumerate(names):
+        flat = np.zeros(CELLS * CELLS + CELLS, np.int64)
+        flat[code[v == i]] = n[v == i]
+        out[name] = Dominance.of(edges[name], flat[: CELLS * CELLS].reshape(CELLS, CELLS), flat[CELLS * CELLS :])
+    return out
+
+
+def exact_purities(df: DataFrame, pairs: dict[str, tuple[str, str]], asked: list[tuple[str, float, float]]) -> dict[tuple[str, float], np.ndarray]:
+    """(name, lo) -> the purity of every candidate of a bin from lo, for (name, lo, hi); one scan for all."""
+    names = list(dict.fromkeys(name for name, *_ in asked))
+    grids = [candidates(lo, hi) for _, lo, hi in asked]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(asked), 2, CANDIDATES), np.int64)
+        for batch in batches:
+            for i, (name, lo, _) in enumerate(asked):
+                t, r = (batch.column(2 * names.index(name) + k).to_numpy(zero_copy_only=False) for k in (0, 1))
+                for k, v in ((0, t[t >= lo]), (1, np.maximum(t, r)[(t >= lo) & (r >= lo)])):
+                    # candidates go down where the last bin is narrower than the offset
+                    total[i, k] += (v[:, None] < grids[i]).sum(axis=0) if grids[i][-1] < grids[i][0] else np.cumsum(np.bincount(np.searchsorted(grids[i], v, "right"), minlength=CANDIDATES + 1))[:CANDIDATES]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.ravel())], names=["i", "n"])
+
+    columns = [F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(f"c{2 * i + k}") for i, name in enumerate(names) for k, c in enumerate(pairs[name])]
+    got = df.select(*columns).mapInArrow(run, "i int, n long").groupBy("i").agg(F.sum("n").alias("n")).toArrow()  # 200 numbers a bin asked for
+    total = np.zeros(len(asked) * 2 * CANDIDATES)
+    total[got["i"].to_numpy()] = got["n"].to_numpy()
+    below, both = total.reshape(len(asked), 2, CANDIDATES).transpose(1, 0, 2)
+    purity = np.divide(both, below, out=np.zeros_like(both), where=below > 0)
+    return {(name, lo): p for (name, lo, _), p in zip(asked, purity)}
+
+
+def candidates(lo: float, hi: float) -> np.ndarray:
+    """Possible upper edges of a bin from ``lo``."""
+    first, step = lo + OFFSET, (hi - lo - OFFSET) / (CANDIDATES - 1)
+    return np.array([first + step * i for i in range(CANDIDATES)])
+
+
+def purity_edges_all(df: DataFrame, pairs: dict[str, tuple[str, str]], threshold: float = PURITY) -> dict[str, list[float]]:
+    """Every variable's edges from its least truth value up: each next edge is the first candidate purer than the threshold.
+
+    One scan finds the spans, one builds the index, whose bounds decide most
+    candidates. The search goes on over the others by a guess, and one scan counts
+    all bins that had one exactly, for all variables at once; a wrong guess is
+    searched again from there. A variable without truth values has no edges.
+    """
+    spans = df.agg(*[f(F.when(~F.isnan(F.col(t).cast("double")), F.col(t).cast("double"))).alias(f"{k}{i}") for i, (t, _) in enumerate(pairs.values()) for k, f in (("lo", F.min), ("hi", F.max))]).first()
+    known = {name: (spans[f"lo{i}"], spans[f"hi{i}"]) for i, name in enumerate(pairs) if spans[f"lo{i}"] is not None}
+    index = dominance(df, {k: pairs[k] for k in known}, known) if known else {}
+    exact: dict[tuple[str, float], np.ndarray] = {}
+
+    def search(name: str) -> tuple[list[float], list[tuple[str, float, float]]]:
+        (lo, hi), asked = known[name], []
+        edges = [lo]
+        while hi > known[name][0] and len(edges) <= MOST_BINS:
+            lo, found, guessed = edges[-1], None, False
+            for i, c in enumerate(candidates(lo, hi)):
+                least, most, guess = (exact[name, lo][i],) * 3 if (name, lo) in exact else index[name].purity(lo, c)
+                if least <= threshold < most:
+                    guessed, least = True, guess
+                if least > threshold:
+                    found = float(c)
+                    break
+            if guessed:
+                asked.append((name, lo, hi))
+            if found is None or found <= lo:
+                break
+            edges.append(found)
+        return edges, asked
+
+    while True:
+        got = {name: search(name) for name in known}
+        asked = [x for _, more in got.values() for x in more]
+        if not asked:
+            return {name: got[name][0] if name in got else [] for name in pairs}
+        exact |= exact_purities(df, pairs, asked)
+
+
 def purity_edges(df: DataFrame, truth: str, reco: str, threshold: float = PURITY) -> list[float]:
-    """Edges from the least truth value up: each next edge is the first candidate purer than the threshold."""
-    span = df.agg(F.min(truth).alias("lo"), F.max(truth).alias("hi")).first()
-    edges = [span["lo"]]
-    while len(edges) <= MOST_BINS:
-        found = candidate_purities(df, truth, reco, edges[-1], span["hi"]).where(F.col("purity") > threshold).orderBy("candidate").first()
-        if found is None or found["c"] <= edges[-1]:
-            break
-        edges.append(found["c"])
-    return edges
+    return purity_edges_all(df, {"v": (truth, reco)}, threshold)["v"]
 
 
 def binned_counts(df: DataFrame, column: str, edges: list[float]) -> np.ndarray:
@@ -97,10 +242,10 @@ def bin_weights(unfolded: np.ndarray, prior: np.ndarray) -> np.ndarray:
     return np.divide(unfolded, prior, out=np.zeros_like(unfolded), where=prior > 0)
 
 
-def unfold_variable(df: DataFrame, truth: str, reco: str, rounds: int = 10, threshold: float = PURITY) -> dict:
-    """Edges, spectra and bin weights of one variable; status skipped below two bins."""
+def unfold_variable(df: DataFrame, truth: str, reco: str, rounds: int = 10, threshold: float = PURITY, edges: list[float] | None = None) -> dict:
+    """Edges (searched unless given), spectra and bin weights of one variable; status skipped below two bins."""
     mc = df.where("y = 0")
-    edges = purity_edges(mc, truth, reco, threshold)
+    edges = purity_edges(mc, truth, reco, threshold) if edges is None else edges
     if len(edges) < 3:
         return {"status": "skipped", "edges": edges, "weights": [1.0]}
     prior, data = binned_counts(mc, truth, edges), binned_counts(df.where("y = 1"), reco, edges)
@@ -127,7 +272,8 @@ def unfold_all(df: DataFrame, pairs: dict[str, tuple[str, str]], rounds: int = 1
         n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
         if not n.get(0) or not n.get(1):
             raise ValueError("unfolding needs observed and simulated rows")
-        return {name: unfold_variable(rows, truth, reco, rounds, threshold) for name, (truth, reco) in pairs.items()}
+        edges = purity_edges_all(rows.where("y = 0"), pairs, threshold)
+        return {name: unfold_variable(rows, truth, reco, rounds, threshold, edges[name]) for name, (truth, reco) in pairs.items()}
     finally:
         rows.unpersist()
 
