@@ -284,6 +284,34 @@ def test_folding_finds_disguised_words(text):
     assert toxicity.features(a, [f"so {text} it is"])[0].tolist() == [2.0, 4.0]
 
 
+def folded_word(word):
+    """The rule of one word without arrays: letters and substitutes from the first to the last, number-like ends left out."""
+    out = [toxicity.SUBSTITUTES.get(c, c.lower()) for c in word]
+    at = [i for i, c in enumerate(word) if c.isalpha()]
+    if not at:
+        return ""
+    a, b = at[0], at[-1] + 1
+    start = a if word[:a].isdigit() and a >= len(word) - a else 0
+    end = b if word[b:].isdigit() and len(word) - b < b else len(word)
+    return "".join(out[start:end])
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [("@ss", "ass"), ("$hit", "shit"), ("5hit", "shit"), ("h3110", "heiio"), ("b4574rd", "bastard"), ("1diot", "idiot"), ("1d10t", "idiot"), ("id10t", "idiot"), ("5tup1d", "stupid"), ("$tupid", "stupid"),
+     ("a$$", "ass"), ("covid19", "covid"), ("mp3", "mp"), ("10km", "km"), ("1357", ""), ("$5", ""), ("x" + "4" * 50 + "y", "x" + "a" * 50 + "y")],
+)
+def test_substitutes_count_from_both_sides_and_numbers_do_not(text, want):
+    assert toxicity.fold_texts([text])[0].strip() == want == folded_word(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab01345@$", min_size=1, max_size=9), max_size=6))
+def test_folding_equals_the_rule_for_single_words(words):
+    text, _, n = toxicity.fold_texts([" ".join(words)])
+    assert text.split() == [w for w in map(folded_word, words) if w] and n[0] == len(text.split())
+
+
 def test_exceptions_cancel_hits_and_numbers_stay_numbers():
     a = toxicity.Lexicon({" trash ": 2.0, " tra": 1.0}, ["recycling trash"]).automaton()
     assert toxicity.features(a, ["recycling trash, trash and 1357"])[0].tolist() == [2.0, 4.0]

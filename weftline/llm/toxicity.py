@@ -1,8 +1,14 @@
 """Toxicity scores from a learned weighted lexicon matched by Aho-Corasick.
 
 Folding: code points are lower-cased, look-alike letters of other scripts
-become Latin ones, digits and signs inside a word become the letters they
-stand for, and everything else that isn't a letter becomes a blank.
+become Latin ones, digits and signs that stand for letters become these, and
+everything else that isn't a letter becomes a blank. A word is a run of letters
+and such substitutes with a letter in it. All substitutes between its first and
+last letter count, and so do those before and after with two exceptions that keep
+numbers numbers: digits alone after the last letter, if fewer than what stands
+before them (``covid19`` is ``covid``, ``h3110`` is ``heiio``), and digits alone
+before the first, unless fewer than what follows (``10km`` is ``km``, ``5hit`` is
+``shit``).
 
 Lexicon: whole words (`` word ``) and word beginnings of 3 to 10 letters
 (`` wor``), since inflected forms share a stem. An entry's weight is the
@@ -87,16 +93,20 @@ def fold_texts(parts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     low = plain[flat]
     stand = inner[flat]
     letter = low != 0
-    # a substitute counts between letters, or at a word's edge if the word has letters on its other side
-    for _ in range(2):
-        beside = np.zeros(len(flat), dtype=bool)
-        beside[1:] |= letter[:-1]
-        beside[:-1] &= letter[1:] | beside[:-1]
-        take = (stand != 0) & beside & ~letter
-        if not take.any():
-            break
-        low = np.where(take, stand, low)
-        letter = low != 0
+    member = letter | (stand != 0)
+    edge = np.diff(member.astype(np.int8), prepend=0, append=0)
+    start, end, at = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), np.flatnonzero(letter)
+    count = np.searchsorted(at, end) - np.searchsorted(at, start)
+    start, end = start[count > 0], end[count > 0]  # the rest are numbers and signs
+    first, last = at[np.searchsorted(at, start)], at[np.searchsorted(at, end) - 1] + 1
+    digits = np.append(0, np.cumsum((flat >= 48) & (flat <= 57)))
+    number = (digits[first] - digits[start] == first - start) & (first - start >= end - first)
+    tail = (digits[end] - digits[last] == end - last) & (end - last < last - start)
+    inside = np.zeros(len(flat) + 1, dtype=np.int64)
+    np.add.at(inside, np.where(number, first, start), 1)
+    np.add.at(inside, np.where(tail, last, end), -1)
+    low = np.where((np.cumsum(inside[:-1]) > 0) & ~letter, stand, low)
+    letter = low != 0
     low = np.where(letter, low, 32)
     lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 2
     starts = np.cumsum(lengths) - lengths
