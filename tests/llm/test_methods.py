@@ -462,6 +462,54 @@ def test_every_training_document_teaches_and_probabilities_add_up_to_one(spark):
         assert np.where(e.cls[third] == maxent_lm.CLASSES, share, 1.0) @ p == pytest.approx(1, rel=1e-4)
 
 
+def test_scores_do_not_depend_on_partitions_and_equal_a_plain_loop(spark, monkeypatch):
+    """The same rows in 1, 3 and 12 partitions; then each score again from the learned tables, token by token."""
+    from weftline.llm.textarrays import mix
+
+    monkeypatch.setattr(maxent_lm, "SHARD", 5_000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    got = []
+    for parts in (1, 3, 12):
+        some = docs.repartition(parts)
+        train = some.where("doc_id % 7 <> 2")
+        counts = maxent_lm.count_tokens(spark, train)
+        model = maxent_lm.fit(spark, train, counts)
+        got.append({r["doc_id"]: r["score"] for r in maxent_lm.score(spark, some, model, counts).collect()})
+    for other in got[1:]:
+        assert other == pytest.approx(got[0], abs=1e-3)
+    count = {r["token"]: r["c"] for r in counts.collect()}
+    known = sorted(count, key=lambda t: (-count[t], t & (2**64 - 1)))
+    rank = {t: i for i, t in enumerate(known)}
+    inner = maxent_lm.CLASSES * maxent_lm.CLASS_SIZE
+    other_total, other_distinct = sum(count[t] for t in known[inner:]), max(0, len(known) - inner)
+
+    def hashed(x):
+        return int(mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+
+    def log_share(bias, weights, rows, at):
+        z = [float(bias[i]) + sum(float(weights[r][i]) for r in rows) for i in range(len(bias))]
+        top = max(z)
+        return z[at] - top - math.log(sum(math.exp(v - top) for v in z))
+
+    rows = [r for r in docs.orderBy("doc_id").limit(12).collect()]
+    for r in rows:
+        token, rare, _ = maxent_lm.tokens([r["text"] or ""])
+        total, seen = 0.0, []
+        for t, form in zip(token.view(np.int64).tolist(), rare.tolist()):
+            at = rank.get(t, inner)
+            cls = at // maxent_lm.CLASS_SIZE if at < inner else maxent_lm.CLASSES
+            one, two = seen[-1] if seen else 11, seen[-2] if len(seen) > 1 else 13
+            features = [hashed(one + 1), hashed(two + 0x632BE59BD9B4E019), hashed(one * 3 + two * 0x9E3779B97F4A7C15)]
+            total += log_share(model.class_bias, model.class_weights, [f % maxent_lm.CLASS_ROWS for f in features], cls)
+            if cls < maxent_lm.CLASSES:
+                places = [((f >> 20) + cls * 0x9E3779B1) % maxent_lm.WORD_ROWS for f in features]
+                total += log_share(model.word_bias[cls], model.word_weights, places, at % maxent_lm.CLASS_SIZE)
+            else:
+                total += math.log((count.get(t, 0) + 1) / (other_total + other_distinct + 1))
+            seen.append(t & (2**64 - 1) if at < inner else form)
+        assert got[2][r["doc_id"]] == pytest.approx(total / math.log(10), rel=1e-4)
+
+
 def test_pairwise_sums_equal_plain_ones():
     g = np.random.Generator(np.random.PCG64(2))
     lengths = g.integers(1, 40, 50)

@@ -18,12 +18,16 @@ weight tables: one for the class, one for the token within the class. A rare
 history token is seen by its last three bytes. Biases are the log counts, so an
 untrained model is the unigram model.
 
-Training: every training document takes part. They are dealt by a hash of their
-text into ``ROUNDS`` parts; in round j each task, of about ``SHARD`` tokens or
-more, streams its documents of part j and takes gradient steps from the shared weights, and the tasks' weights are
-averaged row by row, each with the number of times that it used the row. The
-sums are grouped by row, so only the averaged tables, of fixed size, come to the
-driver.
+Training: every training document takes part. They are dealt by a hash of id and
+text into ``ROUNDS`` parts and these into shards of about ``SHARD`` tokens, at least
+``LEAST_SHARDS``; how many shards there are follows from the number of training tokens alone. In round
+j every shard of part j takes gradient steps from the shared weights, its
+documents in order of their hash, and the shards' weights are averaged row by row,
+each with the number of times that it used the row. So the model depends neither
+on files nor on partitions, and a task may go through any number of shards: it
+sums their weights up before they leave it. Averaging many short runs is also what
+makes the model good: one long run ends in the noise of its last steps. Only the
+averaged tables, of fixed size, come to the driver.
 
 Scoring: sparse batches; each token gathers its few rows.
 
@@ -55,8 +59,8 @@ CLASSES, CLASS_SIZE = 32, 64
 CLASS_ROWS, WORD_ROWS = 1 << 12, 1 << 13
 ROUNDS = 3
 RATE, BATCH = 0.3, 2048
-#: Tokens that a task learns from in a round, so that its weights are small beside its texts.
-SHARD = 1_000_000
+#: Tokens of a shard, about, and least number of shards in a round.
+SHARD, LEAST_SHARDS = 200_000, 4
 END = np.uint64(0x5851F42D4C957F2D)
 BLOCK = 1 << 20
 
@@ -327,37 +331,54 @@ def fit(spark: SparkSession, train: DataFrame, counts: DataFrame) -> Model:
         Head(hashes, n), whole["v"] <= len(n), whole["n"], whole["v"], other, max(0, whole["v"] - k), class_bias.astype(np.float32), word_bias.astype(np.float32),
         np.zeros((CLASS_ROWS, CLASSES + 1), dtype=np.float32), np.zeros((WORD_ROWS, CLASS_SIZE), dtype=np.float32),
     )
-    shards = max(1, -(-model.total // (ROUNDS * SHARD)))
-    train = train.where("text IS NOT NULL").coalesce(shards)  # never more than the input's partitions
-    part = F.pmod(F.xxhash64("text"), F.lit(ROUNDS))
+    shards = max(LEAST_SHARDS, -(-model.total // (ROUNDS * SHARD)))
+    dealt = F.xxhash64("doc_id", "text")
+    train = train.where("text IS NOT NULL").select("text", dealt.alias("h"))
+    train = train.select("text", "h", F.pmod("h", F.lit(ROUNDS)).cast("int").alias("round"), F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int").alias("shard"))
     for j in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)  # HEAD entries and weights of fixed size
-        model.class_weights, model.word_weights = _round(train.where(part == j), shared)
+        model.class_weights, model.word_weights = _round(train.where(F.col("round") == j), shared)
     return model
 
 
 def _round(train: DataFrame, shared) -> tuple[np.ndarray, np.ndarray]:
-    """One round over (text): every task's weights, averaged row by row."""
+    """One round over (shard, h, text): every shard's weights, averaged row by row."""
     width = max(CLASSES + 1, CLASS_SIZE)
     names = ["row", "uses", *(f"w{i}" for i in range(width))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer = None
-        for batch in batches:
-            for some in _blocks(batch.column(0).to_pylist()):
-                trainer = trainer or Trainer(shared.value)
+        model = shared.value
+        sums = [np.zeros((len(w), width)) for w in (model.class_weights, model.word_weights)]
+        uses = [np.zeros(len(w), dtype=np.int64) for w in sums]
+        held: list[str] = []
+        now = None
+
+        def learn(texts: list[str]) -> None:
+            trainer = Trainer(model)
+            for some in _blocks(texts):
                 trainer.learn(some)
-        if trainer is None:
-            return
+            for total, count, weights, n in zip(sums, uses, trainer.tables, trainer.uses):
+                used = np.flatnonzero(n)
+                total[used, : weights.shape[1]] += weights[used] * n[used, None]
+                count += n
+
+        for batch in batches:
+            for shard, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if shard != now and held:
+                    learn(held)
+                    held = []
+                now = shard
+                held.append(text)
+        if held:
+            learn(held)
         first = 0  # the rows of both tables are numbered together
-        for weights, uses in zip(trainer.tables, trainer.uses):
-            used = np.flatnonzero(uses)
-            w = np.zeros((len(used), width))
-            w[:, : weights.shape[1]] = weights[used] * uses[used, None]
-            yield pa.RecordBatch.from_arrays([pa.array(used + first), pa.array(uses[used]), *(pa.array(w[:, i].astype(np.float32)) for i in range(width))], names=names)
-            first += len(weights)
-
-    found = train.select("text").mapInArrow(run, "row long, uses long, " + ", ".join(f"{n} float" for n in names[2:]))
+        for total, count in zip(sums, uses):
+            used = np.flatnonzero(count)
+            yield pa.RecordBatch.from_arrays([pa.array(used + first), pa.array(count[used]), *(pa.array(total[used, i].astype(np.float32)) for i in range(width))], names=names)
+            first += len(total)
+
+    train = train.repartition("shard").sortWithinPartitions("shard", "h", "text").select("shard", "text")
+    found = train.mapInArrow(run, "row long, uses long, " + ", ".join(f"{n} float" for n in names[2:]))
     found = found.groupBy("row").agg(F.sum("uses").alias("uses"), *[F.sum(n).alias(n) for n in names[2:]]).toArrow()  # one row a row of the two tables
     out, first = [], 0
     row, uses = found["row"].to_numpy(), found["uses"].to_numpy()
