@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from weftline.operators.binning import stretch_cuts, stretch_levels, with_stretch
+
 # The resolution of the kernel distance, and the tolerances of a tie.
 FLOOR = 1.159e-4
 RELATIVE, ABSOLUTE = 1e-7, 1e-12
@@ -53,14 +55,21 @@ def tied_epochs(history: DataFrame, value: str = "val_mmd", floor: float = FLOOR
 
 
 def signed_rank(pairs: DataFrame) -> DataFrame:
-    """n, w_plus, w_minus, z of Wilcoxon's signed-rank test on paired values (seed, a, b), zeros left out, ties at mean rank.
+    """n, w_plus, w_minus, z, p of Wilcoxon's signed-rank test on paired values (seed, a, b), zeros left out, ties at mean rank.
 
-    Equal differences are counted first, so ranks are running sums over distinct differences.
+    Equal differences are counted first. Ranks are running sums in two levels:
+    stretches of differences, cut at approximate quantiles, give each its start.
+    p is two-sided: exact for at most ``EXACT_PAIRS`` pairs without ties, else normal.
     """
     d = F.round(F.col("a") - F.col("b"), 12)
     sizes = pairs.select(d.alias("d")).where("d <> 0").groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("plus"))
-    before = F.coalesce(F.sum("t").over(Window.orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row a distinct difference of seeds
-    ranked = sizes.withColumn("rank", before + (F.col("t") + 1) / 2)
+    levels = stretch_levels(sizes.count())
+    dealt = with_stretch(sizes.crossJoin(F.broadcast(sizes.agg(stretch_cuts("size", levels).alias("_cuts")))), "size", levels).drop("_cuts")  # one row
+    starts = dealt.groupBy("_stretch").agg(F.sum("t").alias("_n"))
+    starts = starts.select("_stretch", F.coalesce(F.sum("_n").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))  # one row a stretch
+    inside = Window.partitionBy("_stretch").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_start") + F.coalesce(F.sum("t").over(inside), F.lit(0))
+    ranked = dealt.join(F.broadcast(starts), "_stretch").withColumn("rank", before + (F.col("t") + 1) / 2)
     t = F.col("t").cast("double")
     out = ranked.agg(
         F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.sum(F.col("rank") * F.col("plus")).alias("w_plus"), F.sum(F.col("rank") * (F.col("t") - F.col("plus"))).alias("w_minus"),
@@ -68,7 +77,64 @@ def signed_rank(pairs: DataFrame) -> DataFrame:
     )
     n = F.col("n").cast("double")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return out.withColumn("z", F.when(spread > 0, (F.col("w_plus") - n * (n + 1) / 4) / spread)).select("n", "w_plus", "w_minus", "z")
+    out = out.withColumn("z", F.when(spread > 0, (F.col("w_plus") - n * (n + 1) / 4) / spread))
+    return out.withColumn("p", _signed_rank_p(F.col("n"), F.least("w_plus", "w_minus"), F.col("ties"), F.col("z"))).select("n", "w_plus", "w_minus", "z", "p")
+
+
+#: Most pairs for which the distribution of the rank sum is counted out.
+EXACT_PAIRS = 500
+
+
+def rank_sum_distribution(n: int) -> np.ndarray:
+    """Probability of every sum of signed ranks 1 to n, each rank counted with chance one half: by adding one rank after another."""
+    p = np.ones(1)
+    for rank in range(1, n + 1):
+        p = (np.pad(p, (0, rank)) + np.pad(p, (rank, 0))) / 2
+    return p
+
+
+def _signed_rank_p(n: Column, least: Column, ties: Column, z: Column) -> Column:
+    @F.pandas_udf(DoubleType())
+    def p(n: pd.Series, least: pd.Series, ties: pd.Series, z: pd.Series) -> pd.Series:
+        out = []
+        for k, w, t, x in zip(n, least, ties, z):
+            if not k or pd.isna(x):
+                out.append(None)
+            elif k <= EXACT_PAIRS and t == 0:
+                out.append(min(1.0, 2 * float(rank_sum_distribution(int(k))[: int(w) + 1].sum())))
+            else:
+                out.append(math.erfc(abs(x) / math.sqrt(2)))
+        return pd.Series(out, dtype="float64")
+
+    return p(n, least.cast("double"), ties.cast("double"), z.cast("double"))
+
+
+def t_quantile(share: float, df: float) -> float:
+    """The value that Student's t with ``df`` degrees of freedom stays below with probability ``share``, by halving."""
+    if not 0 < share < 1 or df <= 0:
+        raise ValueError("a share in (0, 1) and positive degrees of freedom are needed")
+    if share < 0.5:
+        return -t_quantile(1 - share, df)
+
+    def beyond(t: float) -> float:
+        return float(_incomplete_beta(np.array([df / 2]), np.array([0.5]), np.array([df / (df + t * t)]))[0]) / 2
+
+    lo, hi = 0.0, 1.0
+    while beyond(hi) > 1 - share:
+        lo, hi = hi, 2 * hi
+    for _ in range(200):
+        middle = (lo + hi) / 2
+        lo, hi = (middle, hi) if beyond(middle) > 1 - share else (lo, middle)
+    return (lo + hi) / 2
+
+
+def with_interval(summary: DataFrame, mean: str = "mean", se: str = "se", n: str = "n", share: float = 0.95) -> DataFrame:
+    """``summary`` with low and high, the interval of a mean from its standard error; null below two values."""
+    sizes = sorted(r["n"] for r in summary.select(F.col(n).alias("n")).distinct().collect() if r["n"] and r["n"] > 1)  # group sizes
+    width = F.lit(None).cast("double")
+    for k in sizes:
+        width = F.when(F.col(n) == k, F.lit(t_quantile((1 + share) / 2, k - 1))).otherwise(width)
+    return summary.withColumns({"low": F.col(mean) - width * F.col(se), "high": F.col(mean) + width * F.col(se)})
 
 
 def paired_delta(runs: DataFrame, baseline: str) -> DataFrame:
