@@ -102,8 +102,9 @@ def test_weights_keep_their_sums(spark):
     assert [r["w"] for r in weights.mean_one(mc).orderBy("row_id").collect()] == [0.5, 1.5]
     assert sum(r["w"] for r in weights.sum_to_one(mc).collect()) == pytest.approx(1)
     assert [r["w"] for r in weights.class_preserving(df).orderBy("row_id").collect()] == [pytest.approx(0.5), pytest.approx(1.5), 1.0]
-    with pytest.raises(ValueError):
-        weights.mean_one(rows(spark, [(-1.0,)], "w double"))
+    for bad in (-1.0, float("nan"), 0.0):
+        with pytest.raises(Exception, match="weights must be finite"):
+            weights.mean_one(rows(spark, [(bad,)], "w double")).collect()
     d = weights.dispersion(df).first()
     assert d["share"] == pytest.approx(1 / (1 + d["dispersion"]))
 
@@ -278,10 +279,10 @@ def test_runs(spark, tmp_path):
 
 def test_designs_and_cells(spark, tmp_path):
     at = str(tmp_path / "grid")
-    runs.freeze_design(at, {"n_bootstrap": 2, "n_seeds": 2})
+    runs.freeze_design(spark, at, {"n_bootstrap": 2, "n_seeds": 2})
     with pytest.raises(FileExistsError):
-        runs.freeze_design(at, {})
-    runs.freeze_design(at, {"n_bootstrap": 2, "n_seeds": 2}, force=True)
+        runs.freeze_design(spark, at, {})
+    runs.freeze_design(spark, at, {"n_bootstrap": 2, "n_seeds": 2}, force=True)
     cells = sampling.cells(spark, 2, 2).withColumn("w", F.lit(1.0))
     runs.write_cells(cells.where("cell < 3"), at)
     with pytest.raises(ValueError):
@@ -289,7 +290,7 @@ def test_designs_and_cells(spark, tmp_path):
     runs.write_cells(cells.where("cell = 3"), at)
     assert runs.load_cells(spark, at).count() == 4
     with pytest.raises(FileExistsError):
-        runs.freeze_design(at, {}, force=True)
+        runs.freeze_design(spark, at, {}, force=True)
     assert experiments.missing_cells(spark, cells.where("cell <> 1"), 2, 2).first()["cell"] == 1
 
 

@@ -103,8 +103,19 @@ def disjoint_halves(df: DataFrame, m: int, seed: int | str, key: str = "row_id")
     return ranked.where(F.col("rank") <= 2 * m).withColumn("half", (F.col("rank") > m).cast("int"))
 
 
-def bootstrap_counts(df: DataFrame, seed: int | str, key: str = "row_id", by: tuple[str, ...] = ("y",)) -> DataFrame:
-    """``df`` with multiplicity: n draws with replacement from each group's n rows, counted per row."""
+def bootstrap_counts(df: DataFrame, seed: int | str, key: str = "row_id", by: tuple[str, ...] = ("y",), resample: str = "both") -> DataFrame:
+    """``df`` with multiplicity: n draws with replacement from each group's n rows, counted per row.
+
+    ``resample`` names the side that is drawn, both, data (y = 1) or simulation
+    (y = 0); rows of the other side count once.
+    """
+    if resample not in ("both", "data", "simulation"):
+        raise ValueError("resample must be both, data or simulation")
+    if resample != "both":
+        drawn = F.col("y") == (1 if resample == "data" else 0)
+        once = df.where(~drawn | F.col("y").isNull())
+        ranked = hash_rank(once, f"{seed}:order", key, by)  # the same columns
+        return bootstrap_counts(df.where(drawn), seed, key, by).unionByName(ranked.withColumn("multiplicity", F.lit(1).cast("long")))
     ranked = hash_rank(df, f"{seed}:order", key, by)
     draws = ranked.select(*by, hash_integer(F.col("n"), f"{seed}:draw", *[F.col(b) for b in by], F.col("rank")).alias("_d"))
     times = draws.groupBy(*by, "_d").agg(F.count("*").alias("multiplicity"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 EPSILON = 1e-7  # fixed value: the usual fuzz of the trainers this follows
@@ -13,12 +13,15 @@ def _with_totals(df: DataFrame, **totals: Column) -> DataFrame:
 
 
 def mean_one(df: DataFrame, w: str = "w", check: bool = True) -> DataFrame:
-    """Weights of mean 1; negative, non-finite or all-zero weights are an error unless ``check`` is off."""
-    if check:
-        bad = df.agg(F.count_if((F.col(w) < 0) | F.isnan(w) | (F.abs(F.col(w)) == float("inf"))).alias("bad"), F.avg(w).alias("mean")).first()
-        if bad["bad"] or not (bad["mean"] or 0) > 0:
-            raise ValueError("weights must be finite, not negative and not all zero")
-    return _with_totals(df, _m=F.avg(w)).withColumn(w, F.col(w) / F.col("_m")).drop("_m")
+    """Weights of mean 1; negative, non-finite or all-zero weights are an error unless ``check`` is off.
+
+    The check rides on the pass that takes the mean: it fails the job that uses
+    the weights, without a scan of its own.
+    """
+    bad = F.count_if((F.col(w) < 0) | F.isnan(w) | (F.abs(F.col(w)) == float("inf")) | F.col(w).isNull())
+    told = F.raise_error(F.lit("weights must be finite, not negative and not all zero")).cast("double")
+    mean = F.when((bad > 0) | ~(F.coalesce(F.avg(w), F.lit(0.0)) > 0), told).otherwise(F.avg(w)) if check else F.avg(w)
+    return _with_totals(df, _m=mean).withColumn(w, F.col(w) / F.col("_m")).drop("_m")
 
 
 def class_preserving(df: DataFrame, w: str = "w") -> DataFrame:
@@ -42,6 +45,18 @@ def likelihood_ratio(p: Column, clip: float = 1e-7) -> Column:
     return q / (1 - q)
 
 
+def observed_ratio(df: DataFrame, p: str, clip: float = 1e-7, name: str = "w") -> tuple[DataFrame, Observation]:
+    """``df`` with the likelihood ratio of a probability column, and what was clipped on the way.
+
+    The observation (rows, clipped_low, clipped_high) is filled by the first action
+    on the result; nothing is scanned for it.
+    """
+    seen = Observation()
+    v = F.col(p)
+    out = df.withColumn(name, likelihood_ratio(v, clip)).observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(v < clip).alias("clipped_low"), F.count_if(v > 1 - clip).alias("clipped_high"))
+    return out, seen
+
+
 def effective_size(w: Column | str) -> Column:
     w = F.col(w) if isinstance(w, str) else w
     return F.pow(F.sum(w), F.lit(2)) / F.sum(w * w)

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.sources import store
+
 
 def covariance(sigma, dim: int) -> np.ndarray:
     """One number: sigma^2 I; a vector: diag(sigma^2); a matrix as it is, if symmetric and positive definite."""
@@ -86,6 +88,11 @@ def generate(spark: SparkSession, n: int, settings: dict, seed: int = 0) -> Data
     return sample(spark.range(n), "id", settings, seed)
 
 
+def dataset(spark: SparkSession, folder: str, n: int, settings: dict, seed: int = 0) -> DataFrame:
+    """``generate``, kept as a table in ``folder`` under a name that follows from n, settings and seed."""
+    return store.cached(spark, folder, {"kind": "gaussian", "n": n, "seed": seed, "settings": settings}, lambda: generate(spark, n, settings, seed))
+
+
 def cubic_response(z: Column, strength: float | Column) -> Column:
     """Deterministic detector response z + s z^3."""
     return z + strength * z * z * z

@@ -7,7 +7,7 @@ detector-level columns ``x1..`` and a candidate weight ``w`` (1 where y = 1).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 KEY = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
@@ -67,13 +67,32 @@ def poisoned(population: DataFrame, particle: tuple[str, ...] = ("z1", "z2"), se
 
 def require_finite(population: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """``population``, or an error if a listed column holds a null or non-finite value."""
-    bad = [F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))).alias(c) for c in columns]
-    found = {c: n for c, n in population.agg(*bad).first().asDict().items() if n}
+    found = {c: n for c, n in population.agg(*[_odd(c).alias(c) for c in columns]).first().asDict().items() if n}
     if found:
         raise ValueError(f"non-finite values: {found}")
     return population
 
 
+def _odd(c: str) -> Column:
+    return F.count_if(F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf")))
+
+
+def observed_finite(population: DataFrame, columns: tuple[str, ...]) -> tuple[DataFrame, Observation]:
+    """``population``, and the number of null or non-finite values of each column in the pass that the caller makes anyway."""
+    seen = Observation()
+    return population.observe(seen, *[_odd(c).alias(c) for c in columns]), seen
+
+
+def checked_finite(population: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """``population``; the job that reads it fails at a null or non-finite value, without a scan before."""
+
+    def sound(c: str) -> Column:
+        v = F.col(c)
+        return F.when(v.isNull() | F.isnan(c) | (F.abs(v) == float("inf")), F.raise_error(F.lit(f"non-finite value in {c}")).cast("double")).otherwise(v.cast("double"))
+
+    return population.withColumns({c: sound(c) for c in columns})
+
+
 def interleave(nature_rows: DataFrame, simulated_rows: DataFrame) -> DataFrame:
     """Both samples under one label column, nature first."""
     return nature_rows.withColumn("y", F.lit(1)).unionByName(simulated_rows.withColumn("y", F.lit(0)))

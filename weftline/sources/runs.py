@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import json
-import os
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import sampling
-from weftline.sources import gaussian
+from weftline.sources import gaussian, store
 
 
 def load_records(spark: SparkSession, root: str) -> DataFrame:
@@ -76,33 +78,102 @@ def read_summary_log(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(pairs["seed"].cast("long").alias("seed"), pairs["mean_improvement"].cast("double").alias("mean_improvement"))
 
 
-def freeze_design(path: str, design: dict, force: bool = False) -> None:
-    """Write a design once; with ``force`` again, but never after cells have been run."""
-    if os.path.exists(f"{path}/cells"):
+def freeze_design(spark: SparkSession, path: str, design: dict, force: bool = False) -> None:
+    """Write a design once; with ``force`` again, but never after cells have been run.
+
+    Of several creators one wins, in any file system that Spark reaches.
+    """
+    if store.exists(spark, f"{path}/cells"):
         raise FileExistsError("cells exist: the design can't change")
-    os.makedirs(path, exist_ok=True)
-    with open(f"{path}/design.json", "w" if force else "x") as f:
-        json.dump(design, f, indent=2, sort_keys=True)
+    store.create(spark, f"{path}/design.json", json.dumps(design, indent=2, sort_keys=True), replace=force)
+
+
+def load_design(spark: SparkSession, path: str) -> dict:
+    return json.loads(store.read_text(spark, f"{path}/design.json"))
+
+
+def write_cells(cells: DataFrame, path: str, settings: dict | None = None) -> None:
+    """Append cells, one folder per (b, s), with the settings they were trained under."""
+    text = F.lit(json.dumps(settings, sort_keys=True) if settings is not None else None).cast("string")
+    cells.withColumn("settings", text).write.mode("append").partitionBy("b", "s").parquet(f"{path}/cells")
 
 
-def write_cells(cells: DataFrame, path: str) -> None:
-    """Append cells, one folder per (b, s)."""
-    cells.write.mode("append").partitionBy("b", "s").parquet(f"{path}/cells")
+#: Settings that every cell has to itself.
+OWN_SETTINGS = ("b", "s", "cell", "seed", "split_seed", "seconds")
 
 
 def load_cells(spark: SparkSession, path: str) -> DataFrame:
-    """All cells of a frozen design; gaps and sizes that disagree are errors."""
-    with open(f"{path}/design.json") as f:
-        design = json.load(f)
+    """All cells of a frozen design; gaps, sizes that disagree and settings that disagree are errors."""
+    design = load_design(spark, path)
     cells = spark.read.parquet(f"{path}/cells")
-    sizes = cells.groupBy("b", "s").agg(F.count("*").alias("n"))
-    want = spark.range(design["n_bootstrap"] * design["n_seeds"]).select((F.col("id") / design["n_seeds"]).cast("int").alias("b"), (F.col("id") % design["n_seeds"]).cast("int").alias("s"))
-    missing = want.join(sizes, ["b", "s"], "left_anti").count()
+    sizes = cells.groupBy("b", "s").agg(F.count("*").alias("n"), F.min("settings").alias("settings"), F.countDistinct("settings").alias("kinds"))
+    found = sizes.collect()  # one row a cell
+    have = {(r["b"], r["s"]) for r in found}
+    missing = [(b, s) for b in range(design["n_bootstrap"]) for s in range(design["n_seeds"]) if (b, s) not in have]
     if missing:
-        raise ValueError(f"{missing} cells are missing")
-    if sizes.select("n").distinct().count() != 1:
+        raise ValueError(f"missing cells: {missing}")
+    if len({r["n"] for r in found}) != 1:
         raise ValueError("cells of different sizes")
-    return cells
+    told = {(r["b"], r["s"]): json.loads(r["settings"]) for r in found if r["settings"]}
+    for key in sorted({k for x in told.values() for k in x} - set(OWN_SETTINGS)):
+        values = {json.dumps(x.get(key)) for x in told.values()}
+        if len(values) > 1:
+            raise ValueError(f"cells disagree on {key}: {sorted(values)}")
+    if any(r["kinds"] > 1 for r in found) or 0 < len(told) < len(found):
+        raise ValueError("cells disagree on their settings")
+    return cells.drop("settings")
+
+
+def read_history(spark: SparkSession, run: str) -> DataFrame:
+    """The epochs of a run folder, in order; a run without any is an error that names it."""
+    try:
+        return spark.read.parquet(f"{run}/history").orderBy("epoch")
+    except AnalysisException as e:
+        raise FileNotFoundError(f"{run} has no history") from e
+
+
+def read_weights(spark: SparkSession, run: str, epoch: int | None = None) -> DataFrame:
+    """row_id, w of a run folder, of one epoch where the weights have several."""
+    try:
+        out = spark.read.parquet(f"{run}/weights")
+    except AnalysisException as e:
+        raise FileNotFoundError(f"{run} has no weights") from e
+    if "epoch" in out.columns:
+        if epoch is None:
+            raise ValueError("the weights have several epochs: name one")
+        out = out.where(F.col("epoch") == epoch)
+    return out.select("row_id", "w")
+
+
+def json_or_none(spark: SparkSession, path: str) -> dict | None:
+    """A JSON file's content, None where there is none."""
+    return json.loads(store.read_text(spark, path)) if store.exists(spark, path) else None
+
+
+def evaluate_runs(spark: SparkSession, root: str, evaluate: Callable[[str, dict], dict[str, float]]) -> DataFrame:
+    """run, metric, value, error: ``evaluate(run, config)`` of every run under ``root``, one task a run.
+
+    ``evaluate`` runs in the tasks on a run's name and its parsed config. A run
+    whose config can't be read or whose evaluation fails becomes one row with the
+    error and no metric; the others aren't touched by it.
+    """
+    configs = spark.read.text(f"{root.rstrip('/')}/*/config.json", wholetext=True).select(
+        F.regexp_extract(F.input_file_name(), "([^/]+)/config\\.json$", 1).alias("run"), F.col("value").alias("config")
+    )
+
+    def one(run: str, config: str) -> list[tuple]:
+        try:
+            return [(run, k, float(v), None) for k, v in sorted(evaluate(run, json.loads(config)).items())]
+        except Exception as e:  # a broken run is a row of the result
+            return [(run, None, None, f"{type(e).__name__}: {e}")]
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [x for run, config in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for x in one(run, config)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.string(), pa.float64(), pa.string()))], names=["run", "metric", "value", "error"])
+
+    return configs.repartition("run").mapInArrow(each, "run string, metric string, value double, error string")
 
 
 def write_run(tables: dict[str, DataFrame], config: dict, origins: dict, path: str) -> None:
