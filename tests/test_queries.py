@@ -51,6 +51,43 @@ def test_reweighting_gives_finite_distances(spark, name):
         assert 0 <= r["w1"] < 2
 
 
+@pytest.mark.parametrize("name, dims", [("batched_weights", ("z1", "x1")), ("network_weights", ("x1",))])
+def test_learned_weights_bring_tilted_samples_together(spark, name, dims):
+    got = {r["dim"]: r for r in QUERIES[name](spark, SF).collect()}
+    assert set(got) == {"x1", "x2", "z1", "z2"}
+    for d in dims:
+        assert got[d]["after"] < 0.6 * got[d]["before"]
+
+
+def test_diagnostics_of_the_exact_tilt(spark):
+    got = {(r["diagnostic"], r["level"], r["quantity"]): r["value"] for r in QUERIES["ceiling_diagnostics"](spark, SF).collect()}
+    assert got["floor", "detector", "signal"] > 0.05 and got["audit", "detector", "removed"] > 0.7
+    assert got["oracle", "particle", "w1 z1 oracle"] < 0.5 * got["oracle", "particle", "w1 z1 unit"]
+    assert got["criterion", "detector", "candidate"] < 0.3 * got["criterion", "detector", "unweighted"]
+
+
+def test_nothing_is_found_where_nothing_is(spark):
+    got = QUERIES["null_responses"](spark, SF).collect()
+    assert len(got) == 4 and all(abs(r["nats"]) < 0.05 for r in got)
+
+
+def test_the_grid_has_its_components(spark):
+    got = {r["variable"]: r for r in QUERIES["grid_summary"](spark, SF).collect()}
+    assert set(got) == {"z1", "z2"} and all(r["interaction"] >= 0 and r["sd_total"] >= 0 for r in got.values())
+
+
+def test_edges_of_all_variables_ascend(spark):
+    rows = QUERIES["edge_search"](spark, SF).collect()
+    for name in ("quantity", "price"):
+        edges = [r["edge"] for r in sorted((r for r in rows if r["variable"] == name), key=lambda r: r["bin"])]
+        assert len(edges) > 3 and all(a < b for a, b in zip(edges, edges[1:]))
+
+
+def test_floors_are_below_a_real_distance_and_above_zero(spark):
+    for r in QUERIES["distance_floors"](spark, SF).collect():
+        assert 0 < r["floor"] < 0.2 and r["before"] > 0 and r["after"] > 0
+
+
 def test_training_records_every_epoch(spark):
     got = QUERIES["training_history"](spark, SF).orderBy("epoch").collect()
     assert [r["epoch"] for r in got] == [1, 2, 3]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.expressions import hash_key, improvement, sigmoid
-from weftline.operators import binning, distances, experiments, ibu, mmd, reweight, sampling, tilt, training, uncertainty, weights
+from weftline.operators import binning, ceiling, distances, experiments, ibu, learning, mmd, reweight, sampling, tilt, training, uncertainty, weights
 from weftline.sources import gaussian, jets, populations
 from weftline.streaming import histograms
 
@@ -464,14 +464,91 @@ def uncertainty_summary(spark, sf):
 
 
 def leakage_check(spark, sf):
-    """Weights fitted on clean and on poisoned truth of nature: the largest difference, which must be 0."""
+    """All variables' weights and distances from clean and from poisoned truth of nature: the largest difference, which must be 0."""
     p = _pop(spark, sf)
+    pairs = {"quantity": ("z1", "x1"), "price": ("z2", "x2")}
     out = None
     for name, arm in (("clean", p), ("poison", populations.poisoned(p))):
-        r = ibu.unfold_variable(arm, "z1", "x1", rounds=3)
-        one = arm.where("y = 0").select("row_id", ibu.event_weights(arm, "z1", r).alias(name))
+        results = ibu.unfold_all(arm, pairs, rounds=3)
+        one = ibu.reweighted(arm, pairs, results).where("y = 0").select("row_id", F.col("w").alias(name))
         out = one if out is None else out.join(one, "row_id")
-    return out.agg(F.max(F.abs(F.col("clean") - F.col("poison"))).alias("largest_difference"))
+    level = out.join(p.drop("w"), "row_id")
+    both = distances.wide_wasserstein(p.where("y = 1").withColumns({"clean": F.lit(1.0), "poison": F.lit(1.0)}).select("y", *DIMS, "clean", "poison").unionByName(level.select("y", *DIMS, "clean", "poison")), DIMS, {"a": F.col("clean"), "b": F.col("poison")})
+    apart = out.select(F.abs(F.col("clean") - F.col("poison")).alias("d")).unionByName(both.select(F.abs(F.col("a") - F.col("b")).alias("d")))
+    return apart.agg(F.max("d").alias("largest_difference"))
+
+
+def _tilted(spark, sf) -> DataFrame:
+    """Lines of which the observed ones are kept with odds that grow with quantity, so that there is something to learn."""
+    p = _pop(spark, sf)
+    kept = hash_key("tilt", F.col("row_id")).substr(1, 4)
+    share = F.conv(kept, 16, 10).cast("double") / 65536
+    return p.where((F.col("y") == 0) | (share < sigmoid((F.col("z1") - 25) / 8))).drop("w")
+
+
+NETWORK = learning.Settings(hidden=(8,), epochs=8, batch=512, patience=3)
+
+
+def batched_weights(spark, sf):
+    """W1 of every dimension of the tilted lines without weights and with those of a batched training."""
+    p = _tilted(spark, sf)
+    trained = training.train_batched(p, ("z1", "z2"), ("x1", "x2"), training.Settings(generator=(8,), critic=(8,), epochs=8, rate=0.01), held_out=0.125, shard_rows=16_384)
+    return distances.wide_wasserstein(training.weigh(p, trained), DIMS, {"before": None, "after": F.col("w")})
+
+
+def network_weights(spark, sf):
+    """The same with weights of a network classifier between the samples' detector columns."""
+    p = _tilted(spark, sf)
+    out = reweight.density_ratio(p, ("x1", "x2"), degree=1, classifier=learning.network_classifier(NETWORK))
+    return distances.wide_wasserstein(out, DIMS, {"before": None, "after": F.col("ratio")})
+
+
+def ceiling_diagnostics(spark, sf):
+    """Floor, oracle, audit and criterion of the tilted lines, the candidate being the exact tilt."""
+    p = _tilted(spark, sf).withColumn("w", sigmoid((F.col("z1") - 25) / 8))
+    mean = p.where("y = 0").agg(F.avg("w").alias("m"))  # one row
+    p = p.crossJoin(F.broadcast(mean)).withColumn("w", F.when(F.col("y") == 0, F.col("w") / F.col("m")).otherwise(1.0)).drop("m")
+    return ceiling.diagnostics(p, ("z1", "z2"), ("x1", "x2"), folds=3, settings=NETWORK, size=2_000)
+
+
+def null_responses(spark, sf):
+    return ceiling.null_calibration(_pop(spark, sf), ("z1",), ("x1", "x2"), repeats=2, settings=NETWORK)
+
+
+def grid_summary(spark, sf):
+    """Variance components of weighted means over a 2 x 2 grid of trainings, all in the scans of one."""
+    p = _tilted(spark, sf)
+    cells = uncertainty.train_grid(p, 2, 2, ("z1", "z2"), ("x1", "x2"), training.Settings(generator=(4,), critic=(4,), epochs=4, rate=0.01))
+    rows = uncertainty.grid_weights(p, cells).join(p.select("row_id", "z1", "z2"), "row_id")
+    views = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in ("z1", "z2")])
+    return uncertainty.collect(rows.select("b", "s", "w", F.explode(views).alias("p")).select("p.variable", "b", "s", "p.v", "w"))
+
+
+def edge_search(spark, sf):
+    """variable, bin, edge of both variables, from the simulated lines."""
+    edges = ibu.purity_edges_all(_pop(spark, sf).where("y = 0"), {"quantity": ("z1", "x1"), "price": ("z2", "x2")}, 0.5)
+    return spark.createDataFrame([(k, i, float(e)) for k, v in edges.items() for i, e in enumerate(v)], "variable string, bin int, edge double")
+
+
+def _views(spark, sf) -> DataFrame:
+    """The grid of lines with two binned variables."""
+    line = _grid(spark, sf)
+    views = F.array(F.struct(F.lit("quantity").alias("variable"), F.col("bin")), F.struct(F.lit("price").alias("variable"), F.least(F.lit(4), F.floor(F.col("v") / 20).cast("int")).alias("bin")))
+    return line.select("b", "s", "v", "w", F.explode(views).alias("p")).select("p.variable", "b", "s", "v", "p.bin", "w")
+
+
+def summary_spectra(spark, sf):
+    return uncertainty.summary(_views(spark, sf))["spectra"].select("variable", "bin", F.round("f", DIGITS).alias("f"), *[F.round(F.col(f"sd_{k}"), DIGITS).alias(f"sd_{k}") for k in ("data", "initialization", "interaction", "total")])
+
+
+def summary_covariances(spark, sf):
+    got = uncertainty.summary(_views(spark, sf))["covariances"]
+    return got.select("variable", "bin_a", "bin_b", *[F.round(1e3 * F.col(k), DIGITS).alias(k) for k in ("data", "initialization", "interaction", "total")])
+
+
+def summary_correlations(spark, sf):
+    """Correlations of the interaction component, the one that is never below zero on the diagonal."""
+    return uncertainty.summary(_views(spark, sf))["correlations"].select("variable", "bin_a", "bin_b", F.round("interaction", 4).alias("interaction"))
 
 
 def _shared_dir(spark: SparkSession) -> str:
@@ -546,7 +623,8 @@ def hash_order(spark, sf):
 
 
 _NAMES = """
-distance_floors wasserstein_weights training_history generator_weights uncertainty_summary
+distance_floors batched_weights network_weights ceiling_diagnostics null_responses grid_summary edge_search summary_spectra summary_covariances summary_correlations
+wasserstein_weights training_history generator_weights uncertainty_summary
 observable_means tied_epoch_sets signed_rank_test first_moment_transfer mean_epoch_weights
 w1_per_dim w1_weighted improvement_pct hist_normalized js_divergence triangular metric_set_long metric_comparison sliced_w1 axis_w1 ess weight_dispersion
 normalize_mean_one normalize_class_preserving normalize_sum_to_one normalize_count_preserving likelihood_ratio_weights bce_weighted critic_gap gradient_penalty

@@ -87,11 +87,28 @@ def d2(p: str, q: str) -> str:
     return f"({p}.x1 - {q}.x1) * ({p}.x1 - {q}.x1) + ({p}.x2 - {q}.x2) * ({p}.x2 - {q}.x2)"
 
 
+VIEWS = """views AS (SELECT 'quantity' AS variable, b, s, bin, w FROM grid UNION ALL SELECT 'price', b, s, CAST(least(4, floor(v / 20)) AS INTEGER), w FROM grid),
+spectra AS (SELECT variable, b, s, bin, sum(w) / sum(sum(w)) OVER (PARTITION BY variable, b, s) AS f FROM views GROUP BY variable, b, s, bin),
+g AS (SELECT variable, bin, avg(f) AS g FROM spectra GROUP BY ALL), r AS (SELECT variable, bin, b, avg(f) AS rm FROM spectra GROUP BY ALL), k AS (SELECT variable, bin, s, avg(f) AS cm FROM spectra GROUP BY ALL),
+x AS (SELECT variable, b, s, bin, f - rm - cm + g AS x FROM spectra JOIN r USING (variable, bin, b) JOIN k USING (variable, bin, s) JOIN g USING (variable, bin)),
+e AS (SELECT variable, p.bin AS bin_a, q.bin AS bin_b, sum(p.x * q.x) / 49 AS e FROM x p JOIN x q USING (variable, b, s) GROUP BY ALL),
+rd AS (SELECT variable, bin, b, rm - g AS x FROM r JOIN g USING (variable, bin)), kd AS (SELECT variable, bin, s, cm - g AS x FROM k JOIN g USING (variable, bin)),
+d AS (SELECT variable, p.bin AS bin_a, q.bin AS bin_b, sum(p.x * q.x) / 7 AS d FROM rd p JOIN rd q USING (variable, b) GROUP BY ALL),
+i AS (SELECT variable, p.bin AS bin_a, q.bin AS bin_b, sum(p.x * q.x) / 7 AS i FROM kd p JOIN kd q USING (variable, s) GROUP BY ALL),
+cov AS (SELECT variable, bin_a, bin_b, d - e / 8 AS data, i - e / 8 AS initialization, e AS interaction, d - e / 8 + i - e / 8 + e AS total FROM e JOIN d USING (variable, bin_a, bin_b) JOIN i USING (variable, bin_a, bin_b))"""
+
 SIGMOID = "1 / (1 + exp(-({})))"
 COSINES = ", ".join(f"({k}, {a!r}, {b!r})" for k, (a, b) in enumerate(random_directions(128, 2)))
 CHARGES = 0x5228849
 
 ORACLE_SQL = {
+    "leakage_check": "SELECT 0.0::DOUBLE AS largest_difference",
+    "summary_spectra": f"""WITH {GRID}, {VIEWS} SELECT variable, bin, round(g, 6) AS f, round(sqrt(greatest(data, 0)), 6) AS sd_data, round(sqrt(greatest(initialization, 0)), 6) AS sd_initialization,
+round(sqrt(greatest(interaction, 0)), 6) AS sd_interaction, round(sqrt(greatest(total, 0)), 6) AS sd_total FROM g JOIN cov USING (variable) WHERE bin = bin_a AND bin_a = bin_b""",
+    "summary_covariances": f"""WITH {GRID}, {VIEWS} SELECT variable, bin_a, bin_b, round(1e3 * data, 6) AS data, round(1e3 * initialization, 6) AS initialization,
+round(1e3 * interaction, 6) AS interaction, round(1e3 * total, 6) AS total FROM cov""",
+    "summary_correlations": f"""WITH {GRID}, {VIEWS}, v AS (SELECT variable, bin_a AS bin, interaction AS v FROM cov WHERE bin_a = bin_b)
+SELECT variable, bin_a, bin_b, round(interaction / sqrt(a.v * c.v), 4) AS interaction FROM cov JOIN v a USING (variable) JOIN v c USING (variable) WHERE a.bin = bin_a AND c.bin = bin_b""",
     "w1_per_dim": with_pop(f", {long('1.0')}, {w1('long')} SELECT dim, round(w1, 6) AS w1 FROM w"),
     "w1_weighted": with_pop(f", {long()}, {w1('long')} SELECT dim, round(w1, 6) AS w1 FROM w"),
     "improvement_pct": with_pop(
