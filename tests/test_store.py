@@ -134,3 +134,20 @@ def test_one_side_can_be_resampled(spark):
         assert all(m == both[i] for (i, k), m in got.items() if k == y) and sum(got.values()) == 400
     with pytest.raises(ValueError):
         sampling.bootstrap_counts(df, 1, resample="none")
+
+
+def test_jet_populations_are_standardized_by_simulated_truth(spark):
+    from weftline.sources import jets
+
+    names = [f"{level}_{v}" for v in jets.VARIABLES for level in jets.LEVELS]
+    rows = [(f"r{i:02d}", *[float((i * 7 + j * 3) % 11 + 0.5 * j) for j in range(24)]) for i in range(20)]
+    table = spark.createDataFrame(rows, "row_id string, " + ", ".join(f"{n} double" for n in names))
+    got, scale = jets.jet_population(table, table, 10, ("w", "q"))
+    out = got.where("y = 0").agg(F.avg("z_w").alias("m"), F.stddev_pop("z_q").alias("s"), F.count("*").alias("n")).first()
+    assert abs(out["m"]) < 1e-12 and abs(out["s"] - 1) < 1e-12 and out["n"] == 10 and set(scale) == {"w", "q"}
+    assert got.columns == ["row_id", "y", "z_w", "z_q", "x_w", "x_q"]
+    for bad in ({"w"}, ("w", "w"), ("none",), ()):
+        with pytest.raises(ValueError):
+            jets.jet_population(table, table, 10, bad)
+    with pytest.raises(ValueError):
+        jets.jet_population(table, table, 30, ("w",))

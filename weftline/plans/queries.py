@@ -60,6 +60,24 @@ def w1_weighted(spark, sf):
     return distances.wide_wasserstein(_pop(spark, sf), DIMS, {"w1": F.col("w")}).withColumns(_round("w1"))
 
 
+def jet_shard(spark, sf):
+    """All 24 columns of orders as jets: their lines are particles, without and with discount and tax."""
+    line = populations.read(spark, sf, "lineitem")
+    factor = (1 - F.col("l_discount")) * (1 + F.col("l_tax"))
+    code = F.pmod("l_partkey", F.lit(16)) / 10
+    shards = line.groupBy("l_orderkey")
+    out = []
+    for level, f in (("gen", F.lit(1.0)), ("sim", factor)):
+        pt = F.col("l_extendedprice") * f
+        out += [
+            F.array(F.sum(pt), F.lit(0.0), F.lit(0.0), F.sum(F.col("l_quantity") * f)).alias(f"{level}_jets"), F.count(F.lit(1)).alias(f"{level}_mults"), F.avg(F.sqrt(F.col("l_discount") * f)).alias(f"{level}_widths"),
+            F.avg(F.sqrt(F.col("l_tax") * f)).alias(f"{level}_tau2s"), F.min(F.sqrt(F.col("l_discount") * f)).alias(f"{level}_zgs"), F.max(F.col("l_quantity") * f).alias(f"{level}_sdms"), F.max(F.sqrt(F.col("l_tax") * f)).alias(f"{level}_lhas"),
+            F.sum(F.col("l_discount") * F.sqrt(F.col("l_discount") * f)).alias(f"{level}_ang2s"), F.collect_list(F.array(pt, F.lit(0.0), F.lit(0.0), code)).alias(f"{level}_particles"),
+        ]
+    got = jets.reduce_shard(shards.agg(*out), ("l_orderkey",))
+    return got.select("l_orderkey", *[F.round(c, DIGITS).alias(c) for c in got.columns[1:]])
+
+
 def improvement_pct(spark, sf):
     both = distances.wide_wasserstein(_pop(spark, sf), DIMS, {"before": None, "after": F.col("w")})
     return both.withColumn("improvement", improvement(F.col("before"), F.col("after"))).withColumns(_round("before", "after", "improvement"))
@@ -623,7 +641,7 @@ def hash_order(spark, sf):
 
 
 _NAMES = """
-distance_floors batched_weights network_weights ceiling_diagnostics null_responses grid_summary edge_search summary_spectra summary_covariances summary_correlations
+jet_shard distance_floors batched_weights network_weights ceiling_diagnostics null_responses grid_summary edge_search summary_spectra summary_covariances summary_correlations
 wasserstein_weights training_history generator_weights uncertainty_summary
 observable_means tied_epoch_sets signed_rank_test first_moment_transfer mean_epoch_weights
 w1_per_dim w1_weighted improvement_pct hist_normalized js_divergence triangular metric_set_long metric_comparison sliced_w1 axis_w1 ess weight_dispersion

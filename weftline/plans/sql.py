@@ -101,7 +101,18 @@ SIGMOID = "1 / (1 + exp(-({})))"
 COSINES = ", ".join(f"({k}, {a!r}, {b!r})" for k, (a, b) in enumerate(random_directions(128, 2)))
 CHARGES = 0x5228849
 
+def _level(name: str, factor: str) -> str:
+    f, pt = f"({factor})", f"(l_extendedprice * ({factor}))"
+    charge = "(((CHARGES >> CAST(2 * (l_partkey % 16) AS BIGINT)) & 3) - 1)".replace("CHARGES", str(CHARGES))
+    return f"""round(sum(l_quantity * {f}), 6) AS {name}_mass, count(*)::DOUBLE AS {name}_mult, round(avg(sqrt(l_discount * {f})), 6) AS {name}_w,
+  round(CASE WHEN avg(sqrt(l_discount * {f})) > 0 THEN avg(sqrt(l_tax * {f})) / avg(sqrt(l_discount * {f})) ELSE 0 END, 6) AS {name}_tau21, round(min(sqrt(l_discount * {f})), 6) AS {name}_zg,
+  round(2 * ln(max(l_quantity * {f}) / sum({pt})), 6) AS {name}_sdm, round(sum({charge} * sqrt({pt})) / sum(sqrt({pt})), 6) AS {name}_q, round(sum(abs({charge}) * {pt}) / sum({pt}), 6) AS {name}_f_ch,
+  round(max(sqrt(l_tax * {f})), 6) AS {name}_lha, round(sum(l_discount * sqrt(l_discount * {f})), 6) AS {name}_ang2, round(sqrt(sum({pt} * {pt})) / sum({pt}), 6) AS {name}_ptd,
+  (count(*) FILTER ({charge} <> 0 AND {pt} > 0))::DOUBLE AS {name}_n_ch"""
+
+
 ORACLE_SQL = {
+    "jet_shard": f"SELECT l_orderkey, {_level('gen', '1.0')}, {_level('sim', '(1 - l_discount) * (1 + l_tax)')} FROM lineitem GROUP BY l_orderkey",
     "leakage_check": "SELECT 0.0::DOUBLE AS largest_difference",
     "summary_spectra": f"""WITH {GRID}, {VIEWS} SELECT variable, bin, round(g, 6) AS f, round(sqrt(greatest(data, 0)), 6) AS sd_data, round(sqrt(greatest(initialization, 0)), 6) AS sd_initialization,
 round(sqrt(greatest(interaction, 0)), 6) AS sd_interaction, round(sqrt(greatest(total, 0)), 6) AS sd_total FROM g JOIN cov USING (variable) WHERE bin = bin_a AND bin_a = bin_b""",
