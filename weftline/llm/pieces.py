@@ -15,7 +15,9 @@ Characters outside the vocabulary become byte pieces; the last of them carries
 the character's span.
 
 Defined results: a null text is the empty text, with no pieces and an empty
-decoded text. Rows are independent; further columns are ignored.
+decoded text; a very long text is encoded whole by one task, chunk by chunk; rows
+are independent, so repeated rows and rows of one or no id are encoded alike, each
+giving one row; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
