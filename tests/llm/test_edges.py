@@ -14,7 +14,7 @@ def test_empty_tables(spark, empty, name):
     assert [r for r in rows if r[0] != -1] == []
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("op3_chat_format", "op9_top_k")])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in ("op3_chat_format", "op9_top_k", "op13_conversation_trie")])
 def test_one_row_or_more_for_each_document(spark, odd, name):
     got = [r["doc_id"] for r in QUERIES[name](spark, odd).collect()]
     assert set(got) == {r[0] for r in ROWS}
@@ -106,6 +106,31 @@ def test_near_duplicates(spark, odd):
     assert by[None] is None and by[8] == 8
 
 
+def test_repeats(spark, odd):
+    rows = QUERIES["op11_suffix_dedup"](spark, odd).collect()
+    by = {r["doc_id"]: r for r in rows}
+    assert by[4]["n_bytes"] == 0 and by[4]["kept_sha256"] == hashlib.sha256(b"").hexdigest()
+    # the sentence of the long text stays once, and so does the single letter's run
+    assert by[8]["n_bytes"] == len(LONG) and by[8]["n_removed"] == len(LONG) - len(LONG) // 9_000
+    assert by[9007199254740993]["n_removed"] == 5_000 - 1 and by[9007199254740993]["n_spans"] == 1
+    assert len([r for r in rows if r["doc_id"] == 6]) == 2
+
+
+def test_fill_middle(spark, odd):
+    rows = QUERIES["op12_fill_middle"](spark, odd).collect()
+    text = {r[0]: r[1] or "" for r in ROWS}
+    for r in rows:
+        assert r["restored_sha256"] == hashlib.sha256(text[r["doc_id"]].encode()).hexdigest()
+        assert (r["prefix_chars"] is None) == (r["form"] == "plain")
+
+
+def test_trie(spark, odd):
+    rows = QUERIES["op13_conversation_trie"](spark, odd).collect()
+    root = next(r for r in rows if r["depth"] == 0)
+    assert (root["n_convs"], root["conv_id"], root["parent_conv_id"]) == (4, None, None)
+    assert root["n_leaves"] == sum(r["n_children"] == 0 for r in rows)
+
+
 def test_stages(spark, odd, empty, tmp_path):
     pipeline = pytest.importorskip("corpus_pipeline")
     for table in (odd, empty):

@@ -52,6 +52,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/weftline/scratch-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[str] = []
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """``df`` written and read back, as ``materialize`` does."""
@@ -59,6 +60,12 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+        """``keep`` in buckets of ``key``, so that a later join or grouping by it doesn't shuffle the table."""
+        self.tables.append(f"weftline_{uuid.uuid4().hex}")
+        df.write.bucketBy(buckets, key).option("path", self.folder(name)).saveAsTable(self.tables[-1])
+        return self.spark.table(self.tables[-1])
+
     def folder(self, name: str) -> str:
         """A new path among them."""
         self.count += 1
@@ -68,6 +75,8 @@ class Scratch:
         return self
 
     def __exit__(self, *_) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -9,7 +9,7 @@ and strings are judged on the input, not on what is left.
    windows mostly share theirs, so a text falls into segments of windows of one
    key, one for about 40 bytes. Keys that occur once can't belong to a repeat.
 2. *Segments* of the keys that are left are dealt out by key with the bytes that
-   their windows span, equal ones merged before the shuffle.
+   their windows span, equal ones merged and all of them packed before the shuffle.
 3. *Suffix arrays.* A task joins its segments in blocks of whole keys and sorts
    the suffixes of a block in two stages: only suffixes smaller than their
    successors are sorted directly, by words of eight bytes; all others are
@@ -32,7 +32,7 @@ sent to all tasks. Their segments are dealt by document instead of by key in ste
 whole window) until a key is no longer heavy, so a line that stands in a third of
 all documents among unlike text isn't one group. Windows of one text share a
 segment at every level, and equal segments are merged. Blocks hold about
-``BLOCK`` bytes. Text is shuffled compressed, twice.
+``BLOCK`` bytes. Text is shuffled once, compressed, into buckets.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,10 +56,12 @@ LEVELS = (24, 60, 84, 94, 98, 100)
 HEAVY = 4096
 #: Most windows in a segment.
 STRETCH = 128
-CHUNK = 1 << 16
+CHUNK, SLICE = 1 << 16, 1 << 20
 #: Bytes of text that are cut into segments at a time, and that one suffix array covers.
-PIECE = 4 << 20
-BLOCK = 4 << 20
+PIECE = 2 << 20
+BLOCK = 2 << 20
+#: Segments of all texts to one part of the keys, at most about: what a task holds at a time, equal ones once.
+PART = 1 << 19
 LEAST_ID = -(2**63)
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -95,29 +98,44 @@ def window_keys(text: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.n
 def segments(texts: list[bytes], level: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows of one key: text number, first window, number of windows, key, whether windows may be equal.
 
+    Works on about ``SLICE`` bytes at a time; in a longer text a run ends at every multiple of that.
     Two equal windows of one run hold its least k-mer in several places, the last
     of which comes in as the last k-mer of a window after the run's first.
     """
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    windows = np.maximum(sizes - length + 1, 0)
-    owner = np.repeat(np.arange(len(texts)), windows)
-    if not len(owner):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none
-    place = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    keys, last = window_keys(np.frombuffer(b"".join(texts), np.uint8), max(LEVELS[level] * length // 100, 1), length)
+    found, held, size = [], [], 0
+    for i, text in enumerate(texts):
+        for at in range(0, max(len(text) - length + 1, 0), SLICE):
+            held.append((i, at, text if len(text) <= SLICE else text[at : at + SLICE + length - 1]))
+            size += len(held[-1][2])
+            if size >= SLICE:
+                found.append(_segments(held, level, length))
+                held, size = [], 0
+    if held:
+        found.append(_segments(held, level, length))
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (none, none, none, none, none.astype(bool))
+
+
+def _segments(slices: list[tuple[int, int, bytes]], level: int, length: int):
+    """``segments`` of (text number, offset, bytes)."""
+    sizes = np.fromiter((len(x) for *_, x in slices), np.int64, len(slices))
+    windows = sizes - length + 1
+    part = np.repeat(np.arange(len(slices), dtype=np.int32), windows)
+    place = np.arange(len(part)) - np.repeat(np.cumsum(windows) - windows, windows)
+    keys, last = window_keys(np.frombuffer(b"".join(x for *_, x in slices), np.uint8), max(LEVELS[level] * length // 100, 1), length)
     at = place + np.repeat(np.cumsum(sizes) - sizes, windows)
-    keys, last = keys[at], np.cumsum(last[at])
+    keys, last = keys[at], np.cumsum(last[at], dtype=np.int32)
     begins = np.ones(len(keys), bool)
-    begins[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    begins[1:] = (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])
     runs = np.flatnonzero(begins)
     widths = np.diff(np.append(runs, len(keys)))
     parts = -(-widths // STRETCH)
     inside = (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * STRETCH
     first = np.repeat(runs, parts) + inside
     count = np.minimum(np.repeat(widths, parts) - inside, STRETCH)
-    salted = _mixed(keys[first] ^ np.uint64(level + 1))
-    return owner[first], place[first], count, salted.view(np.int64), last[first + count - 1] > last[first]
+    salted = _mixed(keys[first] ^ np.uint64(level + 1)).view(np.int64)
+    owner, offset = (np.array([x[k] for x in slices], np.int64)[part[first]] for k in (0, 1))
+    return owner, place[first] + offset, count, salted, last[first + count - 1] > last[first]
 
 
 def _grams(text: np.ndarray, beyond: int) -> np.ndarray:
@@ -141,21 +159,24 @@ def suffix_order(text: np.ndarray, depth: int, grams: np.ndarray | None = None)
     smaller = np.zeros(n, bool)
     smaller[:-1] = np.append(text[:-1] < text[1:], False)[at]
 
-    # first stage: suffixes smaller than their successors
+    # first stage: suffixes smaller than their successors, by eight bytes and then, where these tie, by five more at a time
     direct = np.flatnonzero(smaller)
     key = grams[direct]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     direct, key = direct[order], key[order]
-    head = np.ones(len(direct) + 1, bool)
-    head[1:-1] = key[1:] != key[:-1]
-    for reach in range(8, depth, 8):
-        tied = np.flatnonzero(~(head[:-1] & head[1:]))
+    head = np.ones(len(direct), bool)
+    head[1:] = key[1:] != key[:-1]
+    tied = np.arange(len(direct))
+    for reach in range(8, depth, 5):
+        several = ~(head & np.append(head[1:], True))
+        group, tied = np.cumsum(head)[several].astype(np.uint64), tied[several]
         if not len(tied):
             break
-        group, key = np.cumsum(head[:-1])[tied], grams[direct[tied] + reach]
-        order = np.lexsort((key, group))
+        key = (group << np.uint64(40)) | (grams[direct[tied] + reach] >> np.uint64(24))
+        order = np.argsort(key)
         direct[tied], key = direct[tied[order]], key[order]
-        head[tied[1:]] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
+        head = np.ones(len(tied), bool)
+        head[1:] = key[1:] != key[:-1]
 
     # second stage: all others follow from their successors, bucket by bucket
     edges = np.searchsorted(text[direct], np.arange(257))
@@ -294,21 +315,21 @@ def _heavy_in_tasks(length: int):
 
 
 def _anchors(length: int, heavy: np.ndarray):
-    """(ident, text) -> (key, salt, within, ident, first): a row for each segment.
+    """(ident, text) -> (key, salt, ident, at): a row for each segment.
 
-    A heavy key's rows are dealt out by ``salt``, which is 0 for all others;
-    ``within`` says that the segment may repeat itself.
+    A heavy key's rows are dealt out by ``salt``, which is 0 for all others. ``at``
+    is 256 times the first window, plus 128 if windows may be equal, plus the
+    number of windows less one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ident, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
             for a, b in _pieces(texts, len):
-                owner, first, _, keys, within = segments(texts[a:b], 0, length)
+                owner, first, count, keys, within = segments(texts[a:b], 0, length)
                 salt = np.where(np.isin(keys, heavy), 1 + (np.arange(len(keys)) & 0xFFFF), 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (keys, salt.astype(np.int32), np.asarray(within, bool), ident[a:b][owner], first.astype(np.int32))], names=["key", "salt", "within", "ident", "first"]
-                )
+                at = (first << 8) | (np.asarray(within, np.int64) << 7) | (count - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, salt.astype(np.int32), ident[a:b][owner], at)], names=["key", "salt", "ident", "at"])
 
     return run
 
@@ -326,43 +347,51 @@ def _split_off(finish: Callable[[bytes], object], kind: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            packed, firsts = batch.column("packed").to_pylist(), batch.column("firsts").to_pylist()
+            packed, whole = batch.column("packed").to_pylist(), batch.column("segments").is_null().to_pylist()
             sizes, done = [], []
             for i, x in enumerate(packed):
                 text = open_(x)
                 sizes.append(len(text))
-                done.append(finish(text) if firsts[i] is None else None)
-                if firsts[i] is None:
+                done.append(finish(text) if whole[i] else None)
+                if whole[i]:
                     packed[i] = None
             yield pa.RecordBatch.from_arrays(
-                [batch.column("ident"), batch.column("doc_id"), pa.array(packed, pa.binary()), batch.column("firsts"), pa.array(sizes, pa.int64()), pa.array(done, kind)],
-                names=["ident", "doc_id", "packed", "firsts", "n_bytes", "kept"],
+                [batch.column("ident"), batch.column("doc_id"), pa.array(packed, pa.binary()), batch.column("segments"), pa.array(sizes, pa.int64()), pa.array(done, kind)],
+                names=["ident", "doc_id", "packed", "segments", "n_bytes", "kept"],
             )
 
     return run
 
 
-def _candidates(part: list[bytes], firsts: list, length: int):
-    """The segments of ``part`` that begin at the given windows."""
-    owner, first, count, keys, _ = segments(part, 0, length)
-    at = np.fromiter((f for x in firsts for f in x), np.int64)
-    of = np.repeat(np.arange(len(part)), [len(x) for x in firsts])
-    mine = np.isin((owner << 32) | first, (of << 32) | at)
-    return owner[mine], first[mine], count[mine], keys[mine]
+def _listed(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of segments as flat arrays, row number, first window, number of windows and key, in order of the first two."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    at, key = (x.to_numpy(zero_copy_only=False).astype(np.int64) for x in column.flatten().flatten())
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((at, owner))
+    return owner[order], at[order] >> 8, (at[order] & 127) + 1, key[order]
 
 
-def _segments_of(length: int, heavy: np.ndarray):
-    """(ident, doc, packed, firsts) -> (key, bytes, doc, ident, first), equal segments of a piece merged."""
+def _segments_of(length: int, heavy: np.ndarray, parts: int):
+    """(ident, doc, packed, segments) -> (part, blob): the segments (key, bytes, doc, ident, first) of a piece and a part of the keys, equal ones merged.
+
+    ``heavy`` and keys are the upper halves of keys here: those that agree share a
+    group, which costs nothing but work.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_ = zstandard.ZstdDecompressor().decompress
+        open_, press = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(3).compress
         for batch in batches:
-            ident, doc, texts, firsts = (batch.column(i).to_pylist() for i in range(4))
+            # documents in their order, so that the earliest of equal segments comes first
+            batch = batch.take(pa.compute.sort_indices(pa.table(batch.columns[:2], names=["ident", "doc"]), [("doc", "ascending"), ("ident", "ascending")]))
+            ident, doc, texts = (batch.column(i).to_pylist() for i in range(3))
             texts = [open_(x) for x in texts]
+            listed = _listed(batch.column(3))
             for a, b in _pieces(texts, len):
-                rows = sorted(range(a, b), key=lambda i: (doc[i], ident[i]))
-                part = [texts[i] for i in rows]
-                found = _distinct(*_candidates(part, [firsts[i] for i in rows], length), part, length)
+                rows = range(a, b)
+                lo, hi = np.searchsorted(listed[0], (a, b))
+                owner, first, count, keys = (x[lo:hi] for x in listed)
+                found = _distinct(owner - a, first, count, keys, texts[a:b], length)
                 out = []
                 for level in range(1, len(LEVELS) + 1):
                     hot = set(heavy[np.isin(heavy, np.fromiter({k for k, _ in found}, np.int64))].tolist()) if level < len(LEVELS) else set()
@@ -373,14 +402,18 @@ def _segments_of(length: int, heavy: np.ndarray):
                     # segments are in order of their first window, so the earliest of equal ones comes first again
                     left.sort(key=lambda y: y[1])
                     owner, first, count, keys, _ = segments([x for x, _ in left], level, length)
+                    keys >>= 32
                     found = {k: (left[o][1][0], left[o][1][1] + f) for k, (o, f) in _distinct(owner, first, count, keys, [x for x, _ in left], length).items()}
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([k for k, *_ in out], pa.int64()), pa.array([x for _, x, *_ in out], pa.binary()), pa.array([doc[rows[o]] for *_, o, _ in out], pa.int64()),
-                        pa.array([ident[rows[o]] for *_, o, _ in out], pa.int64()), pa.array([f for *_, f in out], pa.int32()),
-                    ],
-                    names=["key", "bytes", "doc", "ident", "first"],
-                )
+                if not out:
+                    continue
+                out.sort()  # neighbouring keys share no text, but a key's own segments do
+                place = np.fromiter((k for k, *_ in out), np.int64, len(out)) % parts
+                blobs = []
+                for p in np.unique(place).tolist():
+                    mine = [out[i] for i in np.flatnonzero(place == p)]
+                    numbers = [np.array(x, np.int64) for x in zip(*((k, len(x), doc[rows[o]], ident[rows[o]], f) for k, x, o, f in mine))]
+                    blobs.append((p, press(np.array([len(mine)], np.int64).tobytes() + b"".join(x.tobytes() for x in numbers) + b"".join(x for _, x, *_ in mine))))
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in blobs], pa.int32()), pa.array([x for _, x in blobs], pa.binary())], names=["part", "blob"])
 
     return run
 
@@ -394,26 +427,34 @@ def _kept_in(rows: dict[tuple[int, bytes], tuple[int, int, int]], length: int) -
     rank[order[1:]] = np.cumsum((np.diff(doc[order]) != 0) | (np.diff(ident[order]) != 0))
     counts = np.fromiter(map(len, texts), np.int64, len(texts)) - length + 1
     owner, a, b = first_windows(texts, counts, (rank << 32) | first, length)
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ident[owner], doc[owner], (first[owner] + a).astype(np.int32), (first[owner] + b).astype(np.int32))], names=["ident", "doc", "a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ident[owner], (first[owner] + a).astype(np.int32), (first[owner] + b).astype(np.int32))], names=["ident", "a", "b"])
 
 
 def _blocks(length: int):
-    """Rows in order of key -> kept ranges (ident, doc, a, b), whole keys at a time."""
+    """The blobs of a part -> kept ranges (ident, a, b), in blocks of whole keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: dict[tuple[int, bytes], tuple[int, int, int]] = {}
-        size, last = 0, None
+        open_ = zstandard.ZstdDecompressor().decompress
+        found: dict[int, dict[bytes, tuple[int, int, int]]] = {}
         for batch in batches:
-            for key, text, *at in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != last and size >= BLOCK:
-                    yield _kept_in(rows, length)
-                    rows, size = {}, 0
-                last, at = key, tuple(at)
-                known = rows.get((key, text))
-                if known is None:
-                    size += len(text)
-                if known is None or at < known:
-                    rows[key, text] = at
+            for blob in batch.column("blob").to_pylist():
+                raw = open_(blob)
+                n = int(np.frombuffer(raw, np.int64, 1)[0])
+                keys, sizes, *at = np.frombuffer(raw, np.int64, 5 * n, 8).reshape(5, n)
+                ends = 8 + 40 * n + np.cumsum(sizes)
+                for key, a, b, *where in zip(keys.tolist(), (ends - sizes).tolist(), ends.tolist(), *(x.tolist() for x in at)):
+                    mine, text, where = found.setdefault(key, {}), raw[a:b], tuple(where)
+                    if where < mine.get(text, (where[0] + 1,)):
+                        mine[text] = where
+        rows: dict[tuple[int, bytes], tuple[int, int, int]] = {}
+        size = 0
+        for key in sorted(found):
+            for text, where in found.pop(key).items():
+                rows[key, text] = where
+                size += len(text)
+            if size >= BLOCK:
+                yield _kept_in(rows, length)
+                rows, size = {}, 0
         if rows:
             yield _kept_in(rows, length)
 
@@ -425,24 +466,21 @@ def _finished(finish: Callable[[bytes], object], kind: pa.DataType, length: int)
         open_ = zstandard.ZstdDecompressor().decompress
         for batch in batches:
             ids = batch.column("doc_id")
-            packed, firsts, ranges, done = (batch.column(n).to_pylist() for n in ("packed", "firsts", "ranges", "kept"))
+            packed, ranges, done = (batch.column(n).to_pylist() for n in ("packed", "ranges", "kept"))
             spans: list[list[dict]] = [[] for _ in packed]
-            mine = [i for i, x in enumerate(packed) if x is not None]
-            texts = [open_(packed[i]) for i in mine]
-            for a, b in _pieces(texts, len):
-                part = texts[a:b]
-                owner, first, count, _ = _candidates(part, [firsts[i] for i in mine[a:b]], length)
-                edges = np.searchsorted(owner, np.arange(len(part) + 1))
-                for j, text in enumerate(part):
-                    i = mine[a + j]
-                    s = slice(edges[j], edges[j + 1])
-                    found = removed_spans(list(zip(first[s].tolist(), (first[s] + count[s]).tolist())), [(r["a"], r["b"]) for r in ranges[i] or []], length)
-                    spans[i] = [{"start": x, "end": y} for x, y in found]
-                    at, left = 0, []
-                    for x, y in [*found, (len(text), len(text))]:
-                        left.append(text[at:x])
-                        at = y
-                    done[i] = finish(b"".join(left))
+            owner, first, count, _ = _listed(batch.column("segments"))
+            edges = np.searchsorted(owner, np.arange(len(packed) + 1))
+            for i, x in enumerate(packed):
+                if x is None:
+                    continue
+                text, s = open_(x), slice(edges[i], edges[i + 1])
+                found = removed_spans(list(zip(first[s].tolist(), (first[s] + count[s]).tolist())), [(r["a"], r["b"]) for r in ranges[i] or []], length)
+                spans[i] = [{"start": a, "end": b} for a, b in found]
+                at, left = 0, []
+                for a, b in [*found, (len(text), len(text))]:
+                    left.append(text[at:a])
+                    at = b
+                done[i] = finish(b"".join(left))
             kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([ids, batch.column("n_bytes"), pa.array(spans, kinds), pa.array(done, kind)], names=["doc_id", "n_bytes", "spans", "kept"])
 
@@ -465,17 +503,18 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, length: int = LENGTH, d
         total = counts.where("key is null").agg(F.sum("n")).first()[0] or 0
         heavy = np.array([r["key"] for r in counts.where((F.col("n") * 2 * HEAVY >= total) & F.col("key").isNotNull()).select("key").collect()], np.int64)
 
-        anchors = docs.select("ident", "text").mapInArrow(_anchors(length, heavy), "key long, salt int, within boolean, ident long, first int")
+        anchors = docs.select("ident", "text").mapInArrow(_anchors(length, heavy), "key long, salt int, ident long, at long")
         often = F.count(F.lit(1)).over(Window.partitionBy("key", "salt")) > 1
-        firsts = anchors.withColumn("often", often).where("often or within or salt > 0").groupBy("ident").agg(F.collect_set("first").alias("firsts"))
+        firsts = anchors.withColumn("often", often).where("often or salt > 0 or at & 128 > 0").groupBy("ident").agg(F.collect_set(F.struct("at", F.shiftright("key", 32).cast("int").alias("key"))).alias("segments"))
         packed = docs.mapInArrow(_zipped, "ident long, doc_id long, packed binary")
-        split = scratch.keep(
-            packed.join(firsts, "ident", "left").mapInArrow(_split_off(finish, kind), f"ident long, doc_id long, packed binary, firsts array<int>, n_bytes long, kept {ddl}"), "documents"
-        )
-        pieces = split.where("packed is not null").select("ident", order, "packed", "firsts").mapInArrow(_segments_of(length, heavy), "key long, bytes binary, doc long, ident long, first int")
-        ranges = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_blocks(length), "ident long, doc long, a int, b int")
-        ranges = ranges.groupBy("ident", "doc").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-        found = split.withColumn("doc", order).join(ranges, ["ident", "doc"], "left").select("doc_id", "n_bytes", "packed", "firsts", "ranges", "kept")
+        split = packed.join(firsts, "ident", "left").mapInArrow(_split_off(finish, kind), f"ident long, doc_id long, packed binary, segments array<struct<at: long, key: int>>, n_bytes long, kept {ddl}")
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        split = scratch.bucketed(split, "documents", "ident", buckets)
+        parts = max(buckets, -(-total // PART))
+        pieces = split.where("packed is not null").select("ident", order, "packed", "segments").mapInArrow(_segments_of(length, np.unique(heavy >> 32), parts), "part int, blob binary")
+        ranges = pieces.repartitionById(parts, "part").mapInArrow(_blocks(length), "ident long, a int, b int")
+        ranges = ranges.groupBy("ident").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+        found = split.join(ranges, "ident", "left").select("doc_id", "n_bytes", "packed", "segments", "ranges", "kept")
         found = found.mapInArrow(_finished(finish, kind, length), f"doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept {ddl}")
         return materialize(spark, found, "suffix-dedup")
 
