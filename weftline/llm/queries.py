@@ -44,11 +44,11 @@ WITH t AS (
       '<(\\|im_start\\|>|\\|im_sep\\|>|\\|im_end\\|>|/?s>|</?SYS>>|\\|endoftext\\|>|\\|startoftext\\|>)', '&lt;\\1', 'g'),
       '\\[(/?INST\\])', '&lb;\\1', 'g') AS escaped,
     CASE WHEN lag(role) OVER w = role THEN 0 ELSE 1 END AS opens
-  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+  FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
 ), d AS (
   SELECT conv_id, count(*)::BIGINT AS n_turns,
-    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
-    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '') AS loss,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS turns,
+    coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '') AS loss,
     sum(length(escaped) + CASE WHEN opens = 1 THEN 12 + length(role) + 1 + 11 ELSE 10 END)::BIGINT AS formatted_chars,
     sum(opens)::BIGINT AS n_blocks
   FROM e GROUP BY conv_id
