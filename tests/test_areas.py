@@ -76,3 +76,24 @@ def test_floors_are_distances_of_disjoint_draws_of_the_size_compared(spark):
         assert got[metric]["floor"] == pytest.approx(np.mean(floors), abs=1e-9) and got[metric]["floor_sd"] == pytest.approx(np.std(floors, ddof=1), abs=1e-9)
     with pytest.raises(ValueError):
         distances.distances_with_floors(df, ("x1", "x2"), size=len(rows))
+
+
+@pytest.mark.parametrize("tail", [False, True])
+def test_of_many_directions_few_rows_are_sorted_and_areas_stay_exact(spark, monkeypatch, tail):
+    for name, size in (("RANGE_ROWS", 200), ("FEW_VALUES", 0), ("CELLS", 8_192), ("BLOCK", 500)):
+        monkeypatch.setattr(sorted_areas, name, size)
+    dealt, sort = [], sorted_areas._sorted
+    monkeypatch.setattr(sorted_areas, "_sorted", lambda *a: dealt.append(int(a[6].sum())) or sort(*a))
+    rows, df = sample(spark)
+    if tail:
+        df = df.withColumn("x2", F.when(F.col("x2") > 1.5, F.exp(F.col("x2") * 20)).otherwise(F.col("x2")))
+    directions = np.array(distances.random_directions(32, 2))
+    weights = [F.lit(1.0), F.col("w"), (F.when(F.col("w") < 0.5, 1.0), F.when(F.col("w") >= 0.5, F.col("w")))]
+    got = {(r["direction"], r["weight"]): r["w1"] for r in sorted_areas.areas(df, [F.col("x1"), F.col("x2")], weights, directions).collect()}
+    at = df.select("y", "x1", "x2", "w").toPandas().to_numpy()
+    y, x, w = at[:, 0], at[:, 1:3], at[:, 3]
+    assert sum(dealt) <= len(rows)  # of 32 times as many values
+    for d, u in enumerate(directions):
+        low = w < 0.5
+        for k, want in enumerate((plain_w1(x @ u, y, np.ones(len(y))), plain_w1(x @ u, y, w), plain_w1(x @ u, low.astype(int), np.where(low, 1.0, w)))):
+            assert got[d, k] == pytest.approx(want, rel=1e-9, abs=1e-9)
