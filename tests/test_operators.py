@@ -420,3 +420,15 @@ def test_quantiles_by_counting_equal_those_of_all_values(spark, monkeypatch, str
     assert binning.exact_quantiles(df, "v", shares) == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12)
     with pytest.raises(ValueError):
         binning.exact_quantiles(df.where("v IS NULL"), "v", shares)
+
+
+def test_quantiles_are_counted_without_a_shuffle_of_rows_and_heavy_tails_or_infinities_do_not_matter(spark, monkeypatch):
+    monkeypatch.setattr(binning, "with_stretch", None)
+    rng = np.random.default_rng(5)
+    values = np.concatenate([rng.normal(size=2_000), np.repeat(0.25, 500), np.exp(rng.normal(size=500) * 40), -np.exp(rng.normal(size=500) * 40)])
+    df = rows(spark, [(float(v),) for v in values], "v double")
+    shares = [0.0, 0.001, 0.3, 0.5, 0.77, 0.999, 1.0]
+    assert binning.exact_quantiles(df, "v", shares) == pytest.approx(np.quantile(values, shares).tolist(), rel=1e-12)
+    odd = rows(spark, [(float("-inf"),), (1.0,), (2.0,), (float("inf"),), (float("nan"),), (None,)], "v double")
+    assert binning.exact_quantiles(odd, "v", [0.0, 0.25, 0.5, 0.75]) == [float("-inf"), 1.0, 2.0, float("inf")]
+    assert math.isnan(binning.exact_quantiles(odd, "v", [1.0])[0])

@@ -9,10 +9,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.expressions import ratio
+from weftline.operators import sorted_areas
 
 #: Rows of a dimension that are cumulated or ordered by one task.
 STRETCH = 250_000
@@ -84,30 +85,44 @@ def with_stretch(df: DataFrame, v: str, levels: int) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, column: str, shares: list[float]) -> list[float]:
-    """Linear quantiles by counting: stretches give the ranks, and only those that hold a wanted rank are ordered.
+    """Linear quantiles by counting: the cells that hold a wanted rank are cut finer, scan by scan, until each holds one value.
 
-    Nulls don't count; a column without values is an error.
+    Nulls don't count, NaN is the largest value; a column without values is an error.
     """
-    rows = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
-    n = rows.count()
+    v = F.col(column).cast("double")
+    rows = df.where(v.isNotNull()).select(F.array(v).alias("v"))
+    inf = float("inf")
+    finite = F.when(~F.isnan(v) & (F.abs(v) < inf), v)
+    seen = df.agg(F.count(v).alias("n"), F.count_if(v == -inf).alias("low"), F.count(finite).alias("finite"), F.count_if(v == inf).alias("high"), F.min(finite).alias("lo"), F.max(finite).alias("hi")).first()
+    n, below = seen["n"], seen["low"]
     if not n:
         raise ValueError(f"{column} has no values")
-    levels = stretch_levels(n)
-    dealt = with_stretch(rows.crossJoin(F.broadcast(rows.agg(stretch_cuts("v", levels).alias("_cuts")))), "v", levels).select("_stretch", "v")  # one row
-    sizes = dealt.groupBy("_stretch").agg(F.count("*").alias("n")).orderBy("_stretch").collect()  # at most MOST_STRETCHES rows
-    upto = np.cumsum([r["n"] for r in sizes])
     places = sorted({int(f(s * (n - 1))) for s in shares for f in (np.floor, np.ceil)})
-    wanted = []
-    for k in places:
-        i = int(np.searchsorted(upto, k, side="right"))
-        wanted.append((sizes[i]["_stretch"], k - int(upto[i] - sizes[i]["n"]), k))
-    some = df.sparkSession.createDataFrame(wanted, "_stretch int, inside long, place long")  # two rows a share
-    counted = dealt.where(F.col("_stretch").isin(*{w[0] for w in wanted})).groupBy("_stretch", "v").agg(F.count("*").alias("n"))
-    ranked = counted.withColumn("upto", F.sum("n").over(Window.partitionBy("_stretch").orderBy("v")))
-    found = ranked.join(F.broadcast(some), "_stretch").where((F.col("inside") < F.col("upto")) & (F.col("inside") >= F.col("upto") - F.col("n")))
-    value = {r["place"]: r["v"] for r in found.select("place", "v").collect()}  # two rows a share
-    at = [s * (n - 1) for s in shares]
-    return [float(value[int(np.floor(a))] + (a - np.floor(a)) * (value[int(np.ceil(a))] - value[int(np.floor(a))])) for a in at]
+    value = {k: -inf if k < below else inf if k < below + seen["finite"] + seen["high"] else float("nan") for k in places}
+    asked = np.array([k for k in places if below <= k < below + seen["finite"]])
+    if len(asked):
+        lo, hi = np.array([seen["lo"]]), np.array([seen["hi"]])
+        levels = [sorted_areas.whole(lo, hi)]
+        ahead = np.array([below])  # rows before each open cell
+        while len(asked):
+            found = sorted_areas.counts(rows, levels)
+            cell, inside, first, last = (found[c].to_numpy() for c in ("c", "n", "first", "last"))
+            parent = levels[-1].parents(cell)
+            upto = np.cumsum(inside)
+            start = ahead[parent] + (upto - inside) - (upto - inside)[np.searchsorted(parent, parent, side="left")]
+            at = np.searchsorted(start, asked, side="right") - 1
+            done = first[at] == last[at]
+            value |= {int(k): float(x) for k, x in zip(asked[done], first[at[done]])}
+            asked, still = asked[~done], np.unique(at[~done])
+            if len(asked):
+                ahead = start[still]
+                levels.append(sorted_areas.finer(levels[-1], cell[still], inside[still], first[still], last[still], bits=len(levels) % 2 == 0))
+    out = []
+    for s in shares:
+        a = s * (n - 1)
+        low, high = value[int(np.floor(a))], value[int(np.ceil(a))]
+        out.append(low if low == high else float(low + (a - np.floor(a)) * (high - low)))
+    return out
 
 
 def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
