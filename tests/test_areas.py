@@ -97,3 +97,20 @@ def test_of_many_directions_few_rows_are_sorted_and_areas_stay_exact(spark, monk
         low = w < 0.5
         for k, want in enumerate((plain_w1(x @ u, y, np.ones(len(y))), plain_w1(x @ u, y, w), plain_w1(x @ u, low.astype(int), np.where(low, 1.0, w)))):
             assert got[d, k] == pytest.approx(want, rel=1e-9, abs=1e-9)
+
+
+def test_hash_cuts_are_the_hashes_at_ranks_and_floors_shuffle_no_table(spark, monkeypatch):
+    from weftline.functions.expressions import hash_key
+    from weftline.operators import sampling
+
+    monkeypatch.setattr(sampling, "FEW", 1)
+    _, df = sample(spark, 2_000)
+    hashes = sorted(r[0] for r in df.select(hash_key("s", F.col("row_id"))).collect())
+    assert sampling.hash_cuts(df, ["s"], (1, 700, 2_000)) == [[(hashes[i], 1.0) for i in (0, 699, 1_999)]]
+    twice = df.unionByName(df)
+    assert sampling.hash_cuts(twice, ["s", "s"], (1, 700)) == [[(hashes[0], 0.5), (hashes[349], 1.0)]] * 2
+    with pytest.raises(ValueError):
+        sampling.hash_cuts(df, ["s"], (2_001,))
+    monkeypatch.setattr(sampling, "hash_rank", None)
+    once, again = ({r["metric"]: r["floor"] for r in distances.distances_with_floors(d, ("x1", "x2"), n_directions=4, size=n, repeats=2).collect()} for d, n in ((df, 300), (twice, 600)))
+    assert once == pytest.approx(again, abs=1e-9)
