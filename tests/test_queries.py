@@ -103,3 +103,11 @@ def test_stream_counts_every_event_of_one_file_or_many(spark, tmp_path):
     for folder in (SF, str(tmp_path)):
         got = {(r["event_type"], r["bin"]): r["n"] for r in QUERIES["stream_histogram"](spark, folder).collect()}
         assert got == want and sum(got.values()) == table.count()
+
+
+def test_sweep_needs_no_row_for_each_strength(spark, monkeypatch):
+    from weftline.operators import distances
+
+    monkeypatch.setattr(distances, "wasserstein", None)  # it takes one row an event and strength
+    got = {r["s"]: r["w1"] for r in QUERIES["sweep_response"](spark, SF).collect()}
+    assert len(got) == 25 and got[0.0] >= 0 and got[1.0] > 0
