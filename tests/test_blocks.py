@@ -49,3 +49,11 @@ def test_kept_rows_are_computed_once(spark, rows, monkeypatch):
     assert got == pytest.approx(want, abs=1e-12) and len(got) == 4
     assert seen.value == 4_000
     assert sorted_areas.areas(rows.limit(0), *own, keep=True).count() == 0
+
+
+def test_shards_are_not_listed_or_sorted_by_the_aggregate(rows):
+    shards = learning.sharded(rows, "row_id", ("y", "z1"), rows=1_000)
+    plan = shards._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "array_sort" not in plan
+    found = shards.collect()
+    assert len(found) == 4 and sum(len(r["key"]) for r in found) == 4_000 and all(r["key"] == sorted(r["key"]) for r in found)
