@@ -57,3 +57,13 @@ def test_shards_are_not_listed_or_sorted_by_the_aggregate(rows):
     assert "collect_list" not in plan and "array_sort" not in plan
     found = shards.collect()
     assert len(found) == 4 and sum(len(r["key"]) for r in found) == 4_000 and all(r["key"] == sorted(r["key"]) for r in found)
+
+
+def test_iterated_weights_keep_every_row_once(rows):
+    twice = rows.unionByName(rows)
+    out = reweight.iterate(twice, ("z1",), ("x1",), 1)
+    assert out.count() == 8_000 and out.columns == rows.columns
+    got = out.where("y = 0").agg(F.avg("w"), F.min("w")).first()
+    assert got[0] == pytest.approx(1) and got[1] > 0 and out.where("y = 1 AND w <> 1").count() == 0
+    hidden = reweight.iterate(populations.poisoned(twice, ("z1",)), ("z1",), ("x1",), 1)
+    assert hidden.agg(F.sum(F.col("w") * F.col("x1"))).first()[0] == pytest.approx(out.agg(F.sum(F.col("w") * F.col("x1"))).first()[0])

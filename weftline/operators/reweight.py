@@ -58,27 +58,32 @@ def iterate(df: DataFrame, truth: tuple[str, ...], reco: tuple[str, ...], rounds
     columns. Step 2 separates simulated events with step-1 weights from the same
     events without, by their truth columns. Truth of observed events isn't read.
     """
-    df = df.withColumn("w", F.lit(1.0))
     push = F.lit(1.0)
-    detector, _ = features(df, reco, degree)
-    mc_truth, _ = features(df.where("y = 0"), truth, degree)
-    on_reco = detector.select("row_id", "y", F.col("features").alias("f_reco"))
-    on_truth = mc_truth.select("row_id", F.col("features").alias("f_truth"))
-    both = on_reco.join(on_truth, "row_id", "left").persist()
-    try:
-        n = {r["y"]: r["n"] for r in both.groupBy("y").agg(F.count("*").alias("n")).collect()}
-        for _ in range(rounds):
-            now = both.withColumn("push", F.when(F.col("y") == 0, push).otherwise(1.0))
-            p = classifier(now, F.col("y"), F.when(F.col("y") == 1, F.lit(n[0] / n[1])).otherwise(F.col("push")), "f_reco")
-            mc = now.where("y = 0").withColumn("pull", F.col("push") * likelihood_ratio(p, 1e-6))
-            pair = mc.select("row_id", "f_truth", F.lit(1).alias("label"), F.col("pull").alias("weight")).unionByName(mc.select("row_id", "f_truth", F.lit(0).alias("label"), F.lit(1.0).alias("weight")))
-            push = likelihood_ratio(classifier(pair, F.col("label"), F.col("weight"), "f_truth"), 1e-6)
-        out = both.where("y = 0").select("row_id", push.alias("w"))
-        mean = out.agg(F.avg("w").alias("_m"))  # one row
-        out = out.crossJoin(F.broadcast(mean)).select("row_id", (F.col("w") / F.col("_m")).alias("w"))
-        return df.drop("w").join(out, "row_id", "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
-    finally:
-        both.unpersist()
+    _, on_reco = features(df, reco, degree)
+    _, on_truth = features(df.where("y = 0"), truth, degree)
+    both = _transformed(df.drop("w"), reco, on_reco, "f_reco")
+    both = _transformed(both, truth, on_truth, "f_truth", F.col("y") == 0)
+    n = {r["y"]: r["n"] for r in df.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    for _ in range(rounds):
+        now = both.withColumn("push", F.when(F.col("y") == 0, push).otherwise(1.0))
+        p = classifier(now, F.col("y"), F.when(F.col("y") == 1, F.lit(n[0] / n[1])).otherwise(F.col("push")), "f_reco")
+        mc = now.where("y = 0").withColumn("pull", F.col("push") * likelihood_ratio(p, 1e-6))
+        sides = F.array(F.struct(F.lit(1).alias("label"), F.col("pull").alias("weight")), F.struct(F.lit(0).alias("label"), F.lit(1.0).alias("weight")))
+        pair = mc.select("row_id", "f_truth", F.explode(sides).alias("s")).select("row_id", "f_truth", "s.label", "s.weight")
+        push = likelihood_ratio(classifier(pair, F.col("label"), F.col("weight"), "f_truth"), 1e-6)
+    out = both.withColumn("w", F.when(F.col("y") == 0, push))
+    mean = out.agg(F.avg("w").alias("_m")).first()["_m"]
+    return out.withColumn("w", F.coalesce(F.col("w") / F.lit(mean), F.lit(1.0))).drop("f_reco", "f_truth")
+
+
+def _transformed(df: DataFrame, columns: tuple[str, ...], steps: list, name: str, where: Column | None = None) -> DataFrame:
+    """``df`` with the features of fitted ``steps`` as ``name``; rows outside ``where`` have those of zeros, their columns aren't read."""
+    read = {c: F.col(c) if where is None else F.when(where, F.col(c)).otherwise(F.lit(0.0)) for c in columns}
+    own = [f"_own{i}" for i in range(len(columns))]
+    df = df.withColumns(dict(zip(own, read.values())))
+    for step in [VectorAssembler(inputCols=own, outputCol="_raw"), *steps[1:]]:
+        df = step.transform(df)
+    return df.withColumn(name, F.col("features")).drop("_raw", "_scaled", "features", *own)
 
 
 def response_gain(df: DataFrame, p_without: Column, p_with: Column) -> DataFrame:
