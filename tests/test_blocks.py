@@ -67,3 +67,11 @@ def test_iterated_weights_keep_every_row_once(rows):
     assert got[0] == pytest.approx(1) and got[1] > 0 and out.where("y = 1 AND w <> 1").count() == 0
     hidden = reweight.iterate(populations.poisoned(twice, ("z1",)), ("z1",), ("x1",), 1)
     assert hidden.agg(F.sum(F.col("w") * F.col("x1"))).first()[0] == pytest.approx(out.agg(F.sum(F.col("w") * F.col("x1"))).first()[0])
+
+
+def test_grid_weights_bring_columns_along(rows):
+    cells = uncertainty.train_grid(rows, 2, 1, ("z1",), ("x1",), training.Settings(generator=(2,), critic=(2,), epochs=1), shard_rows=2_000)
+    twice = rows.unionByName(rows)
+    got = uncertainty.grid_weights(twice, cells, keep=("z1",))
+    assert got.count() == 2 * twice.where("y = 0").count()
+    assert got.join(rows.select("row_id", F.col("z1").alias("z")), "row_id").where("z <> z1").count() == 0

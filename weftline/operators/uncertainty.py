@@ -169,8 +169,11 @@ def train_grid(
     return {k: got[i] for i, k in enumerate(keys)}
 
 
-def grid_weights(evaluation: DataFrame, cells: dict[tuple[int, int], training.Trained], epoch: int = -1) -> DataFrame:
-    """b, s, row_id, w: the weights of every cell on the simulated rows of ``evaluation``, of mean 1 a cell; one pass for all cells."""
+def grid_weights(evaluation: DataFrame, cells: dict[tuple[int, int], training.Trained], epoch: int = -1, keep: tuple[str, ...] = ()) -> DataFrame:
+    """b, s, row_id, w: the weights of every cell on the simulated rows of ``evaluation``, of mean 1 a cell; one pass for all cells.
+
+    Columns named in ``keep`` come along.
+    """
     keys, fits = list(cells), list(cells.values())
     one = fits[0]
 
@@ -180,11 +183,11 @@ def grid_weights(evaluation: DataFrame, cells: dict[tuple[int, int], training.Tr
         raw = np.logaddexp(0, np.column_stack([training.forward(t.generators[epoch], z)[1] for t in fits]))
         return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * len(fits), pa.int32()), pa.array(raw.ravel()))
 
-    rows = evaluation.where("y = 0").select("row_id", F.posexplode(score(training._vector(one, one.truth))).alias("cell", "raw"))
+    rows = evaluation.where("y = 0").select("row_id", *keep, F.posexplode(score(training._vector(one, one.truth))).alias("cell", "raw"))
     means = rows.groupBy("cell").agg(F.avg("raw").alias("mean"))  # one row a cell
     number = F.array(*[F.struct(F.lit(b).alias("b"), F.lit(s).alias("s")) for b, s in keys])
     both = rows.join(F.broadcast(means), "cell").withColumn("k", F.get(number, F.col("cell")))
-    return both.select("k.b", "k.s", "row_id", (F.col("raw") / F.col("mean")).alias("w"))
+    return both.select("k.b", "k.s", "row_id", (F.col("raw") / F.col("mean")).alias("w"), *keep)
 
 
 def summary(events: DataFrame) -> dict[str, DataFrame]:
