@@ -59,6 +59,12 @@ def test_shards_are_not_listed_or_sorted_by_the_aggregate(rows):
     assert len(found) == 4 and sum(len(r["key"]) for r in found) == 4_000 and all(r["key"] == sorted(r["key"]) for r in found)
 
 
+def test_leakage_is_judged_line_by_line(spark, tmp_path):
+    line = spark.read.parquet(f"{SF}/lineitem.parquet")
+    line.unionByName(line.withColumn("l_quantity", F.col("l_quantity") * 3)).write.parquet(f"{tmp_path}/lineitem.parquet")  # keys repeat
+    assert QUERIES["leakage_check"](spark, str(tmp_path)).first()[0] == 0
+
+
 def test_iterated_weights_keep_every_row_once(rows):
     twice = rows.unionByName(rows)
     out = reweight.iterate(twice, ("z1",), ("x1",), 1)
@@ -75,3 +81,27 @@ def test_grid_weights_bring_columns_along(rows):
     got = uncertainty.grid_weights(twice, cells, keep=("z1",))
     assert got.count() == 2 * twice.where("y = 0").count()
     assert got.join(rows.select("row_id", F.col("z1").alias("z")), "row_id").where("z <> z1").count() == 0
+
+
+def test_weights_by_halves_are_those_of_the_bins(spark):
+    edges = [0.0, 1.0, 2.5, 4.0, 4.5]
+    result = {"status": "ok", "edges": edges, "weights": [0.5, 1.5, 2.5, 3.5]}
+    df = spark.createDataFrame([(v,) for v in (None, float("nan"), -1.0, 0.0, 0.5, 1.0, 2.4, 2.5, 4.0, 4.4, 4.5, 9.0)], "v double")
+    shown = F.array(*[F.lit(e) for e in edges])
+    want = F.get(F.array(*[F.lit(w) for w in result["weights"]]), binning.saturated_bin(F.col("v"), shown))
+    w = ibu.event_weights(df, "v", result)
+    assert df.where(w != want).count() == 0 and df.where(w.isNull()).count() == 0
+    assert "filter(" not in df.select(w)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_all_bins_are_counted_in_one_pass(rows):
+    pairs = {"a": ("z1", "x1"), "b": ("x1", "z1"), "none": ("w", "x1")}
+    edges = {"a": [-2.0, -0.5, 0.5, 2.0], "b": [-1.0, 0.0, 1.0], "none": [0.0]}
+    got = ibu._unfolded(rows, pairs, edges, 3)
+    assert got["none"]["status"] == "skipped"
+    mc, data = rows.where("y = 0"), rows.where("y = 1")
+    for name in "ab":
+        truth, reco = pairs[name]
+        prior = ibu.binned_counts(mc, truth, edges[name])
+        steps = ibu.iterate(prior, ibu.binned_counts(data, reco, edges[name]), ibu.response(mc, truth, reco, edges[name]), 3)
+        assert got[name]["prior"] == prior.tolist() and got[name]["unfolded"] == pytest.approx(steps[-1].tolist())

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.expressions import product
+from weftline.operators import blocks
 from weftline.operators.binning import saturated_bin
 
 CANDIDATES, MOST_BINS, OFFSET = 100, 50, 0.01
@@ -101,22 +102,19 @@ def dominance(df: DataFrame, pairs: dict[str, tuple[str, str]], spans: dict[str,
     edges = {k: np.linspace(*spans[k], CELLS + 1) for k in names}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in batches:
+        held: dict[int, np.ndarray] = {}
+        for batch in blocks.joined(batches):
             for i, name in enumerate(names):
-                t, r = (batch.column(2 * i + k).to_numpy(zero_copy_only=False).astype(np.float64) for k in (0, 1))
+                t, r = (batch.column(2 * i + k).to_numpy().astype(np.float64) for k in (0, 1))
                 # the last cell is closed at its top, so that the greatest value has one
                 cell = [np.clip(np.searchsorted(edges[name], v, "right") - 1, -1, CELLS - 1) for v in (t, np.fmin(t, r), np.fmax(t, r))]
                 known, low = ~np.isnan(t), ~np.isnan(t) & ~np.isnan(r) & (np.fmin(t, r) >= edges[name][0]) & (np.fmax(t, r) <= edges[name][-1])
                 codes = np.concatenate([cell[0][known & (t >= edges[name][0])] + CELLS * CELLS, cell[1][low] * CELLS + cell[2][low]])
-                code, n = np.unique(codes, return_counts=True)
-                if i in held:
-                    code, n = np.concatenate([held[i][0], code]), np.concatenate([held[i][1], n])
-                    code, at = np.unique(code, return_inverse=True)
-                    n = np.bincount(at, n).astype(np.int64)
-                held[i] = code, n
-        for i, (code, n) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), i, np.int32)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], names=["v", "code", "n"])
+                counted = np.bincount(codes, minlength=CELLS * CELLS + CELLS)
+                held[i] = held[i] + counted if i in held else counted
+        for i, n in held.items():
+            code = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), i, np.int32)), pa.array(code), pa.array(n[code])], names=["v", "code", "n"])
 
     columns = [F.col(c).cast("double").alias(f"c{2 * i + k}") for i, name in enumerate(names) for k, c in enumerate(pairs[name])]
     got = df.select(*[F.coalesce(c, F.lit(float("nan"))).alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(run, "v int, code long, n long").groupBy("v", "code").agg(F.sum("n").alias("n")).toArrow()
@@ -244,21 +242,65 @@ def bin_weights(unfolded: np.ndarray, prior: np.ndarray) -> np.ndarray:
 
 def unfold_variable(df: DataFrame, truth: str, reco: str, rounds: int = 10, threshold: float = PURITY, edges: list[float] | None = None) -> dict:
     """Edges (searched unless given), spectra and bin weights of one variable; status skipped below two bins."""
-    mc = df.where("y = 0")
-    edges = purity_edges(mc, truth, reco, threshold) if edges is None else edges
-    if len(edges) < 3:
-        return {"status": "skipped", "edges": edges, "weights": [1.0]}
-    prior, data = binned_counts(mc, truth, edges), binned_counts(df.where("y = 1"), reco, edges)
-    steps = iterate(prior, data, response(mc, truth, reco, edges), rounds)
-    return {"status": "ok", "edges": edges, "prior": prior.tolist(), "unfolded": steps[-1].tolist(), "weights": bin_weights(steps[-1], prior).tolist()}
+    edges = purity_edges(df.where("y = 0"), truth, reco, threshold) if edges is None else edges
+    return _unfolded(df, {"v": (truth, reco)}, {"v": edges}, rounds)["v"]
+
+
+def _bin_counts(df: DataFrame, pairs: list[tuple[str, str]], edges: list[np.ndarray]) -> list[np.ndarray]:
+    """Per variable: simulated events by truth and detector bin, then observed ones by detector bin; one pass for all."""
+    sizes = [len(e) - 1 for e in edges]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros(n * n + n, np.int64) for n in sizes]
+        for table in blocks.joined(batches):
+            y = table.column(0).to_numpy()
+            for i, n in enumerate(sizes):
+                t, r = (np.clip(np.searchsorted(edges[i], table.column(1 + 2 * i + k).to_numpy(), "right") - 1, 0, n - 1) for k in (0, 1))
+                total[i] += np.bincount(np.concatenate([(t * n + r)[y == 0], n * n + r[y == 1]]), minlength=n * n + n)
+        for i, v in enumerate(total):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i, np.int32)), pa.array(np.arange(len(v), dtype=np.int32)), pa.array(v)], names=["v", "i", "n"])
+
+    # a null is below all edges
+    columns = [F.coalesce(F.col(c).cast("double"), F.lit(float("-inf"))).alias(f"c{2 * i + k}") for i, pair in enumerate(pairs) for k, c in enumerate(pair)]
+    got = df.where("y IN (0, 1)").select(F.col("y").cast("int").alias("y"), *columns).mapInArrow(run, "v int, i int, n long").groupBy("v", "i").agg(F.sum("n").alias("n")).toArrow()  # n ** 2 + n rows a variable
+    v, at, count = (got[c].to_numpy() for c in ("v", "i", "n"))
+    out = [np.zeros(n * n + n) for n in sizes]
+    for i, held in enumerate(out):
+        held[at[v == i]] = count[v == i]
+    return out
+
+
+def _unfolded(df: DataFrame, pairs: dict[str, tuple[str, str]], edges: dict[str, list[float]], rounds: int) -> dict[str, dict]:
+    """``unfold_variable`` of every variable with its edges: one pass counts all bins of all of them."""
+    out = {name: {"status": "skipped", "edges": e, "weights": [1.0]} for name, e in edges.items()}
+    used = [name for name, e in edges.items() if len(e) >= 3]
+    if not used:
+        return out
+    found = _bin_counts(df, [pairs[name] for name in used], [np.asarray(edges[name], float) for name in used])
+    for i, name in enumerate(used):
+        n = len(edges[name]) - 1
+        both, data = found[i][: n * n].reshape(n, n), found[i][n * n :]
+        prior = both.sum(axis=1)
+        matrix = np.divide(both, prior[:, None], out=np.zeros((n, n)), where=prior[:, None] > 0)
+        steps = iterate(prior, data, matrix, rounds)
+        out[name] = {"status": "ok", "edges": edges[name], "prior": prior.tolist(), "unfolded": steps[-1].tolist(), "weights": bin_weights(steps[-1], prior).tolist()}
+    return out
 
 
 def event_weights(df: DataFrame, column: str, result: dict) -> Column:
-    """The weight of an event by its truth bin: a lookup in a literal array of at most 50 entries."""
+    """The weight of an event by its truth bin, found by halves among at most 50."""
     if result["status"] == "skipped":
         return F.lit(1.0)
-    edges = F.array(*[F.lit(float(e)) for e in result["edges"]])
-    return F.get(F.array(*[F.lit(float(w)) for w in result["weights"]]), saturated_bin(F.col(column), edges))
+    inner, found = [float(e) for e in result["edges"][1:-1]], [float(w) for w in result["weights"]]
+    v = F.col(column)
+
+    def among(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(found[a])
+        middle = (a + b) // 2
+        return F.when(v < inner[middle], among(a, middle)).otherwise(among(middle + 1, b))
+
+    return F.when(v.isNull(), F.lit(found[0])).otherwise(among(0, len(found) - 1))
 
 
 def unfold_all(df: DataFrame, pairs: dict[str, tuple[str, str]], rounds: int = 10, threshold: float = PURITY, fitted_on: Column | None = None) -> dict[str, dict]:
@@ -273,7 +315,7 @@ def unfold_all(df: DataFrame, pairs: dict[str, tuple[str, str]], rounds: int = 1
         if not n.get(0) or not n.get(1):
             raise ValueError("unfolding needs observed and simulated rows")
         edges = purity_edges_all(rows.where("y = 0"), pairs, threshold)
-        return {name: unfold_variable(rows, truth, reco, rounds, threshold, edges[name]) for name, (truth, reco) in pairs.items()}
+        return _unfolded(rows, pairs, edges, rounds)
     finally:
         rows.unpersist()
 
