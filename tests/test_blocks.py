@@ -105,3 +105,13 @@ def test_all_bins_are_counted_in_one_pass(rows):
         prior = ibu.binned_counts(mc, truth, edges[name])
         steps = ibu.iterate(prior, ibu.binned_counts(data, reco, edges[name]), ibu.response(mc, truth, reco, edges[name]), 3)
         assert got[name]["prior"] == prior.tolist() and got[name]["unfolded"] == pytest.approx(steps[-1].tolist())
+
+
+def test_joint_record_takes_distances_without_windows(rows):
+    old = distances.compare(distances.metric_set(populations.long(rows, ("z1", "x1"), None)), distances.metric_set(populations.long(rows, ("z1", "x1"))))
+    got = distances.joint_record(rows, ("z1", "x1"))
+    assert "window" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = {(r["dim"], r["metric"]): r for r in old.collect()}
+    for r in got.collect():
+        assert tuple(r)[2:] == pytest.approx(tuple(want.pop((r["dim"], r["metric"])))[2:], abs=1e-9)
+    assert not want
