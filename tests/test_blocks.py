@@ -115,3 +115,44 @@ def test_joint_record_takes_distances_without_windows(rows):
     for r in got.collect():
         assert tuple(r)[2:] == pytest.approx(tuple(want.pop((r["dim"], r["metric"])))[2:], abs=1e-9)
     assert not want
+
+
+@pytest.mark.parametrize("objective", [training.CLASSIFIER, training.WASSERSTEIN])
+def test_training_computes_its_rows_once_and_compares_them_in_place(spark, rows, objective):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def dear(key):
+        seen.add(1)
+        return key.endswith("7")
+
+    settings = training.Settings(objective, generator=(4,), critic=(4, 3), epochs=2)
+    own = ("z1",), ("x1", "z1"), settings
+    holes = rows.withColumn("z1", F.when(~F.col("row_id").endswith("3"), F.col("z1"))).unionByName(rows.limit(5).withColumn("y", F.lit(None).cast("int")))
+    trained, got = training.train_and_compare(holes, *own, dear("row_id"))
+    assert seen.value == 4_000  # neither for standardizing nor for the distances again
+    again = training.train(holes, *own, F.col("row_id").endswith("7"))
+    assert training._flat(again.generators[-1]) == pytest.approx(training._flat(trained.generators[-1]), abs=1e-9)
+    want = distances.wide_wasserstein(training.weigh(holes, again), ("z1", "x1"), {"w1": F.col("w")}).collect()
+    assert {r["dim"]: r["w1"] for r in got.collect()} == pytest.approx({r["dim"]: r["w1"] for r in want}, abs=1e-9)
+
+
+@pytest.mark.parametrize("sizes", [[2, 1], [2, 5, 1], [3, 5, 4, 1]])
+def test_steps_on_columns_are_those_on_rows(sizes):
+    rng = np.random.default_rng(2)
+    p = [t + 0.2 * rng.normal(size=t.shape) for t in training.network(sizes, rng)]
+    x, g = rng.normal(size=(40, sizes[0])), rng.normal(size=40)
+    inputs, out = training.forward(p, x)
+    a = training._layers(p)
+    entering, same = training._run(a, np.vstack([x.T, np.ones(40)]))
+    leaving, on = training._leaving(a, entering)
+    assert same == pytest.approx(out)
+    assert training._flat(training._gradient(entering, leaving, g)) == pytest.approx(training._flat(training.backward(p, inputs, g)))
+    assert training._flat(training._penalty(a, entering, leaving, on)) == pytest.approx(training._flat(training.slope_penalty(p, inputs)[1]))
+
+
+def test_columns_are_scaled_by_simulated_training_rows(spark):
+    df = spark.createDataFrame([(i % 2, float(i) if i % 3 else None, 0.1, i % 10 == 0) for i in range(3_000)], "y int, z1 double, x1 double, held boolean")
+    trained = training.train(df, ("z1",), ("x1",), training.Settings(epochs=0), F.col("held"))
+    want = df.where("y = 0 AND NOT held").agg(F.avg("z1"), F.stddev_pop("z1")).first()
+    assert trained.scale["z1"] == pytest.approx(tuple(want)) and trained.scale["x1"] == (pytest.approx(0.1), 1.0)
