@@ -90,3 +90,62 @@ def test_nulls_empty_tables_and_constant_columns(spark):
     assert all(0 <= v <= 1 for r in p for v in r["p"]) and len(p[0]["p"]) == 2
     none = learning.sharded(df.limit(0), "row_id", ("y", "x1", "x2"))
     assert none.count() == 0
+
+
+def test_what_rows_mean_is_computed_once_for_all_classifiers_that_share_it(spark):
+    shards = learning.sharded(moons(spark, 1_000), "row_id", ("y", "x1", "x2"), rows=500).persist()
+    seen = spark.sparkContext.accumulator(0)
+    means = plain()
+
+    def weigh(d):
+        seen.add(1)
+        return means(d)
+
+    tasks = {m: learning.Task(("x1", "x2")[: 1 + m % 2], weigh, m) for m in range(4)}
+    fits = learning.fit_all(shards, tasks, learning.Settings(epochs=2, patience=9))
+    assert seen.value == 2 * 3  # shards, passes
+    alone = learning.fit_all(shards, {3: learning.Task(("x1", "x2"), means, 3)}, learning.Settings(epochs=2, patience=9))
+    assert fits[3].losses == pytest.approx(alone[3].losses, abs=1e-12)
+    shards.unpersist()
+
+
+def test_steps_are_those_of_a_plain_loop(spark):
+    from weftline.operators.training import Adam, backward, forward
+
+    shards = learning.sharded(moons(spark, 700), "row_id", ("y", "x1", "x2")).persist()
+    row = shards.first()
+    data = {c: np.array(row[c]) for c in ("key", "y", "x1", "x2")}
+    settings = learning.Settings(hidden=(5, 4), epochs=1, batch=128)
+
+    def weigh(d):
+        return d["y"], 1.0 + np.arange(len(d["y"])) % 3, learning.uniform(d["key"], "held") < 0.2
+
+    fit = learning.fit_all(shards, {0: learning.Task(("x1", "x2"), weigh, 3)}, settings)[0]
+    y, w, held = weigh(data)
+    x = learning._inputs(data, ("x1", "x2"), learning.scales(shards, ("x1", "x2")))
+    p = learning.network([2, 5, 4, 1], np.random.default_rng([3, 1]))
+    losses = [np.average(learning.log_loss(y[held], forward(p, x[held])[1]), weights=w[held])]
+    adam, mine = Adam(p, settings.rate, (0.9, 0.99)), np.flatnonzero(~held)
+    for b in learning.batches(len(mine), 128, np.random.default_rng([3, 0, row["shard"], 2])):
+        i = mine[b]
+        inputs, out = forward(p, x[i])
+        p = adam.step(p, learning.flat(backward(p, inputs, w[i] * (1 / (1 + np.exp(-out)) - y[i]) / w[i].sum())))
+    losses.append(np.average(learning.log_loss(y[held], forward(p, x[held])[1]), weights=w[held]))
+    assert fit.losses == pytest.approx(losses, abs=1e-12)
+    shards.unpersist()
+
+
+def test_rows_are_shuffled_together_and_all_of_them(spark, monkeypatch):
+    df = moons(spark, 900, 5).withColumn("x2", F.when(F.col("row_id") % 7 > 0, F.col("x2")))
+    monkeypatch.setattr(learning, "DEALT", 64)
+    few = learning.sharded(df, "row_id", ("y", "x1", "x2"), rows=200)
+    plan = few._jdf.queryExecution().optimizedPlan().toString()
+    assert "part#" in plan  # blocks of a shard, not its rows
+    got = {r["key"][i]: (r["shard"], r["y"][i], r["x1"][i], r["x2"][i]) for r in few.collect() for i in range(len(r["key"]))}
+    want = df.select(F.xxhash64("row_id").alias("key"), "y", "x1", "x2").collect()
+    assert len(got) == len(want) == 900
+    for r in want:
+        shard, y, x1, x2 = got[r["key"]]
+        assert (y, x1) == (r["y"], r["x1"]) and (math.isnan(x2) if r["x2"] is None else x2 == r["x2"])
+    monkeypatch.undo()
+    assert sorted(r["shard"] for r in few.collect()) == sorted(r["shard"] for r in learning.sharded(df, "row_id", ("y", "x1", "x2"), rows=200).collect())
