@@ -114,3 +114,38 @@ def test_hash_cuts_are_the_hashes_at_ranks_and_floors_shuffle_no_table(spark, mo
     monkeypatch.setattr(sampling, "hash_rank", None)
     once, again = ({r["metric"]: r["floor"] for r in distances.distances_with_floors(d, ("x1", "x2"), n_directions=4, size=n, repeats=2).collect()} for d, n in ((df, 300), (twice, 600)))
     assert once == pytest.approx(again, abs=1e-9)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cells_on_the_driver_are_bounded_whatever_stays_open(spark, monkeypatch, seed):
+    for name, size in (("RANGE_ROWS", 200), ("FEW_VALUES", 0), ("CELLS", 256)):
+        monkeypatch.setattr(sorted_areas, name, size)
+    n, k = 6_000, 3
+    rng = np.random.default_rng(seed)
+    x, y, cut = rng.normal(size=(n, 2)), rng.integers(0, 2, n), rng.random((n, 2))
+    df = spark.createDataFrame([(*map(float, a), int(b), *map(float, c)) for a, b, c in zip(x, y, cut)], "x1 double, x2 double, y int, c1 double, c2 double").repartition(3)
+    halves = [(F.when(F.col(c) < 0.5, 1.0), F.when(F.col(c) >= 0.5, 1.0)) for c in ("c1", "c2")]  # nothing to find, so that most cells stay open
+    seen, masses = [], sorted_areas._masses
+    monkeypatch.setattr(sorted_areas, "_masses", lambda *a: seen.append(masses(*a)) or seen[-1])
+    directions = np.array(distances.random_directions(4, 2, seed))
+    got = {(r["direction"], r["weight"]): r["w1"] for r in sorted_areas.areas(df, [F.col("x1"), F.col("x2")], [F.lit(1.0), *halves], directions).collect()}
+    assert max(t.num_rows * t.num_columns for t in seen) <= 1.5 * 16 * 256 and len(seen) > 4
+    for d, u in enumerate(directions):
+        for j, side in enumerate((y, (cut[:, 0] < 0.5).astype(int), (cut[:, 1] < 0.5).astype(int))):
+            assert got[d, j] == pytest.approx(plain_w1(x @ u, side, np.ones(n)), rel=1e-9)
+
+
+def test_floors_of_kept_rows_equal_those_of_ranked_ones_where_keys_repeat(spark, monkeypatch):
+    from weftline.functions.expressions import hash_key
+    from weftline.operators import blocks, sampling
+
+    for few in (1, 20_000):
+        monkeypatch.setattr(sampling, "FEW", few)
+        _, df = sample(spark, 900)
+        df = df.unionByName(df.where("x2 > 0"))
+        packed = blocks.pack_typed(df.select(*[F.unhex(hash_key(s, F.col("row_id"))).alias(s) for s in "ab"]))
+        want = sampling.hash_cuts(df, ["a", "b"], (1, 500, 1_200))
+        got = distances._kept_cuts(packed, lambda b: blocks.unpack_typed(b, [np.uint64] * 2), 2, (1, 500, 1_200))
+        assert [[(f"{h:016x}", s) for h, s in c] for c in got] == [[(h[:16], s) for h, s in c] for c in want]
+        with pytest.raises(ValueError):
+            distances._kept_cuts(packed, lambda b: blocks.unpack_typed(b, [np.uint64] * 2), 2, (df.count() + 1,))
