@@ -71,7 +71,7 @@ def classify(df: DataFrame, label: Column, weight: Column, column: str = "featur
                 x = np.vstack([np.ones(len(y)), *f])
                 z = b @ x
                 p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-                loss = np.logaddexp(0, z) - y * z
+                loss = np.maximum(z, 0) + np.log1p(np.exp(-np.abs(z))) - y * z
                 total += np.concatenate([[w @ loss, w.sum()], x @ (w * (p - y)), ((x * (w * p * (1 - p))) @ x.T).ravel()])
             yield from learning.vectors({0: total})
 
